@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rhoscope.llm import bpe, decontam, exact_dedup, quality
+from rhoscope.llm import bpe, decontam, exact_dedup, jaccard, quality
 from rhoscope.llm.common import cut, read
 from rhoscope.llm.queries import contaminated, quality_model, tokenizer_path
 
@@ -25,6 +25,11 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first(docs)
 
 
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a Jaccard similarity of 0.75 or more, the smallest doc_id stays."""
+    return jaccard.keep_one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
     out = decontam.scan_benchmark(docs, read(spark, sf_dir, "benchmark"))
@@ -41,6 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_classifier),
     ("exact dedup", dedup_exact),
+    ("n-gram Jaccard join", dedup_near),
     ("benchmark decontamination", decontaminate),
     ("BPE encoding", encode),
 ]
