@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, jaccard, langid, licenses, quality, shards
+from . import bpe, chat, decontam, exact_dedup, jaccard, langid, licenses, quality, shards, suffixes
 from .common import read
 
 
@@ -152,6 +152,23 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality_model(spark, sf_dir)).drop("text")
 
 
+# --- 7 suffix-array dedup ------------------------------------------------------------------------
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            kept = [suffixes.kept_bytes(t, s) for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
+            size = [len(t) for t in pdf["text"]]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "n_bytes": size, "n_removed": [n - len(k) for n, k in zip(size, kept, strict=True)],
+                "n_spans": [len(s) for s in pdf["spans"]], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
+            })
+
+    out = suffixes.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 # --- 8 language ID -------------------------------------------------------------------------------
 
 
@@ -183,7 +200,8 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -202,6 +220,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
