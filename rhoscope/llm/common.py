@@ -49,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Bound the rows of an Arrow batch: texts are long, and a task of several
+    Python steps holds a batch in each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def bitmap_of(df: DataFrame, key: Column, rows: int = 1024) -> DataFrame:
     """Bitmap of the hashes of ``key``: at most ``rows`` rows of 4 KB each.
 

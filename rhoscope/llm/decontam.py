@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, small_batches
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: One byte pass that lower-cases A-Z and turns every separator into a space.
@@ -104,6 +104,7 @@ def scan_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     """``docs`` plus ``n_words``, ``hits`` (word spans with character offsets)
     and ``items`` (ids found, sorted as strings)."""
     spark = docs.sparkSession
+    small_batches(spark)
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))  # a word has two bytes at least with its separator
     block = fresh(items, "block")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, flag_by_bitmap
+from .common import bitmap_of, cut, flag_by_bitmap, small_batches
 from .components import connected_components
 
 SHINGLE = 5
@@ -257,6 +257,7 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries_per_bucket: int = 2_000_000) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``n_shingles``, ``component_id``
     (the smallest id reachable over links, its own included)."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -285,9 +286,17 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = bitmap_of(stats, F.xxhash64("rep"))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["bucket", "role", "rids", "counts", "sigs"]
+        sets: dict[int, np.ndarray] = {}
+        size = 0
         for pdf in batches:
-            sets = {set_id(h): h for h in map(shingles, pdf["text"]) if len(h)}
-            yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak)), columns=["bucket", "role", "rids", "counts", "sigs"])
+            for h in map(shingles, pdf["text"]):
+                if len(h) and sets.setdefault(set_id(h), h) is h:
+                    size += len(h)
+            if size > 1_500_000:  # elements: some 12 MB of hashes for one row of each bucket
+                yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak)), columns=columns)
+                sets, size = {}, 0
+        yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak)), columns=columns)
 
     # Only one text of each set is indexed; the bitmap may let a few copies through, which changes nothing.
     one_each = flag_by_bitmap(docs, F.xxhash64("id"), reps, "rep").where("rep").select("text")

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SEGMENT, HIDDEN = 64, 8
 UND = "und"
 
@@ -202,6 +204,7 @@ def predict_batch(net: Network | None, texts: list[str | None], width: int = 204
 def identify(df: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """``df`` plus ``lang_pred`` and ``score``."""
     df = df.drop("lang_pred", "score")
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

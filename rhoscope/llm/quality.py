@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 BUCKETS = 1 << 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MEMO: dict[str, tuple[int, int]] = {}
@@ -143,6 +145,7 @@ def train(labelled: DataFrame, grades: int, id_col: str = "doc_id", text_col: st
 def classify(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep_from: int = 2, at_least: float = 0.5) -> DataFrame:
     """``df`` plus ``expected_grade``, ``tail_prob`` = P(grade >= keep_from), ``kept``."""
     df = df.drop("expected_grade", "tail_prob", "kept")
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     extra = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_prob", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 

@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import gram_hashes
-from .common import bitmap_of, cut, flag_by_bitmap
+from .common import bitmap_of, cut, flag_by_bitmap, small_batches
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # the largest offset of an anchor in its window
 _PIECE = 2_000_000
+#: A task sorts this many bytes of suffixes and left sides before it sends its runs.
+RUN_BYTES = 24_000_000
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -284,6 +286,7 @@ def union_of(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bytes_per_bucket: int = 8_000_000) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``text`` (binary) and ``spans``
     (array of start, end in bytes: the maximal runs to remove)."""
+    small_batches(df.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(F.col(id_col).alias("id"), raw.cast("binary").alias("text"), F.xxhash64(raw).alias("k1"), F.xxhash64(F.lit(1), raw).alias("k2"))
     base = base.withColumn("r", F.xxhash64(F.col("id").cast("string"), "k1", "k2"))
@@ -307,7 +310,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = cut(wanted.join(copies.select(F.col("rep").alias("r"), "k1", "k2"), "r"))
 
     def sorted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["bucket", "run", "done"]
         last_r = None
+        entries: dict[int, dict[tuple[bytes, bytes], tuple[int, int]]] = {}
+        done: dict[int, list[tuple[int, int, int]]] = {}
+        size = 0
+
+        def runs_of() -> pd.DataFrame:
+            rows = []
+            for x, one in entries.items():
+                run = front_code(sorted((*k, *v) for k, v in one.items()))
+                rows.append((x, run, np.array(done[x], "<i8").tobytes() if x in done else b""))
+            return pd.DataFrame(rows, columns=columns)
+
         for pdf in batches:
             keep = []
             for i, r in enumerate(pdf["r"]):  # repeated rows come together: take one
@@ -316,8 +331,6 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 last_r = r
             pdf = pdf.iloc[keep]
             raws, rs, ats = list(pdf["text"]), pdf["r"].to_numpy(), list(pdf["ats"])
-            entries: dict[int, dict[tuple[bytes, bytes], tuple[int, int]]] = {}
-            done: dict[int, list[tuple[int, int, int]]] = {}
             for i, a, h, first, last in anchors_of(raws):
                 raw, r = raws[i], int(rs[i])
                 pick = np.isin(a, ats[i])
@@ -326,6 +339,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     key = (raw[p : z + LENGTH], raw[f:p][::-1])
                     if key not in one:
                         one[key] = (r, p)
+                        size += len(key[0]) + len(key[1])
                         continue
                     # The whole context again in this task: all its windows are repeated.
                     spans = done.setdefault(x, [])
@@ -334,11 +348,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         spans.append((r0, p0 - len(key[1]), p0 + len(key[0])))
                         one[key] = (0, -1)
                     spans.append((r, f, z + LENGTH))
-            rows = []
-            for x, one in entries.items():
-                run = front_code(sorted((*k, *v) for k, v in one.items()))
-                rows.append((x, run, np.array(done[x], "<i8").tobytes() if x in done else b""))
-            yield pd.DataFrame(rows, columns=["bucket", "run", "done"])
+            if size > RUN_BYTES:
+                yield runs_of()
+                entries, done, size = {}, {}, 0
+        yield runs_of()
 
     keyed = ["r", "k1", "k2"]
     runs = base.join(wanted, keyed).select("r", "text", "ats").mapInPandas(sorted_runs, "bucket int, run binary, done binary")
