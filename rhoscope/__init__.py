@@ -1,0 +1 @@
+"""Perturbation-quality analytics as lazy Spark plans."""
