@@ -96,8 +96,9 @@ def segments(zone: int) -> int:
 
 def _split(h: np.ndarray, zone: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Segment and 46-bit weight of every element."""
-    seg = ((_mix(h + np.uint64(seed * 2 + 1) * _C[0]) >> np.uint64(32)) * np.uint64(segments(zone))) >> np.uint64(32)
-    return seg.astype(np.int64), (_mix(h + np.uint64(seed) * _C[1]) >> np.uint64(18)) | np.uint64(1)
+    deal, weigh = (np.uint64(k * int(c) % 2**64) for k, c in ((seed * 2 + 1, _C[0]), (seed, _C[1])))
+    seg = ((_mix(h + deal) >> np.uint64(32)) * np.uint64(segments(zone))) >> np.uint64(32)
+    return seg.astype(np.int64), (_mix(h + weigh) >> np.uint64(18)) | np.uint64(1)
 
 
 def _signature(total: np.ndarray, seg: np.ndarray, zone: int, seed: int) -> np.ndarray:
