@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -13,23 +13,30 @@ LOW, HIGH, GRID = 1e-8, 10.0, 200
 
 
 def usable(points: DataFrame, by: list[str]) -> DataFrame:
-    """Finite rho > -1 clipped to [0, 0.999]; groups with two distinct sizes at least."""
+    """Finite rho > -1 clipped to [0, 0.999]; groups with two distinct sizes at least.
+
+    A group is one unit's points, a few dozen rows: windows over it, no self-join.
+    """
     p = points.where(F.col("rho").isNotNull() & (F.col("rho") > -1)).withColumn("rho", S.clip("rho", 0.0, 0.999))
-    enough = p.groupBy(*by).agg(F.countDistinct("n_total").alias("k")).where("k >= 2").select(*by)
-    return p.join(enough, by, "left_semi")
+    return p.withColumn("kd", _distinct_sizes(by)).where("kd >= 2").drop("kd")
+
+
+def _distinct_sizes(by: list[str]):
+    return F.size(F.collect_set("n_total").over(Window.partitionBy(*by)))
 
 
 def fit_on_grid(points: DataFrame, by: list[str], steps: int = GRID) -> DataFrame:
     """Least squares over a logarithmic grid of tau^2 (about 11 % apart for 200 steps),
     wholly in SQL."""
-    p = usable(points, by)
-    k = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")
+    w = Window.partitionBy(*by)
+    whole = ["sst", "n_points", "max_n", "min_n"]
+    p = usable(points, by).withColumn("sst", F.var_pop("rho").over(w) * F.count("*").over(w)).withColumn("n_points", F.count("*").over(w))
+    p = p.withColumn("max_n", F.max("n_total").over(w)).withColumn("min_n", F.min("n_total").over(w))
     tau = F.exp(F.log(F.lit(LOW)) + F.col("k") * ((np.log(HIGH) - np.log(LOW)) / steps))
-    sse = p.select(*by, "n_total", "rho", k).withColumn("tau_sq", tau).withColumn("e", F.col("rho") - S.rho_at("tau_sq", "n_total"))
-    sse = sse.groupBy(*by, "k").agg(F.max("tau_sq").alias("tau_sq"), F.sum(F.col("e") * F.col("e")).alias("sse"))
-    best = sse.groupBy(*by).agg(F.min_by(F.struct("tau_sq", "sse"), F.struct(F.round("sse", 12), "k")).alias("b"))
-    tot = p.groupBy(*by).agg((F.var_pop("rho") * F.count("*")).alias("sst"), F.count("*").alias("n_points"), F.max("n_total").alias("max_n"), F.min("n_total").alias("min_n"))
-    out = best.join(tot, by).select(*by, "b.tau_sq", "b.sse", "sst", "n_points", "max_n", "min_n")
+    sse = p.select(*by, "n_total", "rho", *whole, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")).withColumn("tau_sq", tau)
+    sse = sse.withColumn("e", F.col("rho") - S.rho_at("tau_sq", "n_total"))
+    sse = sse.groupBy(*by, "k").agg(F.max("tau_sq").alias("tau_sq"), F.sum(F.col("e") * F.col("e")).alias("sse"), *[F.max(c).alias(c) for c in whole])
+    out = sse.groupBy(*by).agg(F.min_by(F.struct("tau_sq", "sse", *whole), F.struct(F.round("sse", 12), "k")).alias("b")).select(*by, "b.*")
     return out.withColumn("fit_r2", F.when(F.col("sst") > 1e-12, 1 - F.col("sse") / F.col("sst")).otherwise(0.0)).drop("sse", "sst")
 
 
@@ -72,11 +79,11 @@ def fit(points: DataFrame, by: list[str]) -> DataFrame:
 def pilot_points(points: DataFrame, by: list[str], pilots: list[int]) -> DataFrame:
     """Leave-future-out: the points up to each pilot size, where two distinct
     sizes are in and some are left out."""
-    p = usable(points, by)
-    total = p.groupBy(*by).agg(F.count("*").alias("n_all"))
+    p = usable(points, by).withColumn("n_all", F.count("*").over(Window.partitionBy(*by)))
     grown = p.withColumn("pilot_n", F.explode(F.array(*map(F.lit, pilots)))).where(F.col("n_total") <= F.col("pilot_n"))
-    ok = grown.groupBy(*by, "pilot_n").agg(F.count("*").alias("k"), F.countDistinct("n_total").alias("kd")).join(total, by).where("kd >= 2 and k < n_all")
-    return grown.join(ok.select(*by, "pilot_n"), [*by, "pilot_n"])
+    keys = [*by, "pilot_n"]
+    grown = grown.withColumn("k", F.count("*").over(Window.partitionBy(*keys))).withColumn("kd", _distinct_sizes(keys))
+    return grown.where("kd >= 2 and k < n_all").drop("n_all", "k", "kd")
 
 
 def accuracy(pairs: DataFrame, full: str, pilot: str, by: list[str]) -> DataFrame:
