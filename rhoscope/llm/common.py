@@ -77,14 +77,31 @@ def flag_by_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, row
 
     A superset test without a shuffle of ``df``: the bitmap has a fixed size.
     """
+    row, at, mask, bits = (fresh(df, c) for c in ("bm_row", "bm_at", "bm_mask", "bm_bits"))
     h = F.pmod(key, F.lit(rows * BITMAP_ROW_BITS))
     bit = (h % BITMAP_ROW_BITS).cast("int")
-    byte = F.conv(F.hex(F.expr("substring(bm_bits, bm_at + 1, 1)")), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.col(at) + 1, F.lit(1))), 16, 10).cast("int")
     return (
-        df.withColumn("bm_row", F.floor(h / BITMAP_ROW_BITS).cast("long"))
-        .withColumn("bm_at", F.floor(bit / 8).cast("int"))
-        .withColumn("bm_mask", F.pow(F.lit(2), bit % 8).cast("int"))
-        .join(F.broadcast(bitmap), "bm_row", "left")
-        .withColumn(flag, F.coalesce(byte.bitwiseAND(F.col("bm_mask")) != 0, F.lit(False)))
-        .drop("bm_row", "bm_at", "bm_mask", "bm_bits")
+        df.withColumn(row, F.floor(h / BITMAP_ROW_BITS).cast("long"))
+        .withColumn(at, F.floor(bit / 8).cast("int"))
+        .withColumn(mask, F.pow(F.lit(2), bit % 8).cast("int"))
+        .join(F.broadcast(bitmap.select(F.col("bm_row").alias(row), F.col("bm_bits").alias(bits))), row, "left")
+        .withColumn(flag, F.coalesce(byte.bitwiseAND(F.col(mask)) != 0, F.lit(False)))
+        .drop(row, at, mask, bits)
     )
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(df: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``df`` without the rows that ``gone`` names by ``gone_id`` and ``gone_key``
+    (:func:`text_key`).  Only rows that a bitmap can't rule out are shuffled."""
+    gone = cut(gone)
+    flag = fresh(df, "maybe_gone")
+    key = F.xxhash64(F.col(id_col), text_key(F.col(text_col)))
+    marked = flag_by_bitmap(df, key, bitmap_of(gone, F.xxhash64("gone_id", "gone_key")), flag)
+    doubtful = marked.where(flag).drop(flag)
+    left = doubtful.join(gone, (doubtful[id_col] == gone["gone_id"]) & (text_key(doubtful[text_col]) == gone["gone_key"]), "left_anti")
+    return marked.where(~F.col(flag)).drop(flag).unionByName(left)

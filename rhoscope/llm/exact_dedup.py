@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, flag_by_bitmap
+from .common import bitmap_of, cut, flag_by_bitmap, text_key, without_rows
 
 #: Characters of the normalised text that the prefix hash covers.
 PREFIX_CHARS = 256
@@ -34,6 +34,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``keep_id`` is the smallest id among equal normalised texts.
     """
+    return _grouped(df, id_col, text_col).drop("key").withColumnRenamed("id", id_col)
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     norm = normalised(F.col(text_col))
     # Level 1 and 2 in one narrow scan: length and prefix hash.
     sketch = df.select(F.octet_length(norm).alias("len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("pre"))
@@ -44,17 +48,19 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bitmap = bitmap_of(again, key)
     # Level 3: the full hash, only where (length, prefix) may occur again.
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select("id", "text", F.octet_length(normalised(F.col("text"))).alias("len"), F.xxhash64(F.substring(normalised(F.col("text")), 1, PREFIX_CHARS)).alias("pre"))
+    rows = rows.select("id", "text", text_key(F.col("text")).alias("key"), F.octet_length(normalised(F.col("text"))).alias("len"), F.xxhash64(F.substring(normalised(F.col("text")), 1, PREFIX_CHARS)).alias("pre"))
     rows = flag_by_bitmap(rows, key, bitmap, "again")
-    rows = rows.select("id", "again", "len", F.when(F.col("again"), F.sha2(normalised(F.col("text")), 256)).alias("full"))
-    alone = rows.where(~F.col("again")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    alike = rows.where("again").select("id", "len", "full")
-    groups = alike.groupBy("len", "full").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    alike = alike.join(groups, ["len", "full"]).select("id", "keep_id", "group_size")
-    return alone.unionByName(alike).withColumnRenamed("id", id_col)
+    rows = rows.select("id", "key", "again", "len", F.when(F.col("again"), F.sha2(normalised(F.col("text")), 256)).alias("full"))
+    alone = rows.where(~F.col("again")).select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    alike = rows.where("again").select("id", "key", "len", "full")
+    # Written out, so that the join is one of two plain shuffles, whose large partitions Spark can split.
+    groups = cut(alike.groupBy("len", "full").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")))
+    alike = alike.join(groups, ["len", "full"]).select("id", "key", "keep_id", "group_size")
+    return alone.unionByName(alike)
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the later copies: of equal texts the smallest id stays."""
-    gone = exact_groups(df, id_col, text_col).where(F.col(id_col) > F.col("keep_id")).select(F.col(id_col).alias("gone_id"))
-    return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+    """``df`` without the later copies: of equal texts the smallest id stays (rows
+    that repeat it and rows without an id stay too)."""
+    gone = _grouped(df, id_col, text_col).where(F.col("id") > F.col("keep_id"))
+    return without_rows(df, gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")), id_col, text_col)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, flag_by_bitmap, small_batches
+from .common import bitmap_of, cut, flag_by_bitmap, small_batches, text_key, without_rows
 from .components import connected_components
 
 SHINGLE = 5
@@ -258,6 +258,10 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries_per_bucket: int = 2_000_000) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``n_shingles``, ``component_id``
     (the smallest id reachable over links, its own included)."""
+    return _components(df, id_col, text_col, entries_per_bucket).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: int = 2_000_000) -> DataFrame:
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -265,14 +269,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def measured(batches: Iterator[pd.DataFrame], seed: int = 0) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for id_, text in pdf.itertuples(index=False):
+            for id_, key, text in pdf.itertuples(index=False):
                 h = shingles(text)
-                rows.append((id_, len(h), set_id(h), *filled(h, seed), sketch(h)))
-            yield pd.DataFrame(rows, columns=["id", "n", "rid", "filled", "double", "sketch"])
+                rows.append((id_, key, len(h), set_id(h), *filled(h, seed), sketch(h)))
+            yield pd.DataFrame(rows, columns=["id", "key", "n", "rid", "filled", "double", "sketch"])
 
     seed = 0
     while True:
-        members = cut(docs.mapInPandas(lambda it, seed=seed: measured(it, seed), f"id {kind}, n long, rid long, filled long, double long, sketch binary"))
+        members = cut(docs.select("id", text_key(F.col("text")).alias("key"), "text").mapInPandas(lambda it, seed=seed: measured(it, seed), f"id {kind}, key long, n long, rid long, filled long, double long, sketch binary"))
         sets = members.where("n > 0").groupBy("rid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("filled").alias("filled"), F.first("double").alias("double"), F.first("sketch").alias("sketch"))
         stats = cut(sets.withColumn("need", F.floor(2 * F.col("n") / 7) + 1))
         # Deletions add one for each segment of two or more; where that is not enough, deal anew.
@@ -326,14 +330,14 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     all_edges = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = cut(connected_components(all_edges))
 
-    named = members.join(roots, members["rid"] == roots["node"], "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", "rid")).alias("root"))
+    named = members.join(roots, members["rid"] == roots["node"], "left").select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "rid")).alias("root"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    lone = named.where("root is null").select("id", "n", F.col("id").alias("component_id"))
-    done = named.where("root is not null").join(smallest, "root").select("id", "n", "component_id").unionByName(lone)
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    lone = named.where("root is null").select("id", "key", "n", F.col("id").alias("component_id"))
+    return named.where("root is not null").join(smallest, "root").select("id", "key", "n", "component_id").unionByName(lone)
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with one document (the smallest id) of each component."""
-    gone = similar_components(df, id_col, text_col).where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone_id"))
-    return df.join(gone, df[id_col] == gone["gone_id"], "left_anti")
+    """``df`` with one document (the smallest id) of each component; rows that
+    repeat it and rows without an id stay too."""
+    gone = _components(df, id_col, text_col).where(F.col("id") > F.col("component_id"))
+    return without_rows(df, gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")), id_col, text_col)

@@ -374,3 +374,34 @@ def test_components(spark):
     got = {r.node: r.root for r in out.collect()}
     assert got == {x: r for x, r in want.items() if sum(v == r for v in want.values()) > 1}
 
+
+
+# --- the pipeline --------------------------------------------------------------------------------
+
+
+def test_stages_keep_the_right_rows(spark, corpus):
+    """Each dedup stage against brute force, with ids that repeat on other texts."""
+    rows = [*corpus, (3, "another text under an id that repeats " * 3), (60, "one"), (None, "one")]
+    df = frame(spark, rows)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[norm(t)] = min(least.get(norm(t), i), i)
+    out = exact_dedup.keep_first(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in out.collect()) == sorted((str(i), t or "") for i, t in rows if i is None or i == least[norm(t)])
+    known = [r for r in rows if r[0] is not None]
+    near = jaccard.keep_one_of_each(frame(spark, known))
+    want = [(d, t or "") for (d, t), (_, _, c) in zip(sorted(known, key=lambda r: (r[0], r[1] or "")), brute_in_order(sorted(known, key=lambda r: (r[0], r[1] or ""))), strict=True) if d == c]
+    assert sorted((r.doc_id, r.text or "") for r in near.collect()) == sorted(want)
+
+
+def brute_in_order(rows):
+    """Components of ``rows`` in their order."""
+    marked = [(k, t) for k, (_, t) in enumerate(rows)]
+    reach = {k: c for k, _, c in brute_components(marked)}
+    least = {}
+    for k, (d, _) in enumerate(rows):
+        least[reach[k]] = min(least.get(reach[k], d), d)
+    return [(d, 0, least[reach[k]]) for k, (d, _) in enumerate(rows)]
