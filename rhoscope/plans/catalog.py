@@ -474,9 +474,9 @@ def bootstrap_ci(spark, d):
     return rounded(BS.bootstrap_summary(_boot(spark, d)))
 
 
-# Retraining scores: line number 1 is the treated arm, 2-4 the comparators, discount and tax the metrics.
+# Retraining scores: line number 1 is the treated arm, the others are comparators, discount and tax the metrics.
 PAIRS = r"""pe0 AS (SELECT r_name AS dataset, p_brand AS unit, l_linenumber AS k, l_discount AS up_metric, l_tax AS down_metric
-  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_linenumber <= 4),
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 pt AS (SELECT dataset, unit, avg(up_metric) AS u, avg(down_metric) AS w FROM pe0 WHERE k = 1 GROUP BY ALL),
 pc AS (SELECT 'arm' || k AS comparator, dataset, unit, avg(up_metric) AS u, avg(down_metric) AS w FROM pe0 WHERE k > 1 GROUP BY ALL),
 pe AS (SELECT comparator, dataset, unit, 'up_metric' AS metric, pt.u AS score_treatment, pc.u AS score_comparator, pt.u - pc.u AS effect FROM pc JOIN pt USING (dataset, unit)
@@ -484,18 +484,19 @@ pe AS (SELECT comparator, dataset, unit, 'up_metric' AS metric, pt.u AS score_tr
 
 
 def _effects(spark: SparkSession, d: str) -> DataFrame:
-    line = IO.table(spark, d, "lineitem").where("l_linenumber <= 4").select("l_partkey", "l_suppkey", "l_linenumber", F.col("l_discount").alias("up_metric"), F.col("l_tax").alias("down_metric"))
+    line = IO.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", F.col("l_discount").alias("up_metric"), F.col("l_tax").alias("down_metric"))
     part = IO.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("unit"))
     supp = IO.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
     nation = IO.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey"))
     region = IO.table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("dataset"))
     rows = line.join(part, "l_partkey").join(supp, "l_suppkey").join(nation, "n_nationkey").join(region, "r_regionkey").withColumn("arm", F.concat(F.lit("arm"), "l_linenumber"))
-    return T.paired_effects(rows, "arm1", ["arm2", "arm3", "arm4"], ["dataset", "unit"], {"up_metric": True, "down_metric": False})
+    return T.paired_effects(rows, "arm1", [f"arm{k}" for k in range(2, 8)], ["dataset", "unit"], {"up_metric": True, "down_metric": False})
 
 
-@query(f"WITH {PAIRS} SELECT comparator, dataset, unit, metric, {r6('score_treatment', 'score_comparator', 'effect')} FROM pe")
+# Nine digits: means of two-decimal values often end in a 5 at the seventh.
+@query(f"WITH {PAIRS} SELECT comparator, dataset, unit, metric, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in ('score_treatment', 'score_comparator', 'effect'))} FROM pe")
 def paired_effects(spark, d):
-    return rounded(_effects(spark, d))
+    return rounded(_effects(spark, d), 9)
 
 
 @query(f"""WITH {PAIRS}, pl AS (SELECT *, row_number() OVER (PARTITION BY comparator, dataset, metric ORDER BY unit) - 1 AS pos, count(*) OVER (PARTITION BY comparator, dataset, metric) AS size FROM pe),
@@ -577,9 +578,9 @@ def common_topk_overlap(spark, d):
     return rounded(T.common_top(R.deltas(c).select("unit", "g", F.col("delta").alias("pred")), R.welch_t(c), TOPK))
 
 
-@query(f"WITH {CELLS} SELECT g, {r6('avg(delta) AS pred')} FROM delta WHERE unit % 3 <> 0 GROUP BY g")
+@query(f"WITH {CELLS} SELECT g, {r6('avg(delta) AS pred')} FROM delta GROUP BY g")
 def mean_predictor(spark, d):
-    train = R.deltas(X.cells_planted(spark, d)).where("unit % 3 <> 0").withColumn("arm", F.lit("all"))
+    train = R.deltas(X.cells_planted(spark, d)).withColumn("arm", F.lit("all"))
     return rounded(T.mean_predictor(train, ["arm"]).drop("arm"))
 
 
@@ -621,13 +622,13 @@ def prediction_metrics(spark, d):
 
 @query()
 def ridge_predictor(spark, d):
-    """Leave-one-third-out predictions; the target gene of unit u is gene u."""
+    """Predictions for all units; the target gene of unit u is gene u."""
     c = X.cells_planted(spark, d)
     arr = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("g", v))), lambda s: s[v])
     expr = R.centroids(c).where("unit <> 0").groupBy("unit").agg(arr("m").alias("expr"))
     both = R.deltas(c).groupBy("unit").agg(arr("delta").alias("delta")).join(expr, "unit")
     both = both.withColumn("target", F.col("unit").cast("int")).withColumn("arm", F.lit("all"))
-    return rounded(T.ridge_predictor(both, both.where("unit % 3 = 0"), ["arm"], X.GENES))
+    return rounded(T.ridge_predictor(both, both, ["arm"]))
 
 
 # --- saturation ----------------------------------------------------------------------------------
