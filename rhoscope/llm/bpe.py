@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,15 +31,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import cuts
-from .common import BITMAP_ROW_BITS, bitmap_of, cut, flag_by_bitmap
+from .common import BITMAP_ROW_BITS, bitmap_of, cut, flag_by_bitmap, small_batches
 
 #: Words remembered per worker; longer words are not kept.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+MEMO_WORDS, MEMO_BYTES = 250_000, 64
 BITMAP_ROWS = 1024
 
 
+#: Words whose normal form and pieces plain Python knows for certain: printable
+#: ASCII and the letters of Latin-1.  All others go through the whole library.
+_PLAIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u00ff"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes: visible Latin-1 ones for themselves, the
+    others numbered from U+0100."""
+    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class Encoder:
-    """Encodes texts word by word with a bounded memory of words."""
+    """Encodes texts word by word with a bounded memory of words.
+
+    The tokenizer works on pieces of words; a word's pieces and their merges do
+    not depend on its neighbours.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,21 +66,38 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, text: str) -> bytes:
+        shown = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
+        ids = [t.id for t in self.model.tokenize(shown)]
+        out = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _word(self, word: bytes) -> bytes:
+        if b"<|" in word or not _PLAIN.fullmatch(word):
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        pieces = self.pieces
+        return b"".join([pieces[p] if p in pieces else self._piece(p) for p in _PIECES.findall(word.decode().lower())])
 
     def encode(self, raw: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
-        words = raw.split()  # bytes: ASCII white space only, at which a text may always be cut
-        memo = self.memo
-        if missing := [w for w in set(words) if w not in memo]:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                missing = list(set(words))
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False)
-            got = {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(missing, encoded, strict=True)}
-            memo.update((w, b) for w, b in got.items() if len(w) <= MEMO_BYTES)
-            return b"".join([memo[w] if w in memo else got[w] for w in words])
-        return b"".join(map(memo.__getitem__, words))
+        memo, out = self.memo, []
+        if len(memo) + len(self.pieces) > MEMO_WORDS:
+            memo.clear()
+            self.pieces.clear()
+        for w in raw.split():  # bytes: ASCII white space only, at which a text may always be cut
+            ids = memo.get(w)
+            if ids is None:
+                ids = self._word(w)
+                if len(w) <= MEMO_BYTES:
+                    memo[w] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=1)
@@ -142,12 +178,21 @@ def _raw(text: str | None) -> bytes:
     return text.encode() if text else b""
 
 
-def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, tuple[str, Callable[[bytes], object]]] | None = None) -> DataFrame:
     """One row per row of ``df``: ``id_col`` and ``ids`` (binary, unsigned
-    32-bit little-endian)."""
+    32-bit little-endian); or, with ``derive`` (name -> SQL type and a function of
+    the ids), those columns instead, made in the task that has the ids at hand."""
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
+    kind = docs.schema["id"].dataType.simpleString()
+    derive = derive or {"ids": ("binary", bytes)}
+    result = ", ".join([f"id {kind}", *(f"{name} {t}" for name, (t, _) in derive.items())])
+
+    def finished(ids_of: list, ids: list[bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"id": pd.Series(ids_of, dtype=object), **{name: [f(i) for i in ids] for name, (_, f) in derive.items()}})
+
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -191,12 +236,13 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         """Texts without shared chunks, encoded where they are read."""
         known, enc = Shared(shared.value), encoder(path)
         for pdf in batches:
-            rows = []
+            whose, ids = [], []
             for id_, text in pdf.itertuples(index=False):
                 raw = _raw(text)
                 if not any(_key(c)[0] in known for c in _chunks(raw)):
-                    rows.append((id_, enc.encode(raw)))
-            yield pd.DataFrame(rows, columns=["id", "ids"])
+                    whose.append(id_)
+                    ids.append(enc.encode(raw))
+            yield finished(whose, ids)
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of the other texts, the runs of chunks that no other text has."""
@@ -218,9 +264,8 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     rows.append((id_, *_key(raw), [dict(zip(("seq", "head", "body", "tail"), (n, *piece(r, enc)), strict=True)) for n, r in runs]))
             yield pd.DataFrame(rows, columns=["id", "k1", "k2", "own"])
 
-    kind = docs.schema["id"].dataType.simpleString()
     part = "struct<seq:int,head:binary,body:binary,tail:binary>"
-    alone = docs.mapInPandas(whole, f"id {kind}, ids binary")
+    alone = docs.mapInPandas(whole, result)
     mine = docs.mapInPandas(own, f"id {kind}, k1 long, k2 long, own array<{part}>")
 
     # Ids of shared chunks, once per distinct text that needs them.
@@ -235,7 +280,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             for a, b in zip(pdf["own"], pdf["given"], strict=True):
                 parts = sorted([*a, *b], key=lambda p: p["seq"])
                 ids.append(repair([(p["head"], p["body"], p["tail"]) for p in parts], enc))
-            yield pd.DataFrame({"id": pdf["id"], "ids": ids})
+            yield finished(list(pdf["id"]), ids)
 
-    done = joined.select("id", "own", "given").mapInPandas(assemble, f"id {kind}, ids binary")
+    done = joined.select("id", "own", "given").mapInPandas(assemble, result)
     return alone.unionByName(done).withColumnRenamed("id", id_col)

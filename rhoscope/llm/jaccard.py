@@ -16,9 +16,9 @@ are indexed in such bands alone), which covers two differences each.
 Index entries travel packed, as sorted arrays in a binary per bucket of hash
 values.  Equal sets are one record.  Inside a group of equal subsets first only
 pairs with one leader are verified and connected; what is left in different
-components is paired in full, under the allocation.  Candidates pass an exact
-lower bound of the difference (parity sketches) and are then verified on their
-texts.  Copies and large clusters thus never expand into all pairs.
+components is compared under the allocation, inside tasks, by an exact lower
+bound of the difference (parity sketches).  Only pairs within the bound leave a
+task; they are verified on their texts.  Copies and large clusters thus never expand into all pairs.
 
 Shingles and sets are identified by 64-bit hashes.
 
@@ -42,6 +42,8 @@ from .common import bitmap_of, cut, flag_by_bitmap, small_batches, text_key, wit
 from .components import connected_components
 
 SHINGLE = 5
+#: Askers of a group of equal subsets that one task takes on.
+CROWD = 4_096
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -221,6 +223,44 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": np.full(len(sig), pdf["bucket"].iloc[0], np.int32), "sig": sig.astype(np.int64), "rid": rid, "own": role % 2 == 0, "exact": role < 2})
 
 
+def _likely_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of an asker and a smaller member of its group, in different
+    components, that sizes and sketches allow; no other pair leaves the task."""
+    key = pdf[["bucket", "sig", "salt"]].to_numpy(np.int64)
+    order = np.lexsort(key.T)
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else []
+    rid, n, root = (pdf[c].to_numpy(np.int64)[order] for c in ("rid", "n", "root"))
+    asks, sketches = pdf["asks"].to_numpy(bool)[order], pdf["sketch"].to_numpy()[order]
+    found = [np.empty((0, 2), np.int64)]
+    for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
+        x, y = s + np.flatnonzero(asks[s:e]), s + np.flatnonzero(~asks[s:e])
+        if not len(x) or (root[s:e] == root[s]).all():
+            continue
+        least = min(map(len, sketches[s:e]))  # members of a band: at most twice that
+
+        def folded(at: np.ndarray, least: int = least) -> np.ndarray:
+            rows = []
+            for b in sketches[at]:
+                v = np.frombuffer(b, np.uint64)
+                while len(v) * 8 > least:
+                    v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+                rows.append(v)
+            return np.stack(rows)
+
+        fx, fy = folded(x), folded(y)
+        step = max(1, 4_000_000 // (len(y) * least))
+        for k in range(0, len(x), step):
+            i = x[k : k + step]
+            apart = np.bitwise_count(fx[k : k + step, None, :] ^ fy[None, :, :]).sum(axis=2, dtype=np.int64)
+            nx, ny = n[i][:, None], n[y][None, :]
+            ok = (apart <= (nx + ny) // 7) & (root[i][:, None] != root[y][None, :]) & (ny <= nx) & (4 * ny >= 3 * nx)
+            p, q = np.nonzero(ok)
+            found.append(np.sort(np.stack([rid[i[p]], rid[y[q]]], axis=1), axis=1))
+    out = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+
 def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of records that are similar, tested on their texts."""
     info = stats.select("rid", "n", "sketch")
@@ -318,14 +358,18 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
     # Second round: groups that still hold several components, under the allocation.
     rooted = groups.join(roots, groups["rid"] == roots["node"], "left").select(*g, "rid", "own", "exact", F.coalesce("root", "rid").alias("root"))
     mixed = rooted.groupBy(*g).agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(*g, "size")
-    left = rooted.join(mixed, g).join(stats.select("rid", "n", "filled", "need"), "rid")
+    left = rooted.join(mixed, g).join(stats.select("rid", "n", "filled", "need", "sketch"), "rid")
     rank = F.row_number().over(Window.partitionBy("rid", "own", "exact").orderBy(F.desc("size"), *g))
     # Left out: the most frequent subsets, as many as the set can spare.  Deletions are never left out.
-    left = cut(left.withColumn("out", F.col("own") & F.col("exact") & (rank <= F.col("filled") - F.col("need"))).drop("size"))
-    x = left.where("own and not out").select(*g, F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    y = left.select(*g, F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    cross = x.join(y, g).where("rx != ry and (ny < nx or (ny = nx and y != x)) and 4 * ny >= 3 * nx")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = left.withColumn("out", F.col("own") & F.col("exact") & (rank <= F.col("filled") - F.col("need")))
+    left = cut(left.withColumn("salts", F.ceil(F.col("size") / CROWD).cast("int")).select(*g, "rid", "n", "root", "sketch", "salts", (F.col("own") & ~F.col("out")).alias("asks")))
+    # Crowded groups are split: askers are dealt out, the members they ask go to each part.
+    member = [*g, "rid", "n", "root", "sketch"]
+    asks = left.where("asks").select(*member, F.pmod(F.xxhash64("rid"), "salts").cast("int").alias("salt"), F.lit(True).alias("asks"))
+    asked = left.select(*member, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("asks"))
+    parts = max(16, left.count() // 20_000)
+    cross = asks.unionByName(asked).withColumn("part", F.pmod(F.xxhash64(*g, "salt"), F.lit(parts)))
+    cross = cross.groupBy("part").applyInPandas(_likely_pairs, "a long, b long").distinct()
     more = _verify(cross, stats, docs)
     all_edges = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     roots = cut(connected_components(all_edges))

@@ -52,24 +52,14 @@ FROM b GROUP BY conv_id
 # --- 2 BPE ---------------------------------------------------------------------------------------
 
 
-def _digest_ids(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    kind = encoded.schema[id_col].dataType.simpleString()
-
-    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({
-                id_col: pdf[id_col],
-                "n_tokens": [len(i) // 4 for i in pdf["ids"]],
-                "ids_sha256": [hashlib.sha256(i).hexdigest() for i in pdf["ids"]],
-                "decoded_sha256": [hashlib.sha256(bpe.decode(i, path).encode()).hexdigest() for i in pdf["ids"]],
-            })
-
-    return encoded.mapInPandas(decoded, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path()
-    return _digest_ids(bpe.encode_documents(read(spark, sf_dir, "documents"), path), path)
+    digests = {
+        "n_tokens": ("long", lambda ids: len(ids) // 4),
+        "ids_sha256": ("string", lambda ids: hashlib.sha256(ids).hexdigest()),
+        "decoded_sha256": ("string", lambda ids: hashlib.sha256(bpe.decode(ids, path).encode()).hexdigest()),
+    }
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), path, derive=digests)
 
 
 # --- 3 license scans -----------------------------------------------------------------------------

@@ -298,15 +298,19 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             r = pdf["r"].to_numpy()
-            got = [(np.full(len(a), r[i]), h.astype(np.int64), a) for i, a, h, _, _ in anchors_of(list(pdf["text"]))]
-            if got:
-                yield pd.DataFrame(dict(zip(("r", "h", "at"), map(np.concatenate, zip(*got, strict=True)), strict=True)))
+            rows = []
+            for i, a, h, _, _ in anchors_of(list(pdf["text"])):
+                order = np.argsort(h, kind="stable")  # periodic texts have one anchor many times: one row
+                first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+                rows += [(r[i], x, at) for x, at in zip(h[order][first].astype(np.int64).tolist(), np.split(a[order].astype(np.int32), first[1:]), strict=True)]
+            yield pd.DataFrame(rows, columns=["r", "h", "ats"])
 
     texts = flag_by_bitmap(base.select("r", "text"), F.col("r"), bitmap_of(copies, F.col("rep")), "rep").where("rep").select("r", "text")
-    # One shuffle serves the count and the join.  A document has many anchors, so no one of them is hot.
-    found = texts.mapInPandas(anchors, "r long, h long, at int").repartition("h")
-    again = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    wanted = found.join(again, "h").groupBy("r").agg(F.collect_set("at").alias("ats"))
+    # One shuffle serves the count and the join, as both read the same columns.  A text
+    # has one row for each of its many anchors, so the hottest anchor has a small share.
+    found = texts.mapInPandas(anchors, "r long, h long, ats array<int>").repartition("h")
+    again = found.groupBy("h").agg(F.sum(F.size("ats")).alias("c"), F.min("r").alias("r0")).where("c > 1 and r0 is not null").select("h")
+    wanted = found.join(again, "h").groupBy("r").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"))
     wanted = cut(wanted.join(copies.select(F.col("rep").alias("r"), "k1", "k2"), "r"))
 
     def sorted_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
