@@ -17,8 +17,9 @@ Index entries travel packed, as sorted arrays in a binary per bucket of hash
 values.  Equal sets are one record.  Inside a group of equal subsets first only
 pairs with one leader are verified and connected; what is left in different
 components is compared under the allocation, inside tasks, by an exact lower
-bound of the difference (parity sketches).  Only pairs within the bound leave a
-task; they are verified on their texts.  Copies and large clusters thus never expand into all pairs.
+bound of the difference (parity sketches): first every record with its nearest
+neighbour in another component, then, among what is still apart, with all.  Only
+pairs within the bound leave a task; they are verified on their texts.  Copies and large clusters thus never expand into all pairs.
 
 Shingles and sets are identified by 64-bit hashes.
 
@@ -64,9 +65,12 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(w) - k + 1)
     h = np.full(n, min(len(w), k), np.uint64)
-    for j in range(min(k, len(w))):
-        h = _mix(h * _C[0] + w[j : j + n] * _C[1 + j % 2] + np.uint64(j))
-    return np.unique(h)
+    for j in range(min(k, len(w))):  # a polynomial in word hashes: order counts, one mixing ends it
+        h *= _C[0]
+        h += w[j : j + n]
+    h = _mix(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def set_id(h: np.ndarray) -> int:
@@ -132,9 +136,10 @@ def filled(h: np.ndarray, seed: int) -> tuple[int, int]:
 
 
 def sketch(h: np.ndarray) -> bytes:
-    """Parity of the elements in each of 2**k cells, about one cell an element."""
+    """Parity of the elements in each of 2**k cells, two to four cells an element:
+    with fewer, the bound would let many pairs pass that differ by too much."""
     cells = 256
-    while cells < len(h):
+    while cells < 2 * len(h):
         cells *= 2
     odd = np.bincount((_mix(h ^ _C[4]) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -223,9 +228,10 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"bucket": np.full(len(sig), pdf["bucket"].iloc[0], np.int32), "sig": sig.astype(np.int64), "rid": rid, "own": role % 2 == 0, "exact": role < 2})
 
 
-def _likely_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _likely_pairs(pdf: pd.DataFrame, nearest: bool = False) -> pd.DataFrame:
     """Pairs of an asker and a smaller member of its group, in different
-    components, that sizes and sketches allow; no other pair leaves the task."""
+    components, that sizes and sketches allow; no other pair leaves the task.
+    ``nearest``: of each asker's pairs only the closest by sketch."""
     key = pdf[["bucket", "sig", "salt"]].to_numpy(np.int64)
     order = np.lexsort(key.T)
     key = key[order]
@@ -255,7 +261,11 @@ def _likely_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
             apart = np.bitwise_count(fx[k : k + step, None, :] ^ fy[None, :, :]).sum(axis=2, dtype=np.int64)
             nx, ny = n[i][:, None], n[y][None, :]
             ok = (apart <= (nx + ny) // 7) & (root[i][:, None] != root[y][None, :]) & (ny <= nx) & (4 * ny >= 3 * nx)
-            p, q = np.nonzero(ok)
+            if nearest:
+                p = np.flatnonzero(ok.any(axis=1))
+                q = np.where(ok, apart, np.iinfo(np.int64).max)[p].argmin(axis=1)
+            else:
+                p, q = np.nonzero(ok)
             found.append(np.sort(np.stack([rid[i[p]], rid[y[q]]], axis=1), axis=1))
     out = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
@@ -355,24 +365,34 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
     edges = _verify(star, stats, docs)
     roots = cut(connected_components(edges))
 
-    # Second round: groups that still hold several components, under the allocation.
-    rooted = groups.join(roots, groups["rid"] == roots["node"], "left").select(*g, "rid", "own", "exact", F.coalesce("root", "rid").alias("root"))
-    mixed = rooted.groupBy(*g).agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(*g, "size")
-    left = rooted.join(mixed, g).join(stats.select("rid", "n", "filled", "need", "sketch"), "rid")
-    rank = F.row_number().over(Window.partitionBy("rid", "own", "exact").orderBy(F.desc("size"), *g))
-    # Left out: the most frequent subsets, as many as the set can spare.  Deletions are never left out.
-    left = left.withColumn("out", F.col("own") & F.col("exact") & (rank <= F.col("filled") - F.col("need")))
-    left = cut(left.withColumn("salts", F.ceil(F.col("size") / CROWD).cast("int")).select(*g, "rid", "n", "root", "sketch", "salts", (F.col("own") & ~F.col("out")).alias("asks")))
-    # Crowded groups are split: askers are dealt out, the members they ask go to each part.
-    member = [*g, "rid", "n", "root", "sketch"]
-    asks = left.where("asks").select(*member, F.pmod(F.xxhash64("rid"), "salts").cast("int").alias("salt"), F.lit(True).alias("asks"))
-    asked = left.select(*member, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("asks"))
-    parts = max(16, left.count() // 20_000)
-    cross = asks.unionByName(asked).withColumn("part", F.pmod(F.xxhash64(*g, "salt"), F.lit(parts)))
-    cross = cross.groupBy("part").applyInPandas(_likely_pairs, "a long, b long").distinct()
-    more = _verify(cross, stats, docs)
-    all_edges = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-    roots = cut(connected_components(all_edges))
+    def crossed(roots: DataFrame, nearest: bool) -> DataFrame:
+        """Similar pairs in groups that still hold several components, under the allocation."""
+        rooted = groups.join(roots, groups["rid"] == roots["node"], "left").select(*g, "rid", "own", "exact", F.coalesce("root", "rid").alias("root"))
+        mixed = rooted.groupBy(*g).agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(*g, "size")
+        left = rooted.join(mixed, g).join(stats.select("rid", "n", "filled", "need", "sketch"), "rid")
+        rank = F.row_number().over(Window.partitionBy("rid", "own", "exact").orderBy(F.desc("size"), *g))
+        # Left out: the most frequent subsets, as many as the set can spare.  Deletions are never left out.
+        left = left.withColumn("out", F.col("own") & F.col("exact") & (rank <= F.col("filled") - F.col("need")))
+        left = cut(left.withColumn("salts", F.ceil(F.col("size") / CROWD).cast("int")).select(*g, "rid", "n", "root", "sketch", "salts", (F.col("own") & ~F.col("out")).alias("asks")))
+        # Crowded groups are split: askers are dealt out, the members they ask go to each part.
+        member = [*g, "rid", "n", "root", "sketch"]
+        asks = left.where("asks").select(*member, F.pmod(F.xxhash64("rid"), "salts").cast("int").alias("salt"), F.lit(True).alias("asks"))
+        asked = left.select(*member, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("asks"))
+        parts = max(16, left.count() // 20_000)
+        cross = asks.unionByName(asked).withColumn("part", F.pmod(F.xxhash64(*g, "salt"), F.lit(parts)))
+
+        def likely(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _likely_pairs(pdf, nearest)
+
+        return _verify(cross.groupBy("part").applyInPandas(likely, "a long, b long").distinct(), stats, docs)
+
+    # Second round: every asker with its nearest neighbour in another component, which
+    # joins what a large group of near copies left apart and keeps the last round small.
+    # Last round: all pairs that are likely and still apart.
+    for nearest in (True, False):
+        more = crossed(roots, nearest)
+        all_edges = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        roots = cut(connected_components(all_edges))
 
     named = members.join(roots, members["rid"] == roots["node"], "left").select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "rid")).alias("root"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
