@@ -50,7 +50,8 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", "text", text_key(F.col("text")).alias("key"), F.octet_length(normalised(F.col("text"))).alias("len"), F.xxhash64(F.substring(normalised(F.col("text")), 1, PREFIX_CHARS)).alias("pre"))
     rows = flag_by_bitmap(rows, key, bitmap, "again")
-    rows = rows.select("id", "key", "again", "len", F.when(F.col("again"), F.sha2(normalised(F.col("text")), 256)).alias("full"))
+    # Written out (ids and hashes, no texts): two readers follow, and the texts are read once for both.
+    rows = cut(rows.select("id", "key", "again", "len", F.when(F.col("again"), F.sha2(normalised(F.col("text")), 256)).alias("full")))
     alone = rows.where(~F.col("again")).select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     alike = rows.where("again").select("id", "key", "len", "full")
     # Written out, so that the join is one of two plain shuffles, whose large partitions Spark can split.
