@@ -26,7 +26,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-REPS, GRID, TOPK, BOOT, PERMS = 20, [8, 16], 16, 50, 20
+REPS, TOPK, BOOT, PERMS = 20, 16, 50, 20
+#: Sizes of a half and of a pilot as in the reference; a unit takes those it has cells for.
+GRID, PILOTS = [8, 16, 32, 64, 128, 256, 512], [*range(10, 99, 2)]
 BASELINE = "m1"
 
 
@@ -664,7 +666,7 @@ def power_flags(spark, d):
     return rounded(N.power_flags(N.fit_on_grid(_points(spark, d), ["unit"]).select("unit", "tau_sq").join(n, "unit"), "n_cells"))
 
 
-@query(f"""WITH {POINTS}, gr AS (SELECT unit, p AS pilot_n, n_total, rho FROM pt, (VALUES (32), (40)) t(p) WHERE n_total <= p),
+@query(f"""WITH {POINTS}, gr AS (SELECT unit, p AS pilot_n, n_total, rho FROM pt, (VALUES ({'), ('.join(map(str, PILOTS))})) t(p) WHERE n_total <= p),
 ok AS (SELECT gr.unit, pilot_n FROM gr JOIN (SELECT unit, count(*) AS n_all FROM pt GROUP BY unit) a ON gr.unit = a.unit GROUP BY gr.unit, pilot_n HAVING count(DISTINCT n_total) >= 2 AND count(*) < max(n_all)),
 s2 AS (SELECT gr.unit, pilot_n, k, max(tau_sq) AS tau_sq, sum((rho - n_total * tau_sq / (n_total * tau_sq + 1)) ** 2) AS sse FROM gr JOIN ok USING (unit, pilot_n), gk GROUP BY gr.unit, pilot_n, k),
 b2 AS (SELECT unit, pilot_n, tau_sq FROM (SELECT *, row_number() OVER (PARTITION BY unit, pilot_n ORDER BY round(sse, 12), k) AS rn FROM s2) WHERE rn = 1)
@@ -672,7 +674,7 @@ SELECT unit::BIGINT AS unit, pilot_n::BIGINT AS pilot_n, {r6('ft.tau_sq AS tau_f
 def pilot_simulation(spark, d):
     p = _points(spark, d)
     full = N.fit_on_grid(p, ["unit"]).select("unit", F.col("tau_sq").alias("tau_full"))
-    part = N.fit_on_grid(N.pilot_points(p, ["unit"], [32, 40]), ["unit", "pilot_n"]).select("unit", "pilot_n", F.col("tau_sq").alias("tau_pilot"))
+    part = N.fit_on_grid(N.pilot_points(p, ["unit"], PILOTS), ["unit", "pilot_n"]).select("unit", "pilot_n", F.col("tau_sq").alias("tau_pilot"))
     return rounded(part.join(full, "unit"))
 
 

@@ -13,7 +13,7 @@ from ..operators import retrain as T
 from ..operators import saturation as N
 from ..operators import triage as C
 from ..sources import fixtures as X
-from .catalog import AXIS, BASELINE, EXCESS, PAIRS, POINTS, SCORES, _effects, _points, _reliability, _scored, _triage, _units, query, r6, rounded
+from .catalog import AXIS, BASELINE, EXCESS, PAIRS, PILOTS, POINTS, SCORES, _effects, _points, _reliability, _scored, _triage, _units, query, r6, rounded
 
 # --- experiments ---------------------------------------------------------------------------------
 
@@ -130,7 +130,7 @@ def report_fit_histogram(spark, d):
     return f.groupBy(S.hist_bin("r2", -1.0, 1.0, 20).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {POINTS}, gr AS (SELECT unit, p AS pilot_n, n_total, rho FROM pt, (VALUES (32), (40)) t(p) WHERE n_total <= p),
+@query(f"""WITH {POINTS}, gr AS (SELECT unit, p AS pilot_n, n_total, rho FROM pt, (VALUES ({'), ('.join(map(str, PILOTS))})) t(p) WHERE n_total <= p),
 ok AS (SELECT gr.unit, pilot_n FROM gr JOIN (SELECT unit, count(*) AS n_all FROM pt GROUP BY unit) a ON gr.unit = a.unit GROUP BY gr.unit, pilot_n HAVING count(DISTINCT n_total) >= 2 AND count(*) < max(n_all)),
 s2 AS (SELECT gr.unit, pilot_n, k, max(tau_sq) AS tau_sq, sum((rho - n_total * tau_sq / (n_total * tau_sq + 1)) ** 2) AS sse FROM gr JOIN ok USING (unit, pilot_n), gk GROUP BY gr.unit, pilot_n, k),
 b2 AS (SELECT unit, pilot_n, tau_sq FROM (SELECT *, row_number() OVER (PARTITION BY unit, pilot_n ORDER BY round(sse, 12), k) AS rn FROM s2) WHERE rn = 1),
@@ -139,7 +139,7 @@ SELECT pilot_n::BIGINT AS pilot_n, {r6('covar_pop(a, b) / nullif(stddev_pop(a) *
 def report_pilot_accuracy(spark, d):
     p = _points(spark, d)
     full = N.fit_on_grid(p, ["unit"]).select("unit", F.col("tau_sq").alias("f"))
-    part = N.fit_on_grid(N.pilot_points(p, ["unit"], [32, 40]), ["unit", "pilot_n"]).select("unit", "pilot_n", F.col("tau_sq").alias("t"))
+    part = N.fit_on_grid(N.pilot_points(p, ["unit"], PILOTS), ["unit", "pilot_n"]).select("unit", "pilot_n", F.col("tau_sq").alias("t"))
     return rounded(N.accuracy(part.join(full, "unit"), "f", "t", ["pilot_n"]))
 
 
