@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-REPS, TOPK, BOOT, PERMS = 20, 16, 50, 20
+REPS, TOPK, BOOT, PERMS, FDR = 20, 16, 50, 1000, 0.05
 #: Sizes of a half and of a pilot as in the reference; a unit takes those it has cells for.
 GRID, PILOTS = [8, 16, 32, 64, 128, 256, 512], [*range(10, 99, 2)]
 BASELINE = "m1"
@@ -740,10 +740,10 @@ def shared_vs_residual_enrichment(spark, d):
     return rounded(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS))
 
 
-@query(f"""WITH {ENRICH}, s AS (SELECT * FROM en WHERE fdr < 0.9)
+@query(f"""WITH {ENRICH}, s AS (SELECT * FROM en WHERE fdr < {FDR})
 SELECT term, count(DISTINCT unit) FILTER (side = 'shared') AS n_shared, count(DISTINCT unit) FILTER (side = 'specific') AS n_specific, count(DISTINCT unit) FILTER (side = 'specific') > 0 AND count(DISTINCT unit) FILTER (side = 'shared') = 0 AS specific_only FROM s GROUP BY term""")
 def program_sets(spark, d):
-    return rounded(G.programs(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS), "side", 0.9))
+    return rounded(G.programs(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS), "side", FDR))
 
 
 # --- reports and sources -------------------------------------------------------------------------
