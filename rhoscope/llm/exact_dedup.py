@@ -29,15 +29,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, ``keep_id``, ``group_size``.
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None) -> DataFrame:
+    """One row per input row: ``id_col``, ``keep_id``, ``group_size`` and, as column
+    ``digest``, the SHA-256 of the normalised text (which then is hashed in every row).
 
     ``keep_id`` is the smallest id among equal normalised texts.
     """
-    return _grouped(df, id_col, text_col).drop("key").withColumnRenamed("id", id_col)
+    out = _grouped(df, id_col, text_col, every=digest is not None)
+    out = out.drop("key").withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("full", digest) if digest else out.drop("full")
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _grouped(df: DataFrame, id_col: str, text_col: str, every: bool = False) -> DataFrame:
     norm = normalised(F.col(text_col))
     # Level 1 and 2 in one narrow scan: length and prefix hash.
     sketch = df.select(F.octet_length(norm).alias("len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("pre"))
@@ -51,12 +54,12 @@ def _grouped(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select("id", "text", text_key(F.col("text")).alias("key"), F.octet_length(normalised(F.col("text"))).alias("len"), F.xxhash64(F.substring(normalised(F.col("text")), 1, PREFIX_CHARS)).alias("pre"))
     rows = flag_by_bitmap(rows, key, bitmap, "again")
     # Written out (ids and hashes, no texts): two readers follow, and the texts are read once for both.
-    rows = cut(rows.select("id", "key", "again", "len", F.when(F.col("again"), F.sha2(normalised(F.col("text")), 256)).alias("full")))
-    alone = rows.where(~F.col("again")).select("id", "key", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    rows = cut(rows.select("id", "key", "again", "len", F.when(F.col("again") | F.lit(every), F.sha2(normalised(F.col("text")), 256)).alias("full")))
+    alone = rows.where(~F.col("again")).select("id", "key", "full", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     alike = rows.where("again").select("id", "key", "len", "full")
     # Written out, so that the join is one of two plain shuffles, whose large partitions Spark can split.
     groups = cut(alike.groupBy("len", "full").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")))
-    alike = alike.join(groups, ["len", "full"]).select("id", "key", "keep_id", "group_size")
+    alike = alike.join(groups, ["len", "full"]).select("id", "key", "full", "keep_id", "group_size")
     return alone.unionByName(alike)
 
 

@@ -118,8 +118,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    digest = docs.select("doc_id", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
-    out = exact_dedup.exact_groups(docs).join(digest, "doc_id")
+    out = exact_dedup.exact_groups(docs, digest="text_sha256")
     return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 
