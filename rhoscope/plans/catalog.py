@@ -26,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-REPS, TOPK, BOOT, PERMS, FDR = 20, 16, 50, 1000, 0.05
+REPS, TOPK, BOOT, PERMS, FDR = 20, 16, 1000, 1000, 0.05
 #: Sizes of a half and of a pilot as in the reference; a unit takes those it has cells for.
 GRID, PILOTS = [8, 16, 32, 64, 128, 256, 512], [*range(10, 99, 2)]
 BASELINE = "m1"
@@ -431,10 +431,10 @@ def cohen_kappa(spark, d):
     return rounded(I.kappa(IO.table(spark, d, "labels"), "quality", "toxic"))
 
 
-_CELLGRID = [0.3, 0.5, 0.7]
+_CELLGRID = [0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
 
 
-@query(f"""WITH {EXCESS}, gr AS (SELECT r, c FROM (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) a(r), (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) b(c)),
+@query(f"""WITH {EXCESS}, gr AS (SELECT r, c FROM (VALUES ({'::DOUBLE), ('.join(map(str, _CELLGRID))}::DOUBLE)) a(r), (VALUES ({'::DOUBLE), ('.join(map(str, _CELLGRID))}::DOUBLE)) b(c)),
 l AS (SELECT r, c, ex.*, CASE WHEN rho < r THEN 'Unreliable' WHEN rho >= r AND cos >= sqrt(c) THEN 'Shared' ELSE 'Specific' END AS k FROM ex, gr),
 m AS (SELECT r, c, method, avg(e) AS excess FROM (SELECT r, c, method, dataset, avg(excess) AS e FROM l WHERE k = 'Specific' GROUP BY ALL) GROUP BY ALL)
 SELECT r AS rho_min, c AS phi_min, method, {r6('excess')}, rank() OVER (PARTITION BY r, c ORDER BY excess DESC) + (count(*) OVER (PARTITION BY r, c, excess) - 1) / 2.0::DOUBLE AS rank FROM m""")

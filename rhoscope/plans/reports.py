@@ -17,7 +17,7 @@ from .catalog import AXIS, BASELINE, EXCESS, PAIRS, PILOTS, POINTS, SCORES, _eff
 
 # --- experiments ---------------------------------------------------------------------------------
 
-SUBSETS = 3
+SUBSETS = 50
 ARMS = f"""{AXIS}, kk AS (SELECT count(*) AS k FROM tri WHERE label = 'Specific'),
 ra AS (SELECT 'random_matched' AS arm, subset, unit, row_number() OVER (PARTITION BY subset ORDER BY md5('random_matched:' || subset || ':' || unit), unit) AS rk FROM tri, (SELECT unnest(range(1, {SUBSETS + 1})) AS subset)
   UNION ALL SELECT 'random_rest', subset, unit, row_number() OVER (PARTITION BY subset ORDER BY md5('random_rest:' || subset || ':' || unit), unit) FROM tri, (SELECT unnest(range(1, {SUBSETS + 1})) AS subset) WHERE label <> 'Specific'),
@@ -41,19 +41,19 @@ def arm_scores(spark, d):
     return rounded(P.score_units(P.weighted_mean_predictor(arms, delta, ["arm", "subset"]), delta, ["arm", "subset"]))
 
 
-FRACS = [0.3, 0.5, 0.8]
+FRACS, DRAWS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8], 10
 
 
 @query(f"""WITH {AXIS}, pl AS (SELECT unit, count(*) OVER () AS n FROM tri WHERE rho >= 0.5),
 q AS (SELECT frac, draw, unit, greatest(2, round_even(frac * n, 0)) AS size, row_number() OVER (PARTITION BY frac, draw ORDER BY md5('qty:' || frac || ':' || draw || ':' || unit), unit) AS rk
-  FROM pl, (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) f(frac), (SELECT unnest(range(1, 4)) AS draw)),
+  FROM pl, (VALUES ({'::DOUBLE), ('.join(map(str, FRACS))}::DOUBLE)) f(frac), (SELECT unnest(range(1, {DRAWS + 1})) AS draw)),
 a AS (SELECT frac, draw, unit FROM q WHERE rk <= size UNION ALL SELECT 1.0::DOUBLE, 1, unit FROM pl),
 p AS (SELECT frac, draw, g, avg(delta) AS pred FROM a JOIN delta USING (unit) GROUP BY ALL), s AS (SELECT frac, draw, d.unit, {_SCORE} FROM p JOIN delta d USING (g) GROUP BY ALL)
 SELECT frac, {r6('avg(l2) AS mean', 'avg(l2) / (SELECT avg(l2) FROM s WHERE frac = 1) AS relative')} FROM s GROUP BY frac""")
 def quantity_sweep(spark, d):
     delta = R.deltas(X.cells_planted(spark, d)).select("unit", "g", "delta")
     pool = _triage(spark, d).where("rho >= 0.5").select("unit")
-    arms = P.quantity_arms(pool, FRACS, 3).unionByName(pool.select(F.lit(1.0).alias("frac"), F.lit(1).alias("draw"), "unit")).withColumn("weight", F.lit(1.0))
+    arms = P.quantity_arms(pool, FRACS, DRAWS).unionByName(pool.select(F.lit(1.0).alias("frac"), F.lit(1).alias("draw"), "unit")).withColumn("weight", F.lit(1.0))
     s = P.score_units(P.weighted_mean_predictor(arms, delta, ["frac", "draw"]), delta, ["frac", "draw"])
     return rounded(P.relative_to(s, ["frac"], "l2", F.col("frac") == 1.0))
 
@@ -84,11 +84,14 @@ def retraining_grid(spark, d):
     return rounded(s.groupBy("train", "test").agg(F.count("*").alias("n"), F.avg("l2").alias("mean_l2"), F.avg("pcc").alias("mean_pcc"), S.sem("l2").alias("sem_l2")))
 
 
-@query(f"""WITH {AXIS}, gr AS (SELECT r, c FROM (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)) a(r), (VALUES (0.4::DOUBLE), (0.7071::DOUBLE), (0.9::DOUBLE)) b(c)),
+RHOS, COSINES = [0.3, 0.4, 0.5, 0.6, 0.7], [0.4, 0.5, 0.7071, 0.8, 0.9]
+
+
+@query(f"""WITH {AXIS}, gr AS (SELECT r, c FROM (VALUES ({'::DOUBLE), ('.join(map(str, RHOS))}::DOUBLE)) a(r), (VALUES ({'::DOUBLE), ('.join(map(str, COSINES))}::DOUBLE)) b(c)),
 l AS (SELECT r, c, unit, CASE WHEN NOT coalesce(rho >= r, false) THEN 'Unreliable' WHEN coalesce(cos_sim >= c, false) THEN 'Shared' ELSE 'Specific' END AS k FROM tri, gr)
 SELECT r AS rho_min, c AS cos_min, count(*) FILTER (k = 'Specific') AS n_specific, count(*) FILTER (k = 'Shared') AS n_shared, count(*) FILTER (k = 'Specific') >= 2 AS available FROM l GROUP BY ALL""")
 def threshold_sensitivity(spark, d):
-    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rho_min"), F.lit(c).alias("cos_min")) for r in (0.3, 0.5, 0.7) for c in (0.4, 0.7071, 0.9)])).alias("t")
+    grid = F.explode(F.array(*[F.struct(F.lit(r).alias("rho_min"), F.lit(c).alias("cos_min")) for r in RHOS for c in COSINES])).alias("t")
     l = _triage(spark, d).select("unit", "rho", "cos_sim", grid).select("*", "t.*")
     l = l.withColumn("k", C.label(F.col("rho"), F.col("cos_sim"), F.col("rho_min"), F.col("cos_min")))
     n = lambda c: F.count_if(F.col("k") == c)

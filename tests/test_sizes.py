@@ -48,3 +48,10 @@ def test_every_feasible_size_and_pilot(spark):
     assert {r["n"] for r in curve} == {8, 16, 32, 64} and len(curve) == 9 * 4
     pilots = {r["pilot_n"] for r in catalog.pilot_simulation(spark, str(DATA)).collect()}
     assert pilots == set(range(32, 99, 2))  # two sizes (16 and 32 cells) are in from 32 on
+
+
+def test_whole_sweeps(spark):
+    small = "/root/testdata/sf0.001"
+    assert catalog.QUERIES["threshold_sensitivity"](spark, small).count() == 25
+    assert catalog.QUERIES["quantity_sweep"](spark, small).count() == 8
+    assert catalog.QUERIES["bootstrap_ranks"](spark, small).agg(F.max("iter")).first()[0] == 1000
