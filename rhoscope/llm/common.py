@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bits of one bitmap row (fixed by Spark's ``bitmap_construct_agg``).
 BITMAP_ROW_BITS = 32768
@@ -24,14 +27,16 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    local one of our own where the session (a test) has none."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or, in
+    local mode only, one of our own where the session (a test) has none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         found = jsc.getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="rhoscope-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -46,7 +51,56 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark)}/rhoscope-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables of :func:`cut` that nothing will read again."""
+    for df in cuts:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_ARROW = {
+    "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
+}
+
+
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    """Arrow type of a result column."""
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(arrow_type(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([pa.field(f.name, arrow_type(f.dataType)) for f in kind.fields])
+    return _ARROW[kind.simpleString()]
+
+
+def append_columns(df: DataFrame, inputs: list[str], start: Callable[[], Callable[..., list[list]]], extra: str, keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``df`` (all by default) and the columns ``extra`` (DDL).
+
+    ``start()`` is called once a task and gives a function of the lists of
+    values of ``inputs`` (strings as UTF-8 bytes) to the lists of the new
+    columns.  The kept columns stay Arrow arrays: nulls, long integers and types
+    Python lacks come out as they went in.
+    """
+    made = T.StructType.fromDDL(extra)
+    names = df.columns if keep is None else keep
+    schema = T.StructType([*(df.schema[c] for c in names), *made.fields])
+    reads, keeps = [df.columns.index(c) for c in inputs], [df.columns.index(c) for c in names]
+    types, titles = [arrow_type(f.dataType) for f in made.fields], [*names, *made.names]
+    text = [isinstance(df.schema[c].dataType, T.StringType) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = start()
+        for batch in batches:
+            values = [(c.cast(pa.binary()) if t else c).to_pylist() for c, t in zip((batch.column(i) for i in reads), text, strict=True)]
+            new = [pa.array(v, type=t) for v, t in zip(f(*values), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keeps), *new], names=titles)
+
+    return df.mapInArrow(run, schema)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:

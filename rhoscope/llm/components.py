@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """``node``, ``root`` (smallest node reachable) for every node of an edge.
+    """``node``, ``root`` (smallest node reachable) for every node of an edge,
+    as a table of :func:`cut`.
 
     Self loops, nulls and repeated edges are ignored; no edges give no rows.
     """
@@ -32,8 +33,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(low.select("u", F.col("m").alias("v")))
-        now = cut(small.distinct())
+        last, now = now, cut(small.distinct())
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    discard(now)
+    return out

@@ -21,7 +21,9 @@ bound of the difference (parity sketches): first every record with its nearest
 neighbour in another component, then, among what is still apart, with all.  Only
 pairs within the bound leave a task; they are verified on their texts.  Copies and large clusters thus never expand into all pairs.
 
-Shingles and sets are identified by 64-bit hashes.
+Shingles are identified by 64-bit hashes; sets by two of them: where two sets
+share the first, all sets are named anew.  A subset that many records of a batch
+share stays out of its bucket, so no task gathers a hot one.
 
 Defined results: null or blank texts have the empty set and are linked with
 nothing; fewer words than a shingle make one shingle; equal ids and repeated
@@ -39,12 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, cut, flag_by_bitmap, small_batches, text_key, without_rows
+from .common import append_columns, bitmap_of, cut, discard, flag_by_bitmap, small_batches, text_key, without_rows
 from .components import connected_components
 
 SHINGLE = 5
-#: Askers of a group of equal subsets that one task takes on.
+#: Askers, and members, of a group of equal subsets that one task takes on.
 CROWD = 4_096
+#: Records of one batch with a common subset from which on it is kept out of the buckets.
+HOT = 64
+LOOSE, NOTE = 4, 5
+#: What a record does in its part of a group: it asks, is asked, or both.
+ASKS, ASKED, BOTH = 1, 2, 3
+_SECOND = 1 << 20  # seeds of the second hash of a set
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -57,9 +65,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    words = text.encode().translate(_LOWER).split() if text else []
+    raw = text.encode() if isinstance(text, str) else text
+    words = raw.translate(_LOWER).split() if raw else []
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -73,9 +82,10 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def set_id(h: np.ndarray) -> int:
-    """Signed 64-bit identity of a set."""
-    return int(np.add.reduce(_mix(h ^ _C[2]), dtype=np.uint64).astype(np.int64)) if len(h) else 0
+def set_id(h: np.ndarray, seed: int = 0) -> int:
+    """Signed 64-bit name of a set; another one for each seed."""
+    salt = np.uint64((int(_C[2]) + seed * int(_C[1])) % 2**64)
+    return int(np.add.reduce(_mix(h ^ salt), dtype=np.uint64).astype(np.int64)) if len(h) else 0
 
 
 @lru_cache(maxsize=1)
@@ -168,53 +178,90 @@ def _packed(sets: list[tuple[int, np.ndarray]], seed: int, bits: int, weak: froz
 
     Roles: 0 the record's own band, 1 the next band, where it is the smaller;
     with deletions 2 (own band) and 3.  A pair needs one record in its own band.
+    Subsets that ``HOT`` records of the batch share are not sent to their bucket:
+    their entries stay together (role ``LOOSE``, in a bucket below 0 of the batch's
+    own) and the bucket only gets a note of the subset (role ``NOTE``).
     """
+    parts = []
     for role in range(4):
         own, deletion = role % 2 == 0, role > 1
-        ids, sigs = [], []
         for rid, h in sets:
             zone = band(len(h)) + (0 if own else 1)
-            if deletion and zone not in weak:
-                continue
-            ids.append(rid)
-            sigs.append((deletion_signatures if deletion else subset_signatures)(h, zone, seed))
-        if not ids:
-            continue
-        sig = np.concatenate(sigs)
-        who = np.repeat(np.arange(len(ids)), [len(s) for s in sigs])
-        bucket = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
-        order = np.lexsort((who, bucket)) if bits else np.arange(len(sig))
-        bucket, who = bucket[order], who[order]
-        low = ((sig[order] >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        rid = np.array(ids, "<i8")
-        ends = np.searchsorted(bucket, np.arange(1 << bits), side="right")
-        start = 0
-        for k, end in enumerate(ends):
-            if end > start:
-                docs, counts = np.unique(who[start:end], return_counts=True)
-                yield k, role, rid[docs].tobytes(), counts.astype("<u4").tobytes(), np.ascontiguousarray(low[start:end]).tobytes()
-                start = end
+            if not deletion or zone in weak:
+                s = (deletion_signatures if deletion else subset_signatures)(h, zone, seed)
+                parts.append((role, rid, s))
+    if not parts:
+        return
+    sig = np.concatenate([s for _, _, s in parts])
+    size = [len(s) for _, _, s in parts]
+    roles, rids = np.repeat(np.array([r for r, _, _ in parts], np.int8), size), np.repeat(np.array([i for _, i, _ in parts], np.int64), size)
+    place = (sig >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
+    low = (sig >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+    order = np.lexsort((roles, rids, low, place))
+    place, low, roles, rids = place[order], low[order], roles[order], rids[order]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (place[1:] != place[:-1])])
+    starts = np.flatnonzero(new)
+    many = np.diff(np.append(starts, len(low))) >= HOT
+    hot = many[np.cumsum(new) - 1]
+    if hot.any():
+        x = np.flatnonzero(hot)
+        first = np.concatenate([[True], new[x[1:]] | (rids[x[1:]] != rids[x[:-1]])])  # one entry for each record in a group
+        x = x[first]
+        yield -1 - int(rids[0] & 0x3FFFFFFF), LOOSE, rids[x].astype("<i8").tobytes(), (place[x] * 4 + roles[x]).astype("<i8").tobytes(), low[x].astype("<u8").tobytes()
+        notes = starts[many]
+        for k in np.unique(place[notes]):
+            yield int(k), NOTE, b"", b"", _five(low[notes[place[notes] == k]])
+    rest = np.flatnonzero(~hot)
+    rest = rest[np.lexsort((rids[rest], place[rest], roles[rest]))]
+    ends = np.flatnonzero(np.concatenate([(roles[rest][1:] != roles[rest][:-1]) | (place[rest][1:] != place[rest][:-1]), [True]])) + 1 if len(rest) else []
+    start = 0
+    for end in ends:
+        x = rest[start:end]
+        docs, counts = np.unique(rids[x], return_counts=True)
+        yield int(place[x[0]]), int(roles[x[0]]), docs.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), _five(low[x])
+        start = end
+
+
+def _five(low: np.ndarray) -> bytes:
+    """The lower five bytes of each number."""
+    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unfive(sigs: bytes) -> np.ndarray:
+    s = np.zeros((len(sigs) // 5, 8), np.uint8)
+    s[:, :5] = np.frombuffer(sigs, np.uint8).reshape(-1, 5)
+    return s.view("<u8").ravel()
 
 
 def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the members of each group of equal subsets (two records at least, one in its own band)."""
-    sig, rid, role = [], [], []
+    """Of one bucket: the members of each group of equal subsets (two records at
+    least, one in its own band; of subsets that are hot somewhere, all entries)."""
+    bucket = int(pdf["bucket"].iloc[0])
+    if bucket < 0:  # entries that met in no bucket: nothing to do but to unpack them
+        rid = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["rids"]])
+        code = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["counts"]])
+        sig = np.concatenate([np.frombuffer(b, "<u8") for b in pdf["sigs"]])
+        return _members(code >> 2, sig, rid, code & 3)
+    sig, rid, role, noted = [], [], [], [np.empty(0, np.uint64)]
     for r, ids, counts, sigs in zip(pdf["role"], pdf["rids"], pdf["counts"], pdf["sigs"], strict=True):
-        s = np.zeros((len(sigs) // 5, 8), np.uint8)
-        s[:, :5] = np.frombuffer(sigs, np.uint8).reshape(-1, 5)
-        sig.append(s.view("<u8").ravel())
+        s = _unfive(sigs)
+        if r == NOTE:
+            noted.append(s)
+            continue
+        sig.append(s)
         rid.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")))
         role.append(np.full(len(s), r, np.int8))
-    sig, rid, role = np.concatenate(sig), np.concatenate(rid), np.concatenate(role)
+    if not sig:
+        return _members(*(np.empty(0, np.int64),) * 4)
+    sig, rid, role, noted = np.concatenate(sig), np.concatenate(rid), np.concatenate(role), np.unique(np.concatenate(noted))
     order = np.argsort(sig, kind="stable")
     s = sig[order]
     same = s[1:] == s[:-1]
-    live = np.zeros(len(s), bool)
+    live = np.isin(s, noted)
     live[1:] |= same
     live[:-1] |= same
     order = order[live]  # most subsets are found once and end here
-    sig, rid, role = sig[order], rid[order], role[order]
-    order = np.lexsort((role, rid, sig))
+    order = order[np.lexsort((role[order], rid[order], sig[order]))]
     sig, rid, role = sig[order], rid[order], role[order]
     if len(sig):
         first = np.ones(len(sig), bool)  # one entry for each record in a group: own band and exact subset preferred
@@ -223,9 +270,13 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(starts, len(sig)))
         own = np.add.reduceat((role % 2 == 0).astype(np.int64), starts)
-        keep = np.repeat((size > 1) & (own > 0), size)
+        keep = np.repeat((size > 1) & (own > 0) | np.isin(sig[starts], noted), size)
         sig, rid, role = sig[keep], rid[keep], role[keep]
-    return pd.DataFrame({"bucket": np.full(len(sig), pdf["bucket"].iloc[0], np.int32), "sig": sig.astype(np.int64), "rid": rid, "own": role % 2 == 0, "exact": role < 2})
+    return _members(np.full(len(sig), bucket), sig, rid, role)
+
+
+def _members(bucket: np.ndarray, sig: np.ndarray, rid: np.ndarray, role: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"bucket": bucket.astype(np.int32), "sig": sig.astype(np.int64), "rid": rid, "own": role % 2 == 0, "exact": role < 2})
 
 
 def _likely_pairs(pdf: pd.DataFrame, nearest: bool = False) -> pd.DataFrame:
@@ -237,11 +288,11 @@ def _likely_pairs(pdf: pd.DataFrame, nearest: bool = False) -> pd.DataFrame:
     key = key[order]
     starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(key) else []
     rid, n, root = (pdf[c].to_numpy(np.int64)[order] for c in ("rid", "n", "root"))
-    asks, sketches = pdf["asks"].to_numpy(bool)[order], pdf["sketch"].to_numpy()[order]
+    part, sketches = pdf["part_role"].to_numpy(np.int8)[order], pdf["sketch"].to_numpy()[order]
     found = [np.empty((0, 2), np.int64)]
     for s, e in zip(starts, [*starts[1:], len(key)], strict=True):
-        x, y = s + np.flatnonzero(asks[s:e]), s + np.flatnonzero(~asks[s:e])
-        if not len(x) or (root[s:e] == root[s]).all():
+        x, y = s + np.flatnonzero(part[s:e] != ASKED), s + np.flatnonzero(part[s:e] != ASKS)
+        if not len(x) or not len(y) or (root[s:e] == root[s]).all():
             continue
         least = min(map(len, sketches[s:e]))  # members of a band: at most twice that
 
@@ -271,7 +322,7 @@ def _likely_pairs(pdf: pd.DataFrame, nearest: bool = False) -> pd.DataFrame:
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
-def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
     """Pairs (a, b) of records that are similar, tested on their texts."""
     info = stats.select("rid", "n", "sketch")
     left, right = (info.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
@@ -292,7 +343,7 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
         @lru_cache(maxsize=64)
         def parsed(text: str) -> tuple[int, np.ndarray]:
             h = shingles(text)
-            return set_id(h), h
+            return set_id(h, seed), h
 
         for pdf in batches:
             ok = []
@@ -302,7 +353,9 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame) -> DataFrame:
             yield pdf.loc[ok, ["a", "b"]]
 
     both = likely.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-    return cut(both.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
+    found = cut(both.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
+    discard(likely, wanted)
+    return found
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries_per_bucket: int = 2_000_000) -> DataFrame:
@@ -314,24 +367,33 @@ def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: int = 2_000_000) -> DataFrame:
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
 
-    def measured(batches: Iterator[pd.DataFrame], seed: int = 0) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for id_, key, text in pdf.itertuples(index=False):
-                h = shingles(text)
-                rows.append((id_, key, len(h), set_id(h), *filled(h, seed), sketch(h)))
-            yield pd.DataFrame(rows, columns=["id", "key", "n", "rid", "filled", "double", "sketch"])
+    def measured(seed: int):
+        def start():
+            def rows(texts: list[bytes | None]) -> list[list]:
+                sets = [shingles(t) for t in texts]
+                fill = [filled(h, seed) for h in sets]
+                return [
+                    [len(h) for h in sets], [set_id(h, seed) for h in sets], [set_id(h, seed + _SECOND) for h in sets],
+                    [f for f, _ in fill], [d for _, d in fill], [sketch(h) for h in sets],
+                ]
+
+            return rows
 
+        return append_columns(keyed, ["text"], start, "n long, rid long, rid2 long, filled long, double long, sketch binary", ["id", "key"])
+
+    keyed = docs.select("id", text_key(F.col("text")).alias("key"), "text")
     seed = 0
     while True:
-        members = cut(docs.select("id", text_key(F.col("text")).alias("key"), "text").mapInPandas(lambda it, seed=seed: measured(it, seed), f"id {kind}, key long, n long, rid long, filled long, double long, sketch binary"))
-        sets = members.where("n > 0").groupBy("rid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("filled").alias("filled"), F.first("double").alias("double"), F.first("sketch").alias("sketch"))
+        members = cut(measured(seed))
+        first = [F.first(c).alias(c) for c in ("n", "filled", "double", "sketch")]
+        sets = members.where("n > 0").groupBy("rid").agg(F.min("id").alias("rep"), *first, (F.min("rid2") != F.max("rid2")).alias("clash"))
         stats = cut(sets.withColumn("need", F.floor(2 * F.col("n") / 7) + 1))
-        # Deletions add one for each segment of two or more; where that is not enough, deal anew.
-        if not stats.where("filled + double < need").head(1):
+        # Deal and name anew where deletions (one for each segment of two or more) are not
+        # enough, or where two sets got one name, which a second hash shows.
+        if not stats.where("filled + double < need or clash").head(1):
             break
+        discard(members, stats)
         seed += 1
     weak_n = [r[0] for r in stats.where("filled < need").select("n").distinct().collect()]  # sizes, a handful
     weak = frozenset(band(n) for n in weak_n)
@@ -346,7 +408,7 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
         size = 0
         for pdf in batches:
             for h in map(shingles, pdf["text"]):
-                if len(h) and sets.setdefault(set_id(h), h) is h:
+                if len(h) and sets.setdefault(set_id(h, seed), h) is h:
                     size += len(h)
             if size > 1_500_000:  # elements: some 12 MB of hashes for one row of each bucket
                 yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak)), columns=columns)
@@ -361,38 +423,55 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
     # First round: each group's leader with the others.
     g = ["bucket", "sig"]
     leader = groups.where("own").groupBy(*g).agg(F.min("rid").alias("lead"))
-    star = groups.join(leader, g).where("rid != lead").select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct()
-    edges = _verify(star, stats, docs)
-    roots = cut(connected_components(edges))
+    led = groups.join(leader, g).where("rid != lead")
+    edges = _verify(led.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct(), stats, docs, seed)
+    roots = connected_components(edges)
+    discard(edges)
+    # Groups of three and more have pairs without the leader.
+    more_than_two = groups.groupBy(*g).agg(F.count("*").alias("size")).where("size > 2").select(*g)
+    followers = cut(led.join(more_than_two, g).select(*g, "rid", "own", "exact"))
+    discard(groups)
 
     def crossed(roots: DataFrame, nearest: bool) -> DataFrame:
-        """Similar pairs in groups that still hold several components, under the allocation."""
-        rooted = groups.join(roots, groups["rid"] == roots["node"], "left").select(*g, "rid", "own", "exact", F.coalesce("root", "rid").alias("root"))
+        """Similar pairs in groups that still hold several components, under the allocation.
+
+        Pairs with a group's leader are decided already, so leaders are left out here.
+        """
+        rooted = followers.join(roots, followers["rid"] == roots["node"], "left").select(*g, "rid", "own", "exact", F.coalesce("root", "rid").alias("root"))
         mixed = rooted.groupBy(*g).agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select(*g, "size")
-        left = rooted.join(mixed, g).join(stats.select("rid", "n", "filled", "need", "sketch"), "rid")
+        left = rooted.join(mixed, g).join(stats.select("rid", "filled", "need"), "rid")
         rank = F.row_number().over(Window.partitionBy("rid", "own", "exact").orderBy(F.desc("size"), *g))
         # Left out: the most frequent subsets, as many as the set can spare.  Deletions are never left out.
-        left = left.withColumn("out", F.col("own") & F.col("exact") & (rank <= F.col("filled") - F.col("need")))
-        left = cut(left.withColumn("salts", F.ceil(F.col("size") / CROWD).cast("int")).select(*g, "rid", "n", "root", "sketch", "salts", (F.col("own") & ~F.col("out")).alias("asks")))
-        # Crowded groups are split: askers are dealt out, the members they ask go to each part.
-        member = [*g, "rid", "n", "root", "sketch"]
-        asks = left.where("asks").select(*member, F.pmod(F.xxhash64("rid"), "salts").cast("int").alias("salt"), F.lit(True).alias("asks"))
-        asked = left.select(*member, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("asks"))
+        out = F.col("own") & F.col("exact") & (rank <= F.col("filled") - F.col("need"))
+        left = cut(left.withColumn("asks", F.col("own") & ~out).select(*g, "rid", "root", "asks"))
+        # Groups without an asker end here.  Large ones are split into blocks: an asker meets every block of members.
+        blocks = left.groupBy(*g).agg(F.ceil(F.sum(F.col("asks").cast("long")) / CROWD).cast("int").alias("ka"), F.ceil(F.count("*") / CROWD).cast("int").alias("km"))
+        held = left.join(blocks.where("ka > 0"), g).join(stats.select("rid", "n", "sketch"), "rid")
+        a, m = (F.pmod(F.xxhash64("rid", F.lit(x)), k).cast("int") for x, k in (("asks", "ka"), ("asked", "km")))
+        one = F.array(F.struct(F.lit(0).alias("salt"), F.when(F.col("asks"), BOTH).otherwise(ASKED).alias("part_role")))
+        asked = F.transform(F.sequence(F.lit(0), F.col("ka") - 1), lambda i: F.struct((i * F.col("km") + m).alias("salt"), F.lit(ASKED).alias("part_role")))
+        asks = F.transform(F.sequence(F.lit(0), F.col("km") - 1), lambda j: F.struct((a * F.col("km") + j).alias("salt"), F.lit(ASKS).alias("part_role")))
+        dealt = F.when((F.col("ka") == 1) & (F.col("km") == 1), one).when(F.col("asks"), F.concat(asked, asks)).otherwise(asked)
         parts = max(16, left.count() // 20_000)
-        cross = asks.unionByName(asked).withColumn("part", F.pmod(F.xxhash64(*g, "salt"), F.lit(parts)))
+        cross = held.select(*g, "rid", "n", "root", "sketch", F.explode(dealt).alias("d")).select(*g, "rid", "n", "root", "sketch", "d.*")
+        cross = cross.withColumn("part", F.pmod(F.xxhash64(*g, "salt"), F.lit(parts)))
 
         def likely(pdf: pd.DataFrame) -> pd.DataFrame:
             return _likely_pairs(pdf, nearest)
 
-        return _verify(cross.groupBy("part").applyInPandas(likely, "a long, b long").distinct(), stats, docs)
+        found = _verify(cross.groupBy("part").applyInPandas(likely, "a long, b long").distinct(), stats, docs, seed)
+        discard(left)
+        return found
 
     # Second round: every asker with its nearest neighbour in another component, which
     # joins what a large group of near copies left apart and keeps the last round small.
     # Last round: all pairs that are likely and still apart.
     for nearest in (True, False):
         more = crossed(roots, nearest)
-        all_edges = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
-        roots = cut(connected_components(all_edges))
+        before = roots
+        roots = connected_components(before.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        discard(more, before)
+    discard(followers, stats)
 
     named = members.join(roots, members["rid"] == roots["node"], "left").select("id", "key", "n", F.when(F.col("n") > 0, F.coalesce("root", "rid")).alias("root"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
