@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,6 +65,13 @@ def discard(*cuts: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles are done with: Spark deletes their
+    files when their handles are collected, otherwise after half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
 }

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, bitmap_of, cut, discard, flag_by_bitmap, small_batches, text_key, without_rows
+from .common import append_columns, bitmap_of, cut, discard, flag_by_bitmap, release, small_batches, text_key, without_rows
 from .components import connected_components
 
 SHINGLE = 5
@@ -234,14 +234,15 @@ def _unfive(sigs: bytes) -> np.ndarray:
 
 
 def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the members of each group of equal subsets (two records at
-    least, one in its own band; of subsets that are hot somewhere, all entries)."""
+    """Of one bucket: the followers of each group of equal subsets (two records at
+    least, one in its own band) with their leader, the smallest record in its own
+    band; of subsets that are hot somewhere, all entries, without a leader."""
     bucket = int(pdf["bucket"].iloc[0])
     if bucket < 0:  # entries that met in no bucket: nothing to do but to unpack them
         rid = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["rids"]])
         code = np.concatenate([np.frombuffer(b, "<i8") for b in pdf["counts"]])
         sig = np.concatenate([np.frombuffer(b, "<u8") for b in pdf["sigs"]])
-        return _members(code >> 2, sig, rid, code & 3)
+        return _members(code >> 2, sig, rid, code & 3, np.ones(len(sig), bool))
     sig, rid, role, noted = [], [], [], [np.empty(0, np.uint64)]
     for r, ids, counts, sigs in zip(pdf["role"], pdf["rids"], pdf["counts"], pdf["sigs"], strict=True):
         s = _unfive(sigs)
@@ -252,7 +253,7 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
         rid.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")))
         role.append(np.full(len(s), r, np.int8))
     if not sig:
-        return _members(*(np.empty(0, np.int64),) * 4)
+        return _members(*(np.empty(0, np.int64),) * 4, np.empty(0, bool))
     sig, rid, role, noted = np.concatenate(sig), np.concatenate(rid), np.concatenate(role), np.unique(np.concatenate(noted))
     order = np.argsort(sig, kind="stable")
     s = sig[order]
@@ -263,20 +264,24 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     order = order[live]  # most subsets are found once and end here
     order = order[np.lexsort((role[order], rid[order], sig[order]))]
     sig, rid, role = sig[order], rid[order], role[order]
+    lead, more, hot = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
     if len(sig):
         first = np.ones(len(sig), bool)  # one entry for each record in a group: own band and exact subset preferred
         first[1:] = (sig[1:] != sig[:-1]) | (rid[1:] != rid[:-1])
         sig, rid, role = sig[first], rid[first], role[first]
         starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.append(starts, len(sig)))
-        own = np.add.reduceat((role % 2 == 0).astype(np.int64), starts)
-        keep = np.repeat((size > 1) & (own > 0) | np.isin(sig[starts], noted), size)
-        sig, rid, role = sig[keep], rid[keep], role[keep]
-    return _members(np.full(len(sig), bucket), sig, rid, role)
+        own = role % 2 == 0
+        lead = np.repeat(np.minimum.reduceat(np.where(own, rid, np.iinfo(np.int64).max), starts), size)
+        some = np.repeat((size > 1) & (np.add.reduceat(own.astype(np.int64), starts) > 0), size)
+        hot, more = np.isin(sig, noted), np.repeat(size > 2, size)
+        keep = hot | some & (rid != lead)
+        sig, rid, role, hot, lead, more = (x[keep] for x in (sig, rid, role, hot, lead, more))
+    return _members(np.full(len(sig), bucket), sig, rid, role, hot, lead, more)
 
 
-def _members(bucket: np.ndarray, sig: np.ndarray, rid: np.ndarray, role: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"bucket": bucket.astype(np.int32), "sig": sig.astype(np.int64), "rid": rid, "own": role % 2 == 0, "exact": role < 2})
+def _members(bucket: np.ndarray, sig: np.ndarray, rid: np.ndarray, role: np.ndarray, hot: np.ndarray, lead: np.ndarray | int = 0, more: np.ndarray | bool = True) -> pd.DataFrame:
+    return pd.DataFrame({"bucket": bucket.astype(np.int32), "sig": sig.astype(np.int64), "rid": rid, "own": role % 2 == 0, "exact": role < 2, "hot": hot, "lead": lead, "more": more})
 
 
 def _likely_pairs(pdf: pd.DataFrame, nearest: bool = False) -> pd.DataFrame:
@@ -322,9 +327,15 @@ def _likely_pairs(pdf: pd.DataFrame, nearest: bool = False) -> pd.DataFrame:
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
+def _named(stats: DataFrame, rids: DataFrame) -> DataFrame:
+    """Rows of ``stats`` that ``rids`` names and a few others: only these need a shuffle."""
+    return flag_by_bitmap(stats, F.xxhash64("rid"), bitmap_of(rids, F.xxhash64("rid")), "named").where("named")
+
+
 def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame, seed: int) -> DataFrame:
     """Pairs (a, b) of records that are similar, tested on their texts."""
-    info = stats.select("rid", "n", "sketch")
+    pairs = cut(pairs)
+    info = _named(stats, pairs.select(F.explode(F.array("a", "b")).alias("rid"))).select("rid", "n", "sketch")
     left, right = (info.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     sized = pairs.join(left, "a").join(right, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na")
 
@@ -354,7 +365,7 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame, seed: int) -> D
 
     both = likely.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
     found = cut(both.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
-    discard(likely, wanted)
+    discard(pairs, likely, wanted)
     return found
 
 
@@ -418,19 +429,18 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
     # Only one text of each set is indexed; the bitmap may let a few copies through, which changes nothing.
     one_each = flag_by_bitmap(docs, F.xxhash64("id"), reps, "rep").where("rep").select("text")
     entries = one_each.mapInPandas(index, "bucket int, role int, rids binary, counts binary, sigs binary")
-    groups = cut(entries.groupBy("bucket").applyInPandas(_groups, "bucket int, sig long, rid long, own boolean, exact boolean"))
+    groups = cut(entries.groupBy("bucket").applyInPandas(_groups, "bucket int, sig long, rid long, own boolean, exact boolean, hot boolean, lead long, more boolean"))
+    release(docs.sparkSession)
 
-    # First round: each group's leader with the others.
+    # First round: each group's leader with the others.  Hot groups were not gathered, so their leaders are found here.
     g = ["bucket", "sig"]
-    leader = groups.where("own").groupBy(*g).agg(F.min("rid").alias("lead"))
-    led = groups.join(leader, g).where("rid != lead")
+    hot = groups.where("hot").drop("lead")
+    led = groups.where("not hot").unionByName(hot.join(hot.where("own").groupBy(*g).agg(F.min("rid").alias("lead")), g).where("rid != lead"))
     edges = _verify(led.select(F.least("rid", "lead").alias("a"), F.greatest("rid", "lead").alias("b")).distinct(), stats, docs, seed)
     roots = connected_components(edges)
-    discard(edges)
     # Groups of three and more have pairs without the leader.
-    more_than_two = groups.groupBy(*g).agg(F.count("*").alias("size")).where("size > 2").select(*g)
-    followers = cut(led.join(more_than_two, g).select(*g, "rid", "own", "exact"))
-    discard(groups)
+    followers = cut(led.where("more").select(*g, "rid", "own", "exact"))
+    discard(edges, groups)
 
     def crossed(roots: DataFrame, nearest: bool) -> DataFrame:
         """Similar pairs in groups that still hold several components, under the allocation.
@@ -446,7 +456,8 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
         left = cut(left.withColumn("asks", F.col("own") & ~out).select(*g, "rid", "root", "asks"))
         # Groups without an asker end here.  Large ones are split into blocks: an asker meets every block of members.
         blocks = left.groupBy(*g).agg(F.ceil(F.sum(F.col("asks").cast("long")) / CROWD).cast("int").alias("ka"), F.ceil(F.count("*") / CROWD).cast("int").alias("km"))
-        held = left.join(blocks.where("ka > 0"), g).join(stats.select("rid", "n", "sketch"), "rid")
+        held = left.join(blocks.where("ka > 0"), g)
+        held = held.join(_named(stats, held.select("rid")).select("rid", "n", "sketch"), "rid")
         a, m = (F.pmod(F.xxhash64("rid", F.lit(x)), k).cast("int") for x, k in (("asks", "ka"), ("asked", "km")))
         one = F.array(F.struct(F.lit(0).alias("salt"), F.when(F.col("asks"), BOTH).otherwise(ASKED).alias("part_role")))
         asked = F.transform(F.sequence(F.lit(0), F.col("ka") - 1), lambda i: F.struct((i * F.col("km") + m).alias("salt"), F.lit(ASKED).alias("part_role")))
