@@ -19,6 +19,7 @@ table gives no rows; other columns of the input are dropped.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import cuts
-from .common import BITMAP_ROW_BITS, bitmap_of, cut, flag_by_bitmap, small_batches
+from .common import BITMAP_ROW_BITS, append_columns, bitmap_of, cut, flag_by_bitmap, small_batches
 
 #: Words remembered per worker; longer words are not kept.
 MEMO_WORDS, MEMO_BYTES = 250_000, 64
 BITMAP_ROWS = 1024
+#: Shared chunks that a task remembers to have sent.
+SEEN = 200_000
 
 
 #: Words whose normal form and pieces plain Python knows for certain: printable
@@ -53,6 +56,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+#: The normalising and splitting that :class:`Encoder` reproduces.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def check_file(path: str) -> None:
+    """Refuse a tokenizer that normalises, splits or decodes in another way: texts
+    could not be cut at its white space, and words not be split here."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    added = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in told["added_tokens"])
+    if told["normalizer"] != NORMALIZER or told["pre_tokenizer"] != SPLITTER or told["decoder"] is not None or not added or told["model"]["dropout"]:
+        raise ValueError(f"{path}: a tokenizer of another kind")
+
+
 class Encoder:
     """Encodes texts word by word with a bounded memory of words.
 
@@ -63,6 +87,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        check_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -114,7 +139,7 @@ def vocabulary(path: str) -> list[str]:
 
 
 def decode(ids: bytes, path: str) -> str:
-    """The tokenizer file has no decoder: tokens are joined by one space."""
+    """The tokenizer file has no decoder (:func:`check_file`): tokens are joined by one space."""
     v = vocabulary(path)
     return " ".join([v[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
@@ -186,12 +211,11 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     small_batches(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    kind = docs.schema["id"].dataType.simpleString()
     derive = derive or {"ids": ("binary", bytes)}
-    result = ", ".join([f"id {kind}", *(f"{name} {t}" for name, (t, _) in derive.items())])
+    result = ", ".join(f"{name} {t}" for name, (t, _) in derive.items())
 
-    def finished(ids_of: list, ids: list[bytes]) -> pd.DataFrame:
-        return pd.DataFrame({"id": pd.Series(ids_of, dtype=object), **{name: [f(i) for i in ids] for name, (_, f) in derive.items()}})
+    def finished(ids: list[bytes | None]) -> list[list]:
+        return [[None if i is None else f(i) for i in ids] for _, f in derive.values()]
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -217,7 +241,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 for c in _chunks(_raw(text)):
                     k = _key(c)
                     if k[0] in known and k not in seen:
-                        if len(seen) > 1_000_000:  # forgetting costs a row sent twice
+                        if len(seen) > SEEN:  # forgetting costs a row sent twice
                             seen.clear()
                         seen.add(k)
                         rows.append((*k, c))
@@ -232,55 +256,58 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     once = docs.select("text").mapInPandas(chunk_texts, "h1 long, h2 long, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
     pieces = once.mapInPandas(encoded, "h1 long, h2 long, head binary, body binary, tail binary")
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole():
         """Texts without shared chunks, encoded where they are read."""
         known, enc = Shared(shared.value), encoder(path)
-        for pdf in batches:
-            whose, ids = [], []
-            for id_, text in pdf.itertuples(index=False):
-                raw = _raw(text)
-                if not any(_key(c)[0] in known for c in _chunks(raw)):
-                    whose.append(id_)
-                    ids.append(enc.encode(raw))
-            yield finished(whose, ids)
 
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows(texts: list[bytes | None]) -> list[list]:
+            lone = [not any(_key(c)[0] in known for c in _chunks(t or b"")) for t in texts]
+            return [lone, *finished([enc.encode(t or b"") if x else None for t, x in zip(texts, lone, strict=True)])]
+
+        return rows
+
+    def own():
         """Of the other texts, the runs of chunks that no other text has."""
         known, enc = Shared(shared.value), encoder(path)
-        for pdf in batches:
-            rows = []
-            for id_, text in pdf.itertuples(index=False):
-                raw = _raw(text)
-                runs, begin, at, first, lone = [], 0, 0, 0, True
-                for n, c in enumerate(_chunks(raw)):
-                    if _key(c)[0] in known:
-                        if at > begin:
-                            runs.append((first, raw[begin:at]))
-                        begin, first, lone = at + len(c), n + 1, False
-                    at += len(c)
-                if not lone:
+
+        def one(raw: bytes) -> list[dict] | None:
+            runs, begin, at, first, lone = [], 0, 0, 0, True
+            for n, c in enumerate(_chunks(raw)):
+                if _key(c)[0] in known:
                     if at > begin:
                         runs.append((first, raw[begin:at]))
-                    rows.append((id_, *_key(raw), [dict(zip(("seq", "head", "body", "tail"), (n, *piece(r, enc)), strict=True)) for n, r in runs]))
-            yield pd.DataFrame(rows, columns=["id", "k1", "k2", "own"])
+                    begin, first, lone = at + len(c), n + 1, False
+                at += len(c)
+            if lone:
+                return None
+            if at > begin:
+                runs.append((first, raw[begin:at]))
+            return [dict(zip(("seq", "head", "body", "tail"), (n, *piece(r, enc)), strict=True)) for n, r in runs]
+
+        def rows(texts: list[bytes | None]) -> list[list]:
+            raws = [t or b"" for t in texts]
+            keys = [_key(r) for r in raws]
+            return [[k for k, _ in keys], [k for _, k in keys], [one(r) for r in raws]]
+
+        return rows
 
     part = "struct<seq:int,head:binary,body:binary,tail:binary>"
-    alone = docs.mapInPandas(whole, result)
-    mine = docs.mapInPandas(own, f"id {kind}, k1 long, k2 long, own array<{part}>")
+    alone = append_columns(docs, ["text"], whole, f"lone boolean, {result}", ["id"]).where("lone").drop("lone")
+    mine = append_columns(docs, ["text"], own, f"k1 long, k2 long, own array<{part}>", ["id"]).where("own is not null")
 
     # Ids of shared chunks, once per distinct text that needs them.
     refs = flag_by_bitmap(places, F.col("h1"), bitmap, "shared", BITMAP_ROWS).where("shared").dropDuplicates(["k1", "k2", "seq"])
     given = refs.join(pieces, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("seq", "head", "body", "tail")).alias("given"))
     joined = mine.join(given, ["k1", "k2"], "left")
 
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def assemble():
         enc = encoder(path)
-        for pdf in batches:
-            ids = []
-            for a, b in zip(pdf["own"], pdf["given"], strict=True):
-                parts = sorted([*a, *b], key=lambda p: p["seq"])
-                ids.append(repair([(p["head"], p["body"], p["tail"]) for p in parts], enc))
-            yield finished(list(pdf["id"]), ids)
 
-    done = joined.select("id", "own", "given").mapInPandas(assemble, result)
+        def rows(own: list[list[dict]], given: list[list[dict] | None]) -> list[list]:
+            parts = [sorted([*a, *(b or ())], key=lambda p: p["seq"]) for a, b in zip(own, given, strict=True)]
+            return finished([repair([(p["head"], p["body"], p["tail"]) for p in x], enc) for x in parts])
+
+        return rows
+
+    done = append_columns(joined, ["own", "given"], assemble, result, ["id"])
     return alone.unionByName(done).withColumnRenamed("id", id_col)

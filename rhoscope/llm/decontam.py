@@ -7,8 +7,10 @@ word spans, mapped back to character offsets of the original text.
 
 Words: A-Z lower-cased, maximal runs outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 
-The items are broadcast in blocks of at most ``block_words`` words, one scan
-after the other over the same rows; usually there is one block.
+There is one automaton, and one scan, whatever the size of the benchmark, up to
+``most_bytes`` of item texts (some 60 bytes of automaton for one of text, once a
+worker); beyond that the call is refused, and ``blocks`` says into how many
+automata, one scan each, the items shall be dealt.
 
 Defined results: null or empty texts have no words and no hits; items without
 words match nothing; items with equal texts are all reported; repeated rows are
@@ -19,27 +21,29 @@ other columns of the documents are kept, but for those named like the result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
+import uuid
 import ahocorasick
-import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fresh, small_batches
+from .common import append_columns, fresh, small_batches
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: One byte pass that lower-cases A-Z and turns every separator into a space.
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if (b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F) else b for b in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
+def words_of(text: str | bytes | None) -> list[bytes]:
+    return _raw(text).translate(_TABLE).split() if text else []
+
+
+def _raw(text: str | bytes) -> bytes:
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
 
 
 class Scanner:
-    """Automaton over one block of items."""
+    """Automaton over the windows of items."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.number: dict[bytes, int] = {}
@@ -83,9 +87,9 @@ class Scanner:
         return [(a, b) for a, b in spans], items
 
 
-def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def char_spans(text: str | bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word spans as character offsets of the original text."""
-    raw = text.encode("utf-8", "surrogatepass")
+    raw = _raw(text)
     at = [m.span() for m in WORD.finditer(raw.lower())]
     return [(len(raw[: at[a][0]].decode("utf-8", "surrogatepass")), len(raw[: at[b - 1][1]].decode("utf-8", "surrogatepass"))) for a, b in spans]
 
@@ -100,39 +104,51 @@ def _joined(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def scan_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 200_000) -> DataFrame:
+#: The worker's automaton, by the name of the scan that needs it.
+_BUILT: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, shared: Broadcast, window: int) -> Scanner:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Scanner(shared.value, window)
+    return _BUILT[name]
+
+
+def scan_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, blocks: int = 1, most_bytes: int = 16_000_000) -> DataFrame:
     """``docs`` plus ``n_words``, ``hits`` (word spans with character offsets)
     and ``items`` (ids found, sorted as strings)."""
     spark = docs.sparkSession
     small_batches(spark)
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = max(1, -(-size // (2 * block_words)))  # a word has two bytes at least with its separator
+    if size > blocks * most_bytes:
+        raise ValueError(f"{size} bytes of items: more than {most_bytes} for each of {blocks} automata; raise blocks or most_bytes")
     block = fresh(items, "block")
     dealt = items.withColumn(block, F.pmod(F.xxhash64(F.col(item_id).cast("string")), F.lit(blocks)))
-    spans_t = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "end_word", "start", "end")]))
-    extra = [T.StructField("n_words", T.LongType()), T.StructField("hits", spans_t), T.StructField("items", T.ArrayType(T.StringType()))]
-    docs = docs.drop("n_words", "hits", "items")
-    out = docs
+    out = docs.drop("n_words", "hits", "items")
+    kept = out.columns
     for k in range(blocks):
-        one = [(r[0], r[1]) for r in dealt.where(F.col(block) == k).select(item_id, item_text).toLocalIterator()]
-        shared = spark.sparkContext.broadcast(one)
-
-        def scan(batches: Iterator[pd.DataFrame], first: bool = k == 0, shared=shared) -> Iterator[pd.DataFrame]:
-            scanner = Scanner(shared.value, window)
-            for pdf in batches:
-                rows = {"n_words": [], "hits": [], "items": []}
-                before = [([], [])] * len(pdf) if first else zip(pdf["hits"], pdf["items"], strict=True)
-                for text, (spans0, items0) in zip(pdf[text_col], before, strict=True):
+        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in dealt.where(F.col(block) == k).select(item_id, item_text).toLocalIterator()])
+
+        def scan(name: str = uuid.uuid4().hex, shared: Broadcast = shared):
+            scanner = _scanner(name, shared, window)
+
+            def rows(texts: list[bytes | None], *before: list) -> list[list]:
+                n_words, hits, items = [], [], []
+                for i, text in enumerate(texts):
                     words = words_of(text)
                     spans, found = scanner.scan(words)
-                    if not first and len(spans0):
-                        spans = _joined(spans, [(x["first_word"], x["end_word"]) for x in spans0])
+                    if before:
+                        spans = _joined(spans, [(x["first_word"], x["end_word"]) for x in before[0][i]])
+                        found.update(before[1][i])
                     at = char_spans(text, spans) if spans else []
-                    rows["n_words"].append(len(words))
-                    rows["hits"].append([{"first_word": a, "end_word": b, "start": s, "end": e} for (a, b), (s, e) in zip(spans, at, strict=True)])
-                    rows["items"].append(sorted({*found, *items0}))
-                yield pdf.assign(**rows)
+                    n_words.append(len(words))
+                    hits.append([{"first_word": a, "end_word": b, "start": s, "end": e} for (a, b), (s, e) in zip(spans, at, strict=True)])
+                    items.append(sorted(found))
+                return [n_words, hits, items]
+
+            return rows
 
-        schema = T.StructType([*docs.schema.fields, *extra])
-        out = out.mapInPandas(scan, schema)
+        made = "n_words long, hits array<struct<first_word:long,end_word:long,start:long,end:long>>, items array<string>"
+        out = append_columns(out, [text_col, "hits", "items"] if k else [text_col], scan, made, kept)
     return out

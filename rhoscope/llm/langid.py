@@ -27,9 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import append_columns, small_batches
 
 SEGMENT, HIDDEN = 64, 8
 UND = "und"
@@ -176,9 +175,9 @@ def sample_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return [(r[0], bytes(r[2])) for r in sorted(got, key=lambda r: (r[0], r[1], bytes(r[2])))]
 
 
-def predict_batch(net: Network | None, texts: list[str | None], width: int = 2048) -> tuple[list[str], list[float]]:
+def predict_batch(net: Network | None, texts: list[bytes | None], width: int = 2048) -> tuple[list[str], list[float]]:
     """Language and pooled probability of whole texts."""
-    raws = [t.encode() if t and net is not None and any(map(str.isalpha, t)) else b"" for t in texts]
+    raws = [t if t and net is not None and any(map(str.isalpha, t.decode())) else b"" for t in texts]
     pooled = np.zeros((len(raws), len(net.langs) if net is not None else 1), np.float64)
     if net is not None:
         size = np.array([len(r) for r in raws])
@@ -207,9 +206,7 @@ def identify(df: DataFrame, net: Network | None, text_col: str = "text") -> Data
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            langs, scores = predict_batch(shared.value, list(pdf[text_col]))
-            yield pdf.assign(lang_pred=langs, score=scores)
+    def label():
+        return lambda texts: list(predict_batch(shared.value, texts))
 
-    return df.mapInPandas(label, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return append_columns(df, [text_col], label, "lang_pred string, score double")

@@ -27,9 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import append_columns, small_batches
 
 BUCKETS = 1 << 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -147,16 +146,18 @@ def classify(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep_fr
     df = df.drop("expected_grade", "tail_prob", "kept")
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    extra = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_prob", T.DoubleType()), T.StructField("kept", T.BooleanType())]
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score():
         m = shared.value
-        for pdf in batches:
-            tails = m.tails(np.array([m.score(t) for t in pdf[text_col]], float)) if len(pdf) else np.empty((0, len(m.thresholds)))
+
+        def rows(texts: list[bytes | None]) -> list:
+            tails = m.tails(np.array([m.score(t and t.decode()) for t in texts], float))
             tail = tails[:, keep_from - 1]
-            yield pdf.assign(expected_grade=tails.sum(axis=1), tail_prob=tail, kept=tail >= at_least)
+            return [tails.sum(axis=1), tail, tail >= at_least]
+
+        return rows
 
-    return df.mapInPandas(score, T.StructType([*df.schema.fields, *extra]))
+    return append_columns(df, [text_col], score, "expected_grade double, tail_prob double, kept boolean")
 
 
 def grade(quality: str = "quality", toxic: str = "toxic"):

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, exact_dedup, jaccard, langid, licenses, quality, shards, suffixes
-from .common import read
+from .common import append_columns, read
 
 
 def tokenizer_path() -> str:
@@ -145,17 +144,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            kept = [suffixes.kept_bytes(t, s) for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-            size = [len(t) for t in pdf["text"]]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "n_bytes": size, "n_removed": [n - len(k) for n, k in zip(size, kept, strict=True)],
-                "n_spans": [len(s) for s in pdf["spans"]], "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
-            })
+    def digest():
+        def rows(texts: list[bytes], spans: list[list[dict]]) -> list[list]:
+            kept = [suffixes.kept_bytes(t, s) for t, s in zip(texts, spans, strict=True)]
+            return [[len(t) for t in texts], [len(t) - len(k) for t, k in zip(texts, kept, strict=True)], [len(s) for s in spans], [hashlib.sha256(k).hexdigest() for k in kept]]
+
+        return rows
 
     out = suffixes.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return append_columns(out, ["text", "spans"], digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["doc_id"])
 
 
 # --- 8 language ID -------------------------------------------------------------------------------

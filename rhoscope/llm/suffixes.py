@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import gram_hashes
-from .common import bitmap_of, cut, flag_by_bitmap, small_batches
+from .common import append_columns, bitmap_of, cut, discard, flag_by_bitmap, small_batches
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM  # the largest offset of an anchor in its window
@@ -290,7 +290,6 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     raw = F.coalesce(F.col(text_col), F.lit(""))
     base = df.select(F.col(id_col).alias("id"), raw.cast("binary").alias("text"), F.xxhash64(raw).alias("k1"), F.xxhash64(F.lit(1), raw).alias("k2"))
     base = base.withColumn("r", F.xxhash64(F.col("id").cast("string"), "k1", "k2"))
-    kind = base.schema["id"].dataType.simpleString()
     copies = cut(base.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("r").alias("rep"), F.max(F.octet_length("text")).alias("bytes")))
     total = copies.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(16, -(-int(total) // bytes_per_bucket))
@@ -361,21 +360,28 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = base.join(wanted, keyed).select("r", "text", "ats").mapInPandas(sorted_runs, "bucket int, run binary, done binary")
     spans = runs.groupBy("bucket").applyInPandas(_merge_bucket, "r long, start long, end long")
     per_text = spans.groupBy("r").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    result = copies.join(per_text, copies["rep"] == per_text["r"], "left").select("k1", "k2", "n", F.when(F.col("n") == 1, F.col("spans")).alias("found"))
-    plan = base.select(*keyed).distinct().join(result, ["k1", "k2"])
-
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for text, n, found in zip(pdf["text"], pdf["n"], pdf["found"], strict=True):
-                if n > 1:
-                    out.append([{"start": 0, "end": len(text)}] if len(text) >= LENGTH else [])
-                else:
-                    out.append([{"start": s, "end": e} for s, e in union_of([(x["start"], x["end"]) for x in found])] if found is not None else [])
-            yield pd.DataFrame({"id": pdf["id"], "text": pdf["text"], "spans": out})
-
-    done = base.join(plan, keyed).select("id", "text", "n", "found").mapInPandas(joined, f"id {kind}, text binary, spans array<struct<start:long,end:long>>")
-    return done.withColumnRenamed("id", id_col)
+    # Texts with copies or spans; the others are not moved.
+    result = copies.join(per_text, copies["rep"] == per_text["r"], "left").where(f"spans is not null or n > 1 and bytes >= {LENGTH}")
+    result = cut(result.select("k1", "k2", "n", F.when(F.col("n") == 1, F.col("spans")).alias("found")))
+    discard(wanted)
+    marked = flag_by_bitmap(base, F.xxhash64("k1", "k2"), bitmap_of(result, F.xxhash64("k1", "k2")), "hit")
+    moved = marked.where("hit").drop("hit")
+    plan = moved.select(*keyed).distinct().join(result, ["k1", "k2"])
+
+    def joined():
+        def one(text: bytes, n: int | None, found: list[dict] | None) -> list[dict]:
+            if n is None:
+                return []
+            if n > 1:
+                return [{"start": 0, "end": len(text)}] if len(text) >= LENGTH else []
+            return [{"start": s, "end": e} for s, e in union_of([(x["start"], x["end"]) for x in found or ()])]
+
+        return lambda *columns: [[one(*row) for row in zip(*columns, strict=True)]]
+
+    spans_t = "spans array<struct<start:long,end:long>>"
+    done = append_columns(moved.join(plan, keyed, "left").select("id", "text", "n", "found"), ["text", "n", "found"], joined, spans_t, ["id", "text"])
+    still = marked.where("not hit").select("id", "text", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
+    return done.unionByName(still).withColumnRenamed("id", id_col)
 
 
 def kept_bytes(text: bytes, spans: list) -> bytes:
