@@ -173,12 +173,12 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 # --- the index -----------------------------------------------------------------------------------
 
 
-def _packed(sets: list[tuple[int, np.ndarray]], seed: int, bits: int, weak: frozenset[int]) -> Iterator[tuple]:
+def _packed(sets: list[tuple[int, np.ndarray]], seed: int, bits: int, weak: frozenset[int], hot_from: int = HOT) -> Iterator[tuple]:
     """Rows (bucket, role, rids, counts, sigs) for a batch of records.
 
     Roles: 0 the record's own band, 1 the next band, where it is the smaller;
     with deletions 2 (own band) and 3.  A pair needs one record in its own band.
-    Subsets that ``HOT`` records of the batch share are not sent to their bucket:
+    Subsets that ``hot_from`` records of the batch share are not sent to their bucket:
     their entries stay together (role ``LOOSE``, in a bucket below 0 of the batch's
     own) and the bucket only gets a note of the subset (role ``NOTE``).
     """
@@ -201,7 +201,7 @@ def _packed(sets: list[tuple[int, np.ndarray]], seed: int, bits: int, weak: froz
     place, low, roles, rids = place[order], low[order], roles[order], rids[order]
     new = np.concatenate([[True], (low[1:] != low[:-1]) | (place[1:] != place[:-1])])
     starts = np.flatnonzero(new)
-    many = np.diff(np.append(starts, len(low))) >= HOT
+    many = np.diff(np.append(starts, len(low))) >= hot_from
     hot = many[np.cumsum(new) - 1]
     if hot.any():
         x = np.flatnonzero(hot)
@@ -369,13 +369,13 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame, seed: int) -> D
     return found
 
 
-def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries_per_bucket: int = 2_000_000) -> DataFrame:
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", entries_per_bucket: int = 2_000_000, hot_from: int = HOT) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``n_shingles``, ``component_id``
     (the smallest id reachable over links, its own included)."""
-    return _components(df, id_col, text_col, entries_per_bucket).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return _components(df, id_col, text_col, entries_per_bucket, hot_from).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: int = 2_000_000) -> DataFrame:
+def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: int = 2_000_000, hot_from: int = HOT) -> DataFrame:
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -422,9 +422,9 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
                 if len(h) and sets.setdefault(set_id(h, seed), h) is h:
                     size += len(h)
             if size > 1_500_000:  # elements: some 12 MB of hashes for one row of each bucket
-                yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak)), columns=columns)
+                yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak, hot_from)), columns=columns)
                 sets, size = {}, 0
-        yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak)), columns=columns)
+        yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak, hot_from)), columns=columns)
 
     # Only one text of each set is indexed; the bitmap may let a few copies through, which changes nothing.
     one_each = flag_by_bitmap(docs, F.xxhash64("id"), reps, "rep").where("rep").select("text")

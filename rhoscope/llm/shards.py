@@ -6,22 +6,23 @@ p goes to shard ``p mod shards`` at slot ``p div shards``.  Shard and slot of
 any row number can be computed from (seed, N, shards) alone, shard sizes differ
 by one row at most and slots have no gaps.
 
-Row numbers come without a global sort: quantiles of the id cut the rows into
-buckets, counts per bucket give offsets, and a window numbers rows inside each
-bucket.
+Row numbers come without a window over all rows: ids are dealt into ranges,
+sorted inside each, and the rows of every range are counted, which gives its
+offset.
 
-Defined results: rows with equal ids are ordered by ``tie``;
-repeated rows get numbers of their own; a null id sorts first; an empty table gives no rows; other columns are kept.
+Defined results: rows with equal ids are ordered by ``tie``; repeated rows get
+numbers of their own; a null id sorts first; an empty table gives no rows; other
+columns are kept, but for those named like the result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh
 
 ROUNDS = 4
 
@@ -51,27 +52,25 @@ def permute(numbers: np.ndarray, n: int, seed: int = 7) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def row_numbers(df: DataFrame, id_col: str, tie: str, name: str, per_bucket: int = 100_000) -> tuple[DataFrame, int]:
+#: Bits of Spark's ``monotonically_increasing_id`` that count inside a partition.
+_INSIDE = 33
+
+
+def row_numbers(df: DataFrame, id_col: str, tie: str, name: str) -> tuple[DataFrame, int]:
     """``df`` with global row numbers by ``id_col``; and the number of rows."""
-    n = df.count()
-    buckets = min(2048, max(1, -(-n // per_bucket)))  # more rows make larger buckets, which a window sorts with spill
-    cuts = []
-    if buckets > 1:
-        cuts = sorted({c for c in df.agg(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []})
-    bucket = fresh(df, "bucket")
-    out = df.withColumn(bucket, F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(id_col))), F.lit(0)) if cuts else F.lit(0))
-    counts = out.groupBy(bucket).count()
-    offsets, at = {}, 0
-    for b, c in sorted((r[0], r[1]) for r in counts.collect()):  # one row per bucket
-        offsets[b], at = at, at + c
-    w = Window.partitionBy(bucket).orderBy(F.col(id_col).asc_nulls_first(), F.col(tie))
-    offset = F.lit(0).cast("long")
-    if len(offsets) > 1:
-        table = df.sparkSession.createDataFrame(list(offsets.items()), f"{bucket} int, {name}_0 long")
-        out = out.join(F.broadcast(table), bucket)
-        offset = F.col(f"{name}_0")
-    out = out.withColumn(name, F.row_number().over(w).cast("long") - 1 + offset)
-    return out.drop(bucket, f"{name}_0"), n
+    at, part, offset = (fresh(df, c) for c in ("at", "part", "offset"))
+    order = [F.col(id_col).asc_nulls_first(), F.col(tie)]
+    # Written out: the ranges are sampled, and numbers and counts must be of one deal.
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    dealt = dealt.withColumn(part, F.shiftright(at, _INSIDE).cast("int"))
+    offsets, n = [], 0
+    for k, rows in sorted((r[0], r[1]) for r in dealt.groupBy(part).count().collect()):  # one row per range
+        offsets.append((k, n))
+        n += rows
+    table = df.sparkSession.createDataFrame(offsets, f"{part} int, {offset} long")
+    inside = F.col(at).bitwiseAND(F.lit((1 << _INSIDE) - 1))
+    out = dealt.join(F.broadcast(table), part).withColumn(name, inside + F.col(offset))
+    return out.drop(at, part, offset), n
 
 
 def feistel_shards(df: DataFrame, id_col: str = "doc_id", tie: Column | None = None, shards: int = 40, seed: int = 7) -> DataFrame:
@@ -80,6 +79,7 @@ def feistel_shards(df: DataFrame, id_col: str = "doc_id", tie: Column | None = N
     Every column of ``df`` moves with its row once: leave long texts out and
     join them later.
     """
+    df = df.drop("shard", "slot")
     tied, number, at = fresh(df, "tie"), fresh(df, "number"), fresh(df, "place")
     numbered, n = row_numbers(df.withColumn(tied, F.lit(0) if tie is None else tie), id_col, tied, number)
 
