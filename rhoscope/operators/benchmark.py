@@ -26,7 +26,7 @@ def join_with_fallback(scores: DataFrame, triage: DataFrame, op: str, condition:
     known = first_by(triage.withColumn("nkey", K.normalise(condition)), ["dataset", "nkey"], F.col(condition))
     one, two = (known.select("dataset", F.col("nkey").alias(k), F.col(condition).alias(c)) for k, c in (("k1", "c1"), ("k2", "c2")))
     probe = scores.withColumn("k1", K.normalise(op)).withColumn("k2", F.replace(K.normalise(op), F.lit(prefix), F.lit("")))
-    out = probe.join(F.broadcast(one), ["dataset", "k1"], "left").join(F.broadcast(two), ["dataset", "k2"], "left")
+    out = probe.join(one, ["dataset", "k1"], "left").join(two, ["dataset", "k2"], "left")
     return out.withColumn("matched", F.coalesce("c1", "c2")).where("matched is not null").drop("k1", "k2", "c1", "c2")
 
 

@@ -56,7 +56,7 @@ def reliability_curve(units: DataFrame, pairs: DataFrame, e: DataFrame, reps: in
     full = F.floor(F.col("n") / 2).cast("int")
     grid_n = F.filter(F.array(*map(F.lit, grid)), lambda v: (v >= least) & (v < full))
     conf = e.where(full >= least).select("unit", "e_between", F.col("n").alias("n_cells"), full.alias("full"), F.explode(F.concat(grid_n, F.array(full))).alias("size"))
-    drawn = repeats(units.join(F.broadcast(conf.select("unit", "size")), "unit"), reps)
+    drawn = repeats(units.join(conf.select("unit", "size"), "unit"), reps)
     drawn = halves(drawn, ["unit", "size", "rep"], ["rep", "size", F.lit("e"), "cell"], "cell", "size")
     left = drawn.select("unit", "size", "rep", F.col("cell").alias("i"), F.col("half").alias("hi"))
     right = drawn.select("unit", "size", "rep", F.col("cell").alias("j"), F.col("half").alias("hj"))

@@ -46,7 +46,7 @@ def split_half_r(cells: DataFrame, units: DataFrame, reps: int, grid: list[int]
     """Correlation of two independent half-sample deltas for every
     (unit, mode, n, gene_mode, rep)."""
     conf = configurations(units, control, grid or [])
-    treated = repeats(units.join(F.broadcast(conf), "unit"), reps)
+    treated = repeats(units.join(conf, "unit"), reps)
     treated = halves(treated, ["unit", "mode", "n", "rep"], ["rep", "mode", "n", F.lit("t"), "cell"], "cell", "n")
     pool = repeats(units.where(F.col("unit") == control).select("cell").crossJoin(F.broadcast(conf.select("mode", "n").distinct())), reps)
     ctrl = halves(pool, ["mode", "n", "rep"], ["rep", "mode", "n", F.lit("c"), "cell"], "cell", "n")
@@ -93,7 +93,7 @@ def n_star(gene_mode: str):
 
 def shared_axis(cells: DataFrame, reliable: DataFrame, control: int = 0) -> DataFrame:
     """Mean of all cells of reliable units (weighted by cells) minus the control's: ``g``, ``avg_delta``."""
-    rel = cells.join(F.broadcast(reliable.select("unit")), "unit", "left_semi").groupBy("g").agg(F.avg("x").alias("m"))
+    rel = cells.join(reliable.select("unit"), "unit", "left_semi").groupBy("g").agg(F.avg("x").alias("m"))
     ctrl = cells.where(F.col("unit") == control).groupBy("g").agg(F.avg("x").alias("m0"))
     return rel.join(ctrl, "g").select("g", (F.col("m") - F.col("m0")).alias("avg_delta"))
 
@@ -104,7 +104,7 @@ def axis_metrics(cells: DataFrame, reliable: DataFrame, control: int = 0) -> Dat
     d = deltas(cells, control).join(F.broadcast(shared_axis(cells, reliable, control)), "g")
     dd, aa, da = F.sum(F.col("delta") * F.col("delta")), F.sum(F.col("avg_delta") * F.col("avg_delta")), F.sum(F.col("delta") * F.col("avg_delta"))
     out = d.groupBy("unit").agg(F.max("n").alias("n_cells"), S.cosine("delta", "avg_delta").alias("c"), F.sqrt(dd).alias("np"), F.sqrt(aa).alias("na"), F.sqrt(F.greatest(dd - F.try_divide(da * da, F.nullif(aa, F.lit(0.0))), F.lit(0.0))).alias("ns"))
-    out = out.join(F.broadcast(reliable.select("unit", F.lit(True).alias("reliable"))), "unit", "left").withColumn("reliable", F.coalesce("reliable", F.lit(False)))
+    out = out.join(reliable.select("unit", F.lit(True).alias("reliable")), "unit", "left").withColumn("reliable", F.coalesce("reliable", F.lit(False)))
     val = lambda c: F.when(F.col("reliable"), F.col(c))
     return out.select("unit", "n_cells", "reliable", val("c").alias("cos_sim"), val("np").alias("norm_delta_p"), val("na").alias("norm_delta_avg"), val("ns").alias("norm_delta_specific"), (val("c") * val("c")).alias("frac_systematic_var"))
 

@@ -30,6 +30,8 @@ REPS, TOPK, BOOT, PERMS, FDR = 20, 16, 1000, 1000, 0.05
 #: Sizes of a half and of a pilot as in the reference; a unit takes those it has cells for.
 GRID, PILOTS = [8, 16, 32, 64, 128, 256, 512], [*range(10, 99, 2)]
 BASELINE = "m1"
+#: The tables have 64 genes a ranking; the operator's own least is 200.
+LEAST_GENES = 32
 
 
 def query(sql: str | None = None):
@@ -160,7 +162,7 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    s = X.scores(spark, d).join(F.broadcast(_units(spark, d)), ["dataset", "unit"])
+    s = X.scores(spark, d).join(_units(spark, d), ["dataset", "unit"])
     return s.withColumn("ce", S.ratio(F.col("score"), F.sqrt("rho")))
 
 
@@ -332,7 +334,7 @@ def energy_vs_pearson(spark, d):
 @query(f"WITH {SCORES} SELECT method, dataset, unit, fold, {r6('score', 'rho', 'ce')}, cls FROM sq")
 def score_triage_join(spark, d):
     s = X.scores(spark, d).drop("unit").withColumn("unit", K.strip_fold("op"))
-    j = B.join_triage(s, F.broadcast(_units(spark, d)), ["dataset", "unit"], ["rho"]).withColumn("ce", S.ratio(F.col("score"), F.sqrt("rho")))
+    j = B.join_triage(s, _units(spark, d), ["dataset", "unit"], ["rho"]).withColumn("ce", S.ratio(F.col("score"), F.sqrt("rho")))
     return rounded(j.select("method", "dataset", "unit", "fold", "score", "rho", "ce", "cls"))
 
 
@@ -703,7 +705,7 @@ rb AS (SELECT unit, side, g, v FROM (SELECT unit, 'specific' AS side, g, residua
 
 
 def _es(rows: str, order: str, keys: str) -> str:
-    return f"""(SELECT {keys}, term, CASE WHEN max(run) >= -min(run) THEN max(run) ELSE min(run) END AS es, max(nh) AS nh FROM (
+    return f"""(SELECT {keys}, term, CASE WHEN round(max(run), 9) >= round(-min(run), 9) THEN max(run) ELSE min(run) END AS es, max(nh) AS nh FROM (
     SELECT *, sum(CASE WHEN hit THEN coalesce(abs(v) / nullif(nr, 0), 0) ELSE coalesce(-1.0::DOUBLE / nullif(n - nh, 0), 0) END) OVER (PARTITION BY {keys}, term ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS run FROM (
       SELECT *, count(*) OVER w AS n, sum(hit::INT) OVER w AS nh, sum(CASE WHEN hit THEN abs(v) ELSE 0 END) OVER w AS nr FROM (
         SELECT r.*, t.term, gs.g IS NOT NULL AS hit FROM {rows} r CROSS JOIN (SELECT term FROM gs GROUP BY term HAVING count(*) BETWEEN 5 AND 500) t LEFT JOIN gs ON gs.term = t.term AND gs.g = r.g) WINDOW w AS (PARTITION BY {keys}, term))) GROUP BY {keys}, term)"""
@@ -715,12 +717,13 @@ pm AS (SELECT unit, side, perm, g, row_number() OVER (PARTITION BY unit, side, p
 po AS (SELECT unit, side, v, row_number() OVER (PARTITION BY unit, side ORDER BY v DESC, g) AS place FROM rb),
 nb AS (SELECT pm.unit, pm.side, perm, g, v, pm.place FROM pm JOIN po ON pm.unit = po.unit AND pm.side = po.side AND pm.place = po.place),
 e0 AS {_es('nb', 'place', 'unit, side, perm')},
-st AS (SELECT es.unit, es.side, es.term, es.es, es.nh AS set_size, avg(abs(e0.es)) FILTER ((e0.es >= 0) = (es.es >= 0)) AS scale,
-  count(*) FILTER ((e0.es >= 0) = (es.es >= 0) AND round(abs(e0.es), 9) >= round(abs(es.es), 9)) AS more, count(*) FILTER ((e0.es >= 0) = (es.es >= 0)) AS same
-  FROM es JOIN e0 ON es.unit = e0.unit AND es.side = e0.side AND es.term = e0.term GROUP BY ALL),
-sp AS (SELECT *, (more + 1) / (same + 1) AS p FROM st),
-sr AS (SELECT *, count(*) OVER (PARTITION BY unit, side) AS m, row_number() OVER (PARTITION BY unit, side ORDER BY p, term) AS rk FROM sp),
-en AS (SELECT *, least(1, min(p * m / rk) OVER (PARTITION BY unit, side ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM sr)"""
+mk AS (SELECT *, es >= 0 AS up, round(abs(es), 9) AS a FROM (SELECT unit, side, term, es, nh, 1 AS own FROM es UNION ALL SELECT unit, side, term, es, nh, 0 FROM e0)),
+sp AS (SELECT *, avg(abs(es)) FILTER (own = 0) OVER (PARTITION BY unit, side, term, up) AS scale, sum(1 - own) OVER (PARTITION BY unit, side, term, up) AS same,
+  sum(1 - own) OVER (PARTITION BY unit, side, term, up ORDER BY a DESC) AS more FROM mk),
+sr AS (SELECT *, es / nullif(scale, 0) AS nes, round(abs(es / nullif(scale, 0)), 9) AS x FROM sp),
+en AS (SELECT unit, side, term, es, nes, nh AS set_size, (more + 1) / (same + 1) AS p, CASE WHEN nes IS NULL THEN 1.0 ELSE least(1, coalesce(f, 1.0)) END AS fdr FROM (
+  SELECT *, (sum(1 - own) OVER q / sum(1 - own) OVER (PARTITION BY unit, side, up)) / nullif(sum(own) OVER q / sum(own) OVER (PARTITION BY unit, side, up), 0) AS f
+  FROM sr WINDOW q AS (PARTITION BY unit, side, up ORDER BY x DESC NULLS LAST)) WHERE own = 1)"""
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -735,15 +738,25 @@ def shared_and_residual_axes(spark, d):
     return rounded(_ranked(spark, d))
 
 
-@query(f"WITH {ENRICH} SELECT unit::BIGINT AS unit, side, term, {r6('es', 'es / nullif(scale, 0) AS nes', 'p', 'fdr')}, set_size::BIGINT AS set_size FROM en")
+@query(f"WITH {ENRICH} SELECT unit::BIGINT AS unit, side, term, {r6('es', 'nes', 'p', 'fdr')}, set_size::BIGINT AS set_size FROM en")
 def shared_vs_residual_enrichment(spark, d):
-    return rounded(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS))
+    return rounded(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS, genes=LEAST_GENES))
 
 
 @query(f"""WITH {ENRICH}, s AS (SELECT * FROM en WHERE fdr < {FDR})
 SELECT term, count(DISTINCT unit) FILTER (side = 'shared') AS n_shared, count(DISTINCT unit) FILTER (side = 'specific') AS n_specific, count(DISTINCT unit) FILTER (side = 'specific') > 0 AND count(DISTINCT unit) FILTER (side = 'shared') = 0 AS specific_only FROM s GROUP BY term""")
 def program_sets(spark, d):
-    return rounded(G.programs(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS), "side", FDR))
+    return rounded(G.programs(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS, genes=LEAST_GENES), "side", FDR))
+
+
+@query(f"""WITH {ENRICH}, qr AS (SELECT unit % 3 AS context, count(*) AS n_reliable FROM good GROUP BY ALL HAVING count(*) >= 2),
+qt AS (SELECT unit % 3 AS context, count(DISTINCT term) AS n_terms FROM en WHERE side = 'specific' AND fdr < 0.9 GROUP BY ALL)
+SELECT context::BIGINT AS context, n_reliable, n_terms FROM qr JOIN qt USING (context)""")
+def qualifying_contexts(spark, d):
+    """Contexts are residues of the unit; cuts as loose as 2 units and 0.9, for few units and no planted term."""
+    context = (F.col("unit") % 3).alias("context")
+    found = G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS, genes=LEAST_GENES).where("side = 'specific'").select(context, "term", "fdr")
+    return rounded(G.qualifying(_rho(spark, d).where("rho >= 0.5").select(context, "unit"), found, ["context"], 2, 0.9))
 
 
 # --- reports and sources -------------------------------------------------------------------------

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,15 +31,20 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob names at least one file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_or(spark: SparkSession, path: str, fmt: str = "parquet", on_missing: str = "error", schema: StructType | str | None = None) -> DataFrame | None:
-    """A missing input is an error, or None with ``on_missing='skip'``."""
-    try:
-        reader = spark.read.format(fmt)
-        return (reader.schema(schema) if schema is not None else reader).load(path)
-    except AnalysisException:
-        if on_missing == "skip":
-            return None
-        raise
+    """A missing input is an error, or None with ``on_missing='skip'``; an input that
+    is there but can't be read is an error always."""
+    if on_missing == "skip" and not exists(spark, path):
+        return None
+    reader = spark.read.format(fmt)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
 def union_present(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame | None:
@@ -72,12 +76,19 @@ def _by_value():
 
 
 def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
+    """CSV with a header; ``decimals``: fractions are written with so many digits."""
     if decimals is not None:
-        df = df.select(*[F.round(c, decimals).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+        shown = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", F.col(c).cast("double"))).alias(c)
+        df = df.select(*[shown(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
+def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """JSON lines; with ``by`` one nested document for each key: the key's columns
+    and, under ``rows``, an array of the other columns."""
+    if by:
+        rest = [c for c in df.columns if c not in by]
+        df = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("rows"))
     df.write.mode("overwrite").json(path)
 
 
