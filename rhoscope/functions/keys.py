@@ -65,6 +65,13 @@ def first_present(df: DataFrame, candidates: list[str]) -> str:
     raise KeyError(f"none of {candidates} in {df.columns}")
 
 
+def control_label(labels: DataFrame, candidates: list[str], by: list[str], label: str = "label") -> DataFrame:
+    """(by, label): the first of the candidate control labels that each ``by`` has;
+    those without any are missing."""
+    place = F.array_position(F.array(*map(F.lit, candidates)), F.col(label))
+    return labels.where(F.col(label).isin(candidates)).groupBy(*by).agg(F.min_by(label, place).alias(label))
+
+
 def vocabulary(c: str | Column, mapping: dict[str, str], default: str | None = None) -> Column:
     """Dictionary lookup; unmapped values become null, or stay with ``default='same'``."""
     found = F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), _col(c))

@@ -89,3 +89,9 @@ def shared_fraction(scores: DataFrame, baseline: str) -> DataFrame:
 def win_rate(scores: DataFrame, baseline: str) -> DataFrame:
     rows = fold_excess(scores, baseline)
     return rows.groupBy("method").agg((F.avg((F.col("excess") > 0).cast("int")) * 100).alias("win_pct"), F.count("*").alias("n"))
+
+
+def relabel(df: DataFrame, other: DataFrame, key: list[str], label: str) -> DataFrame:
+    """``df`` with the label that ``other`` has for its key; where it has none, its own stays."""
+    swap = first_by(other.select(*key, F.col(label).alias("swapped")), key, F.col("swapped"))
+    return df.join(swap, key, "left").withColumn(label, F.coalesce("swapped", label)).drop("swapped")

@@ -47,6 +47,29 @@ def between(vec: DataFrame, pairs: DataFrame, control: int = 0) -> DataFrame:
     return out.select("unit", "n", e.alias("e_between"))
 
 
+def control_pools(units: DataFrame, by: list[str], control: int = 0, least: int = 8) -> DataFrame:
+    """(by, cell): the controls of each ``by``; all controls where it has fewer than ``least`` of its own."""
+    ctrl = units.where(F.col("unit") == control)
+    enough = ctrl.groupBy(*by).agg(F.count("*").alias("k")).where(F.col("k") >= least).select(*by)
+    short = units.select(*by).distinct().join(enough, by, "left_anti")
+    return ctrl.join(enough, by).select(*by, "cell").unionByName(short.crossJoin(ctrl.select("cell")))  # contexts without controls x controls: the fall-back itself
+
+
+def between_matched(vec: DataFrame, pools: DataFrame, by: list[str], control: int = 0) -> DataFrame:
+    """E of each (by, unit) against its pool of controls: ``by``, ``unit``, ``n``, ``n_ctrl``, ``e_between``.
+
+    ``vec``: cell, by, unit, v.  ``pools``: of :func:`control_pools`.
+    """
+    c = pools.join(vec.where(F.col("unit") == control).select("cell", F.col("v").alias("vc")), "cell").select(*by, "vc")
+    own = vec.where(F.col("unit") != control).select(*by, "unit", "v")
+    cross = own.join(c, by).groupBy(*by, "unit").agg(F.sum(distance("v", "vc")).alias("s_xy"))
+    inner = own.join(own.withColumnRenamed("v", "w"), [*by, "unit"]).groupBy(*by, "unit").agg(F.sum(distance("v", "w")).alias("s_xx"), F.sqrt(F.count("*")).alias("n"))
+    pool = c.join(c.withColumnRenamed("vc", "w"), by).groupBy(*by).agg(F.sum(distance("vc", "w")).alias("s_yy"), F.sqrt(F.count("*")).alias("n_ctrl"))
+    n, m = F.col("n"), F.col("n_ctrl")
+    e = 2 * F.col("s_xy") / (n * m) - F.col("s_xx") / (n * n) - F.col("s_yy") / (m * m)
+    return inner.join(cross, [*by, "unit"]).join(pool, by).select(*by, "unit", n.cast("long").alias("n"), m.cast("long").alias("n_ctrl"), e.alias("e_between"))
+
+
 def reliability_curve(units: DataFrame, pairs: DataFrame, e: DataFrame, reps: int, grid: list[int], least: int = 4) -> DataFrame:
     """rho_E of each (unit, n_half); the full split has n_half -1.
 

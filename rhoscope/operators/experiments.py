@@ -39,6 +39,17 @@ def quantity_arms(pool: DataFrame, fractions: list[float], draws: int, least: in
     return subset(grid, ["frac", "draw"], [F.lit(salt), "frac", "draw", "unit"], "unit", F.col("size")).select("frac", "draw", "unit")
 
 
+def scaling_arms(members: DataFrame, fractions: list[float], draws: int, least: int = 8, salt: str = "pool") -> DataFrame:
+    """Random subsets of every pool of ``least`` units or more: (pool, frac, draw, unit);
+    ``members``: pool, unit.  The whole pool is drawn once."""
+    n = members.groupBy("pool").agg(F.count("*").alias("n_pool")).where(F.col("n_pool") >= least)
+    drawn = [F.struct(F.lit(f).alias("frac"), F.lit(r).alias("draw")) for f in fractions for r in range(1, (draws if f < 1 else 1) + 1)]
+    cells = F.explode(F.array(*drawn)).alias("c")
+    grid = members.join(n, "pool").select("pool", "unit", "n_pool", cells).select("pool", "unit", "n_pool", "c.*")
+    grid = grid.withColumn("size", F.greatest(F.lit(1), F.bround(F.col("frac") * F.col("n_pool"), 0)))
+    return subset(grid, ["pool", "frac", "draw"], [F.lit(salt), "pool", "frac", "draw", "unit"], "unit", F.col("size")).select("pool", "frac", "draw", "unit")
+
+
 def strategy_arms(units: DataFrame, strategies: list[str]) -> DataFrame:
     """(strategy, unit, weight) of filter-or-weight strategies; ``units``: unit, rho, phi, label."""
     w = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), strategy_weight(s, F.col("rho"), F.col("phi"), F.col("label")).alias("weight")) for s in strategies])).alias("w")

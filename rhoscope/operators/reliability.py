@@ -13,61 +13,74 @@ from ..functions import stats as S
 from .sampling import halves, repeats
 
 
-def centroids(cells: DataFrame) -> DataFrame:
-    """Pseudobulk: mean of each gene over the unit's cells."""
-    return cells.groupBy("unit", "g").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
+def beside(df: DataFrame, one: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the row that ``one`` has for each ``by``, or its only row."""
+    return df.join(one, by) if by else df.crossJoin(F.broadcast(one))  # one row
 
 
-def deltas(cells: DataFrame, control: int = 0) -> DataFrame:
-    """Centroid minus the control's: ``unit``, ``g``, ``delta``, ``n``."""
-    c = centroids(cells)
-    ctrl = c.where(F.col("unit") == control).select("g", F.col("m").alias("m0"))
-    return c.where(F.col("unit") != control).join(F.broadcast(ctrl), "g").select("unit", "g", (F.col("m") - F.col("m0")).alias("delta"), "n")
+def centroids(cells: DataFrame, by: list[str] = []) -> DataFrame:
+    """Pseudobulk: mean of each gene over the unit's cells, within ``by`` (dataset,
+    condition, context: any columns of ``cells``)."""
+    return cells.groupBy(*by, "unit", "g").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
 
 
-def top_expressed(cells: DataFrame, k: int, control: int = 0) -> DataFrame:
+def deltas(cells: DataFrame, control: int = 0, by: list[str] = []) -> DataFrame:
+    """Centroid minus the control's of the same ``by``: ``by``, ``unit``, ``g``, ``delta``, ``n``."""
+    c = centroids(cells, by)
+    ctrl = c.where(F.col("unit") == control).select(*by, "g", F.col("m").alias("m0"))
+    return c.where(F.col("unit") != control).join(ctrl, [*by, "g"]).select(*by, "unit", "g", (F.col("m") - F.col("m0")).alias("delta"), "n")
+
+
+def top_expressed(cells: DataFrame, k: int, control: int = 0, by: list[str] = []) -> DataFrame:
     """The k genes with the largest mean control expression."""
-    m = cells.where(F.col("unit") == control).groupBy("g").agg(F.avg("x").alias("m"))
-    return m.orderBy(F.desc("m"), "g").limit(k).select("g")
+    m = cells.where(F.col("unit") == control).groupBy(*by, "g").agg(F.avg("x").alias("m"))
+    w = Window.partitionBy(*by).orderBy(F.desc("m"), "g")  # genes of one matrix
+    return m.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).select(*by, "g")
 
 
-def configurations(units: DataFrame, control: int, grid: list[int], least: int = 4) -> DataFrame:
-    """(unit, mode, n): the largest split and every feasible fixed one, also when equal."""
-    sizes = units.groupBy("unit").agg(F.count("*").alias("cells"))
-    ctrl = sizes.where(F.col("unit") == control).select(F.col("cells").alias("ctrl_cells"))
-    n = sizes.where(F.col("unit") != control).crossJoin(F.broadcast(ctrl))  # one control row
+def configurations(units: DataFrame, control: int, grid: list[int], least: int = 4, by: list[str] = []) -> DataFrame:
+    """(by, unit, mode, n): the largest split and every feasible fixed one, also when equal."""
+    sizes = units.groupBy(*by, "unit").agg(F.count("*").alias("cells"))
+    ctrl = sizes.where(F.col("unit") == control).select(*by, F.col("cells").alias("ctrl_cells"))
+    n = beside(sizes.where(F.col("unit") != control), ctrl, by)
     n = n.withColumn("most", F.least(F.floor(F.col("cells") / 2), F.floor(F.col("ctrl_cells") / 2)).cast("int")).where(F.col("most") >= least)
-    fixed = F.transform(F.filter(F.array(*map(F.lit, grid)), lambda v: v <= F.col("most")), lambda v: F.struct(F.lit("fixed").alias("mode"), v.alias("n")))
-    every = F.concat(F.array(F.struct(F.lit("max").alias("mode"), F.col("most").alias("n"))), fixed) if grid else F.array(F.struct(F.lit("max").alias("mode"), F.col("most").alias("n")))
-    return n.select("unit", F.explode(every).alias("c")).select("unit", "c.mode", "c.n")
+    split = lambda mode, v: F.struct(F.lit(mode).alias("mode"), v.alias("n"))
+    every = F.array(split("max", F.col("most")))
+    if grid:
+        every = F.concat(every, F.transform(F.filter(F.array(*map(F.lit, grid)), lambda v: v <= F.col("most")), lambda v: split("fixed", v)))
+    return n.select(*by, "unit", F.explode(every).alias("c")).select(*by, "unit", "c.mode", "c.n")
 
 
-def split_half_r(cells: DataFrame, units: DataFrame, reps: int, grid: list[int] | None = None, topk: int | None = None, control: int = 0) -> DataFrame:
+def split_half_r(cells: DataFrame, units: DataFrame, reps: int, grid: list[int] | None = None, topk: int | None = None, control: int = 0, by: list[str] = []) -> DataFrame:
     """Correlation of two independent half-sample deltas for every
-    (unit, mode, n, gene_mode, rep)."""
-    conf = configurations(units, control, grid or [])
-    treated = repeats(units.join(conf, "unit"), reps)
-    treated = halves(treated, ["unit", "mode", "n", "rep"], ["rep", "mode", "n", F.lit("t"), "cell"], "cell", "n")
-    pool = repeats(units.where(F.col("unit") == control).select("cell").crossJoin(F.broadcast(conf.select("mode", "n").distinct())), reps)
-    ctrl = halves(pool, ["mode", "n", "rep"], ["rep", "mode", "n", F.lit("c"), "cell"], "cell", "n")
+    (by, unit, mode, n, gene_mode, rep); units and controls meet within ``by``."""
+    conf = configurations(units, control, grid or [], by=by)
+    arm = [*by, "mode", "n", "rep"]
+    treated = repeats(units.join(conf, [*by, "unit"]), reps)
+    treated = halves(treated, [*arm, "unit"], ["rep", "mode", "n", F.lit("t"), "cell"], "cell", "n")
+    pool = units.where(F.col("unit") == control).select(*by, "cell")
+    pool = repeats(pool.join(conf.select(*by, "mode", "n").distinct(), by) if by else pool.crossJoin(F.broadcast(conf.select("mode", "n").distinct())), reps)  # sizes of the grid
+    ctrl = halves(pool, arm, ["rep", "mode", "n", F.lit("c"), "cell"], "cell", "n")
     x = cells.select("cell", "g", "x")
-    t = treated.join(x, "cell").groupBy("unit", "mode", "n", "rep", "half", "g").agg(F.avg("x").alias("mt"))
-    c = ctrl.join(x, "cell").groupBy("mode", "n", "rep", "half", "g").agg(F.avg("x").alias("mc"))
-    d = t.join(c, ["mode", "n", "rep", "half", "g"]).withColumn("d", F.col("mt") - F.col("mc"))
-    both = d.groupBy("unit", "mode", "n", "rep", "g").agg(F.max(F.when(F.col("half") == 1, F.col("d"))).alias("a"), F.max(F.when(F.col("half") == 2, F.col("d"))).alias("b"))
-    keys = ["unit", "mode", "n", "rep"]
-    out = both.groupBy(*keys).agg(S.pearson("a", "b").alias("r")).withColumn("gene_mode", F.lit("all_genes"))
-    if topk:
-        top = both.join(F.broadcast(top_expressed(cells, topk, control)), "g", "left_semi")
-        out = out.unionByName(top.groupBy(*keys).agg(S.pearson("a", "b").alias("r")).withColumn("gene_mode", F.lit("top_expressed")))
-    return out
-
-
-def reliability_long(r: DataFrame) -> DataFrame:
-    """Summary statistics of the repeats of each (unit, mode, n, gene_mode)."""
+    t = treated.join(x, "cell").groupBy(*arm, "unit", "half", "g").agg(F.avg("x").alias("mt"))
+    c = ctrl.join(x, "cell").groupBy(*arm, "half", "g").agg(F.avg("x").alias("mc"))
+    d = t.join(c, [*arm, "half", "g"]).withColumn("d", F.col("mt") - F.col("mc"))
+    both = d.groupBy(*arm, "unit", "g").agg(F.max(F.when(F.col("half") == 1, F.col("d"))).alias("a"), F.max(F.when(F.col("half") == 2, F.col("d"))).alias("b"))
+    keys = [*by, "unit", "mode", "n", "rep"]
+    modes = [(F.lit(True), "all_genes")]
+    if topk:  # genes of the mask are few: both gene modes come of one pass over the halves
+        both = both.join(top_expressed(cells, topk, control, by).withColumn("top", F.lit(True)), [*by, "g"], "left")
+        modes.append((F.col("top"), "top_expressed"))
+    wide = both.groupBy(*keys).agg(*[S.pearson(F.when(hit, F.col("a")), F.when(hit, F.col("b"))).alias(m) for hit, m in modes])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("gene_mode"), F.col(m).alias("r")) for _, m in modes])).alias("e")
+    return wide.select(*keys, each).select(*keys, "e.r", "e.gene_mode")
+
+
+def reliability_long(r: DataFrame, by: list[str] = []) -> DataFrame:
+    """Summary statistics of the repeats of each (by, unit, mode, n, gene_mode)."""
     p = F.percentile("r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     sb = S.spearman_brown("r")
-    out = r.withColumn("sb", sb).groupBy("unit", "mode", "n", "gene_mode").agg(
+    out = r.withColumn("sb", sb).groupBy(*by, "unit", "mode", "n", "gene_mode").agg(
         F.count("*").alias("n_repeats"), F.avg("r").alias("mean_r"), F.stddev_pop("r").alias("std_r"), p.alias("q"), F.min("r").alias("min_r"), F.max("r").alias("max_r"),
         S.population_skew("r").alias("skewness_r"), F.avg("sb").alias("sb_mean_per_repeat"), F.percentile("sb", F.lit(0.5)).alias("sb_median_per_repeat"),
     )
@@ -91,22 +104,29 @@ def n_star(gene_mode: str):
     return F.min(F.when((F.col("mode") == "fixed") & (F.col("gene_mode") == gene_mode) & (F.col("median_r") >= 0.5), F.col("n"))).cast("double")
 
 
-def shared_axis(cells: DataFrame, reliable: DataFrame, control: int = 0) -> DataFrame:
-    """Mean of all cells of reliable units (weighted by cells) minus the control's: ``g``, ``avg_delta``."""
-    rel = cells.join(reliable.select("unit"), "unit", "left_semi").groupBy("g").agg(F.avg("x").alias("m"))
-    ctrl = cells.where(F.col("unit") == control).groupBy("g").agg(F.avg("x").alias("m0"))
-    return rel.join(ctrl, "g").select("g", (F.col("m") - F.col("m0")).alias("avg_delta"))
+def shared_axis(cells: DataFrame, reliable: DataFrame, control: int = 0, by: list[str] = []) -> DataFrame:
+    """Mean of all cells of reliable units (weighted by cells) minus the control's: ``by``, ``g``, ``avg_delta``."""
+    rel = cells.join(reliable.select(*by, "unit"), [*by, "unit"], "left_semi").groupBy(*by, "g").agg(F.avg("x").alias("m"))
+    ctrl = cells.where(F.col("unit") == control).groupBy(*by, "g").agg(F.avg("x").alias("m0"))
+    return rel.join(ctrl, [*by, "g"]).select(*by, "g", (F.col("m") - F.col("m0")).alias("avg_delta"))
 
 
-def axis_metrics(cells: DataFrame, reliable: DataFrame, control: int = 0) -> DataFrame:
-    """cos, norms, residual norm and phi of each unit against the shared axis;
-    missing for units that are not reliable."""
-    d = deltas(cells, control).join(F.broadcast(shared_axis(cells, reliable, control)), "g")
+def axis_metrics(cells: DataFrame, reliable: DataFrame, control: int = 0, by: list[str] = []) -> DataFrame:
+    """cos, norms, residual norm and phi of each unit against the shared axis of its
+    ``by``; missing for units that are not reliable."""
+    d = deltas(cells, control, by).join(shared_axis(cells, reliable, control, by), [*by, "g"])
     dd, aa, da = F.sum(F.col("delta") * F.col("delta")), F.sum(F.col("avg_delta") * F.col("avg_delta")), F.sum(F.col("delta") * F.col("avg_delta"))
-    out = d.groupBy("unit").agg(F.max("n").alias("n_cells"), S.cosine("delta", "avg_delta").alias("c"), F.sqrt(dd).alias("np"), F.sqrt(aa).alias("na"), F.sqrt(F.greatest(dd - F.try_divide(da * da, F.nullif(aa, F.lit(0.0))), F.lit(0.0))).alias("ns"))
-    out = out.join(reliable.select("unit", F.lit(True).alias("reliable")), "unit", "left").withColumn("reliable", F.coalesce("reliable", F.lit(False)))
+    out = d.groupBy(*by, "unit").agg(F.max("n").alias("n_cells"), S.cosine("delta", "avg_delta").alias("c"), F.sqrt(dd).alias("np"), F.sqrt(aa).alias("na"), F.sqrt(F.greatest(dd - F.try_divide(da * da, F.nullif(aa, F.lit(0.0))), F.lit(0.0))).alias("ns"))
+    out = out.join(reliable.select(*by, "unit", F.lit(True).alias("reliable")), [*by, "unit"], "left").withColumn("reliable", F.coalesce("reliable", F.lit(False)))
     val = lambda c: F.when(F.col("reliable"), F.col(c))
-    return out.select("unit", "n_cells", "reliable", val("c").alias("cos_sim"), val("np").alias("norm_delta_p"), val("na").alias("norm_delta_avg"), val("ns").alias("norm_delta_specific"), (val("c") * val("c")).alias("frac_systematic_var"))
+    return out.select(*by, "unit", "n_cells", "reliable", val("c").alias("cos_sim"), val("np").alias("norm_delta_p"), val("na").alias("norm_delta_avg"), val("ns").alias("norm_delta_specific"), (val("c") * val("c")).alias("frac_systematic_var"))
+
+
+def cohort(units: DataFrame, control: int = 0, cells: int = 100, controls: int = 16, by: list[str] = []) -> DataFrame:
+    """Units with enough cells where there are enough controls: ``by``, ``unit``, ``cells``, ``ctrl_cells``."""
+    sizes = units.groupBy(*by, "unit").agg(F.count("*").alias("cells"))
+    ctrl = sizes.where((F.col("unit") == control) & (F.col("cells") >= controls)).select(*by, F.col("cells").alias("ctrl_cells"))
+    return beside(sizes.where((F.col("unit") != control) & (F.col("cells") >= cells)), ctrl, by)
 
 
 def residuals(d: DataFrame, axis: DataFrame) -> DataFrame:

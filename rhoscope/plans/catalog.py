@@ -263,6 +263,38 @@ def training_pools(spark, d):
     return rounded(one.groupBy("pool").agg(F.count("unit").alias("n"), F.avg("rho").alias("mean_rho")))
 
 
+def _by_context(sql: str, part: str, contexts: range, select: str) -> str:
+    """The same SQL on the cells of each context, one after the other."""
+    one = lambda k: f"SELECT {k}::BIGINT AS context, q.* FROM (WITH {sql.replace('FROM embeddings', f'FROM (SELECT * FROM embeddings WHERE {part} = {k})')} {select}) q"
+    return " UNION ALL ".join(map(one, contexts))
+
+
+def _context(df: DataFrame) -> DataFrame:
+    return df.select("*", (F.col("cell") % 2).alias("context"))
+
+
+@query(_by_context(AXIS, "vec_id % 2", range(2), f"SELECT unit::BIGINT AS unit, n_cells, {r6('rho', 'cos_sim')}, label FROM tri"))
+def context_triage(spark, d):
+    """Reliability, axis and label of every unit within its context."""
+    c, u, by = (_context(X.cells_planted(spark, d)), _context(X.cell_units(spark, d)), ["context"])
+    rho = R.reliability_long(R.split_half_r(c, u, REPS, by=by), by).select(*by, "unit", F.col("sb_from_median").alias("rho"))
+    t = rho.join(R.axis_metrics(c, rho.where("rho >= 0.5"), by=by), [*by, "unit"], "left")
+    return rounded(t.select(*by, "unit", "n_cells", "rho", "cos_sim", C.label(F.col("rho"), F.col("cos_sim")).alias("label")))
+
+
+@query(_by_context(REL, "vec_id % 2", range(2), f"SELECT unit::BIGINT AS unit, mode, n::BIGINT AS n, gene_mode, {r6('median_r', 'sb_from_median AS rho')} FROM rl"))
+def context_reliability_curve(spark, d):
+    c, u, by = (_context(X.cells_planted(spark, d)), _context(X.cell_units(spark, d)), ["context"])
+    long = R.reliability_long(R.split_half_r(c, u, REPS, GRID, TOPK, by=by), by)
+    return rounded(long.select(*by, "unit", "mode", "n", "gene_mode", "median_r", F.col("sb_from_median").alias("rho")))
+
+
+@query("""WITH s AS (SELECT label AS unit, count(*) AS cells FROM embeddings GROUP BY label)
+SELECT unit::BIGINT AS unit, cells, (SELECT cells FROM s WHERE unit = 0) AS ctrl_cells FROM s WHERE unit <> 0 AND cells >= 48 AND (SELECT cells FROM s WHERE unit = 0) >= 16""")
+def cohort_units(spark, d):
+    return rounded(R.cohort(X.cell_units(spark, d), cells=48))
+
+
 # --- energy distance -----------------------------------------------------------------------------
 
 ENERGY = f"""{CELLS},
@@ -310,6 +342,21 @@ def energy_curve(spark, d):
     return rounded(_energy(spark, d)[1])
 
 
+@query(f"""WITH {CELLS}, vec AS (SELECT cell, cell % 7 AS context, unit, list(x ORDER BY g) AS v FROM cells GROUP BY cell, unit),
+own AS (SELECT context, count(*) FILTER (unit = 0) AS k FROM vec GROUP BY context),
+pool AS (SELECT o.context, v FROM own o JOIN vec c ON c.unit = 0 AND (o.k < 8 OR c.context = o.context)),
+xx AS (SELECT a.context, a.unit, sum(list_distance(a.v, b.v)) AS s, sqrt(count(*)) AS n FROM vec a JOIN vec b ON a.context = b.context AND a.unit = b.unit WHERE a.unit <> 0 GROUP BY ALL),
+xy AS (SELECT a.context, a.unit, sum(list_distance(a.v, p.v)) AS s FROM vec a JOIN pool p ON a.context = p.context WHERE a.unit <> 0 GROUP BY ALL),
+yy AS (SELECT a.context, sum(list_distance(a.v, b.v)) AS s, sqrt(count(*)) AS m FROM pool a JOIN pool b ON a.context = b.context GROUP BY ALL)
+SELECT context, unit::BIGINT AS unit, n::BIGINT AS n, m::BIGINT AS n_ctrl, {r6('2 * xy.s / (n * m) - xx.s / (n * n) - yy.s / (m * m) AS e_between')} FROM xx JOIN xy USING (context, unit) JOIN yy USING (context)""")
+def energy_matched_controls(spark, d):
+    """Contexts with fewer than 8 controls of their own take all controls."""
+    context = (F.col("cell") % 7).alias("context")
+    vec = E.vectors(X.cells_planted(spark, d)).select("*", context)
+    pools = E.control_pools(X.cell_units(spark, d).select("*", context), ["context"])
+    return rounded(E.between_matched(vec, pools, ["context"]))
+
+
 _ENERGY_REST = ENERGY.removeprefix(CELLS).lstrip(",\n")
 
 
@@ -759,6 +806,22 @@ def qualifying_contexts(spark, d):
     return rounded(G.qualifying(_rho(spark, d).where("rho >= 0.5").select(context, "unit"), found, ["context"], 2, 0.9))
 
 
+@query(f"""WITH {SCORES}, swap AS (SELECT dataset, unit, min(cls) AS cls FROM uc WHERE rho >= 0.8 GROUP BY ALL)
+SELECT dataset, unit, coalesce(swap.cls, CASE WHEN m.rho >= 0.5 THEN 'Shared' ELSE 'Unreliable' END) AS cls FROM uc m LEFT JOIN swap USING (dataset, unit)""")
+def label_swap(spark, d):
+    u = _units(spark, d)
+    mine = u.select("dataset", "unit", F.when(F.col("rho") >= 0.5, "Shared").otherwise("Unreliable").alias("cls"))
+    return B.relabel(mine, u.where("rho >= 0.8"), ["dataset", "unit"], "cls")
+
+
+@query("""SELECT lang, min_by(source, CASE source WHEN 'absent' THEN 1 ELSE 2 END || source) AS source FROM (SELECT DISTINCT lang, source FROM documents WHERE source IN ('absent', (SELECT min(source) FROM documents))) GROUP BY lang""")
+def control_label_choice(spark, d):
+    """The first candidate, of which the first is in no table, that each group has."""
+    docs = IO.table(spark, d, "documents")
+    first = docs.agg(F.min("source")).first()[0]
+    return K.control_label(docs, ["absent", first], ["lang"], "source")
+
+
 # --- reports and sources -------------------------------------------------------------------------
 
 

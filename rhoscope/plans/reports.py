@@ -58,6 +58,26 @@ def quantity_sweep(spark, d):
     return rounded(P.relative_to(s, ["frac"], "l2", F.col("frac") == 1.0))
 
 
+SCALES = [0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0]
+
+
+@query(f"""WITH {AXIS}, pm AS (SELECT 'all' AS pool, unit FROM tri UNION ALL SELECT 'reliable', unit FROM tri WHERE rho >= 0.5 UNION ALL SELECT 'unreliable', unit FROM tri WHERE rho < 0.5 UNION ALL SELECT 'specific', unit FROM tri WHERE label = 'Specific'),
+pn AS (SELECT pool, count(*) AS n FROM pm GROUP BY pool HAVING count(*) >= 2),
+q AS (SELECT pool, frac, draw, unit, greatest(1, round_even(frac * n, 0)) AS size, row_number() OVER (PARTITION BY pool, frac, draw ORDER BY md5('pool:' || pool || ':' || frac || ':' || draw || ':' || unit), unit) AS rk
+  FROM pm JOIN pn USING (pool), (VALUES ({'::DOUBLE), ('.join(map(str, SCALES))}::DOUBLE)) f(frac), (SELECT unnest(range(1, 7)) AS draw) WHERE frac < 1 OR draw = 1),
+p AS (SELECT pool, frac, draw, g, avg(delta) AS pred FROM q JOIN delta USING (unit) WHERE rk <= size GROUP BY ALL), s AS (SELECT pool, frac, draw, d.unit, {_SCORE} FROM p JOIN delta d USING (g) GROUP BY ALL),
+m AS (SELECT pool, frac, draw, avg(l2) AS l2, avg(pcc) AS pcc FROM s GROUP BY ALL)
+SELECT pool, frac, count(*) AS n_draws, {r6('avg(l2) AS mean_l2', 'stddev_samp(l2) / sqrt(count(l2)) AS sem_l2', 'avg(pcc) AS mean_pcc')} FROM m GROUP BY ALL""")
+def pool_scaling(spark, d):
+    """Scaling curves: 4 pools, 8 fractions, 6 draws; mean and s.e.m. over the draws."""
+    delta = R.deltas(X.cells_planted(spark, d)).select("unit", "g", "delta")
+    members = P.pool_members(_triage(spark, d), {p: C.pool(p, F.col("rho"), F.col("label")) for p in ("all", "reliable", "unreliable", "specific")})
+    keys = ["pool", "frac", "draw"]
+    arms = P.scaling_arms(members, SCALES, 6, 2).withColumn("weight", F.lit(1.0))
+    s = P.score_units(P.weighted_mean_predictor(arms, delta, keys), delta, keys).groupBy(*keys).agg(F.avg("l2").alias("l2"), F.avg("pcc").alias("pcc"))
+    return rounded(s.groupBy("pool", "frac").agg(F.count("*").alias("n_draws"), F.avg("l2").alias("mean_l2"), S.sem("l2").alias("sem_l2"), F.avg("pcc").alias("mean_pcc")))
+
+
 STRATEGIES = ["all", "specific", "reliable", "weight_rho", "weight_specificity", "weight_both", "reliable_then_specificity"]
 
 
