@@ -9,24 +9,43 @@ from ..functions import stats as S
 from .sampling import bootstrap_draws
 
 
-def bootstrap_ranks(units: DataFrame, iterations: int, salt: str = "boot") -> DataFrame:
-    """(iter, stratum, method): dataset-weighted excess and min-tie rank.
+def _drawn_excess(units: DataFrame, iterations: int, salt: str) -> DataFrame:
+    """(iter, method, dataset): mean excess of the drawn units, all and Specific ones.
 
-    ``units``: method, dataset, unit, cls, excess.  Units are drawn within
-    (dataset, class), the same draw for all methods; draws are joined to the
-    scores, so a large number of iterations is a larger join, not a loop.
+    Units are drawn within (dataset, class), the same draw for all methods; draws
+    are joined to the scores, so a large number of iterations is a larger join,
+    not a loop.
     """
     strata = ["dataset", "cls"]
     drawn = bootstrap_draws(units.select(*strata, "unit").distinct(), strata, ["unit"], iterations, salt)
     counts = drawn.groupBy("iter", *strata, "unit").agg(F.count("*").alias("w"))  # a unit drawn k times weighs k
     rows = counts.join(units, [*strata, "unit"])
-    per = rows.groupBy("iter", "method", "dataset").agg(
+    return rows.groupBy("iter", "method", "dataset").agg(
         F.try_divide(F.sum(F.col("w") * F.col("excess")), F.sum("w")).alias("all"),
         F.try_divide(F.sum(F.when(F.col("cls") == "Specific", F.col("w") * F.col("excess"))), F.sum(F.when(F.col("cls") == "Specific", F.col("w")))).alias("specific"),
     )
-    mean = per.groupBy("iter", "method").agg(F.avg("all").alias("all"), F.avg("specific").alias("specific"))
-    long = mean.select("iter", "method", F.explode(F.create_map(F.lit("all"), "all", F.lit("specific"), "specific")).alias("stratum", "excess"))
-    return long.withColumn("rank", S.rank_min(F.desc_nulls_last("excess"), "excess", ["iter", "stratum"]))
+
+
+def _ranked(excess: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each stratum, with the min-tie rank inside (``by``, stratum)."""
+    long = excess.select(*by, "method", F.explode(F.create_map(F.lit("all"), "all", F.lit("specific"), "specific")).alias("stratum", "excess"))
+    return long.withColumn("rank", S.rank_min(F.desc_nulls_last("excess"), "excess", [*by, "stratum"]))
+
+
+def bootstrap_ranks(units: DataFrame, iterations: int, salt: str = "boot") -> DataFrame:
+    """(iter, stratum, method): dataset-weighted excess and min-tie rank.
+
+    ``units``: method, dataset, unit, cls, excess.
+    """
+    per = _drawn_excess(units, iterations, salt)
+    return _ranked(per.groupBy("iter", "method").agg(F.avg("all").alias("all"), F.avg("specific").alias("specific")), ["iter"])
+
+
+def bootstrap_ranks_by_dataset(units: DataFrame, iterations: int, least: int = 5, salt: str = "boot") -> DataFrame:
+    """(iter, dataset, stratum, method): excess and rank inside each dataset that
+    has ``least`` Specific units or more; others have no rows."""
+    enough = units.where("cls = 'Specific'").groupBy("dataset").agg(F.countDistinct("unit").alias("n")).where(F.col("n") >= least)
+    return _ranked(_drawn_excess(units.join(enough.select("dataset"), "dataset", "left_semi"), iterations, salt), ["iter", "dataset"])
 
 
 def bootstrap_summary(ranks: DataFrame) -> DataFrame:

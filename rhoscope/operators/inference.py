@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,19 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return d.groupBy(*by).agg(S.pearson_or_null("rx", "ry").alias("spearman"), F.count("*").alias("n"))
 
 
+def compare_scorings(df: DataFrame, x: str, y: str, a: str, b: str, classes: Sequence[str], by: list[str]) -> DataFrame:
+    """Two scorings ``x`` and ``y`` with their labels ``a`` and ``b``: Spearman,
+    agreement, kappa and n of each group.  Rows with a missing score drop; the
+    classes are known, so all comes from one aggregation."""
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = d.withColumn("rx", S.rank_average(F.asc(x), x, by)).withColumn("ry", S.rank_average(F.asc(y), y, by))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    cross = sum((count(F.col(a) == k) * count(F.col(b) == k) for k in classes), F.lit(0))
+    out = d.groupBy(*by).agg(S.pearson_or_null("rx", "ry").alias("spearman"), count(F.col(a) == F.col(b)).alias("same"), cross.alias("cross"), F.count("*").alias("n"))
+    po, pe = F.col("same") / F.col("n"), F.col("cross") / (F.col("n") * F.col("n"))
+    return out.select(*by, "spearman", po.alias("agreement"), F.try_divide(po - pe, F.nullif(1 - pe, F.lit(0.0))).alias("kappa"), "n")
+
+
 def sign_test(df: DataFrame, by: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
     """Two-sided binomial p of the signs of values beyond the tolerance, in SQL.
 

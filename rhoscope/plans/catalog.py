@@ -360,21 +360,42 @@ def energy_matched_controls(spark, d):
 _ENERGY_REST = ENERGY.removeprefix(CELLS).lstrip(",\n")
 
 
-@query(f"""WITH {AXIS}, {_ENERGY_REST},
+TWO = f"""{AXIS}, {_ENERGY_REST},
 two AS (
   SELECT tri.unit, rho, cos_sim, label, rho_e, CASE WHEN NOT coalesce(rho_e >= 0, false) THEN 'Unreliable' WHEN coalesce(cos_sim * cos_sim >= 0.5, false) THEN 'Shared' ELSE 'Specific' END AS label_e
-  FROM tri LEFT JOIN (SELECT unit, rho_e FROM er WHERE n_half = -1) USING (unit)),
+  FROM tri LEFT JOIN (SELECT unit, rho_e FROM er WHERE n_half = -1) USING (unit))"""
+
+
+def _two_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Units with both reliabilities and the labels that follow from either."""
+    e = _energy(spark, d)[1].where("n_half = -1").select("unit", "rho_e")
+    return _triage(spark, d).join(e, "unit", "left").withColumn("label_e", C.energy_label(F.col("rho_e"), F.col("cos_sim")))
+
+
+@query(f"""WITH {TWO},
 rk AS (SELECT *, rank() OVER (ORDER BY rho) + (count(*) OVER (PARTITION BY rho) - 1) / 2.0 AS a, rank() OVER (ORDER BY rho_e) + (count(*) OVER (PARTITION BY rho_e) - 1) / 2.0 AS b FROM two WHERE rho IS NOT NULL AND rho_e IS NOT NULL)
 SELECT {r6('covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS spearman', 'avg((label = label_e)::INT) AS agreement')}, count(*) AS n, count(*) FILTER (label_e <> label) AS n_changed FROM rk""")
 def energy_vs_pearson(spark, d):
-    e = _energy(spark, d)[1].where("n_half = -1").select("unit", "rho_e")
-    t = _triage(spark, d).join(e, "unit", "left").withColumn("label_e", C.energy_label(F.col("rho_e"), F.col("cos_sim")))
-    t = t.where("rho is not null and rho_e is not null")
+    t = _two_labels(spark, d).where("rho is not null and rho_e is not null")
     t = t.withColumn("a", S.rank_average(F.asc("rho"), "rho", [])).withColumn("b", S.rank_average(F.asc("rho_e"), "rho_e", []))
     same = (F.col("label") == F.col("label_e")).cast("int")
     return rounded(t.agg(S.pearson_or_null("a", "b").alias("spearman"), F.avg(same).alias("agreement"), F.count("*").alias("n"), F.sum(1 - same).alias("n_changed")))
 
 
+@query(f"""WITH {TWO},
+sr AS (SELECT unnest(['all', CASE WHEN unit % 2 = 0 THEN 'even' ELSE 'odd' END]) AS scope, rho, rho_e, label, label_e FROM two WHERE rho IS NOT NULL AND rho_e IS NOT NULL),
+rk AS (SELECT *, rank() OVER (PARTITION BY scope ORDER BY rho) + (count(*) OVER (PARTITION BY scope, rho) - 1) / 2.0 AS a, rank() OVER (PARTITION BY scope ORDER BY rho_e) + (count(*) OVER (PARTITION BY scope, rho_e) - 1) / 2.0 AS b FROM sr),
+ag AS (SELECT scope, covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0) AS spearman, avg((label = label_e)::INT) AS po, count(*) AS n FROM rk GROUP BY scope),
+l1 AS (SELECT scope, label AS k, count(*) AS n1 FROM sr GROUP BY ALL), l2 AS (SELECT scope, label_e AS k, count(*) AS n2 FROM sr GROUP BY ALL),
+ch AS (SELECT scope, sum(n1 * n2) AS cr FROM l1 JOIN l2 USING (scope, k) GROUP BY scope),
+pe AS (SELECT ag.*, coalesce(cr, 0) / (n * n) AS pe FROM ag LEFT JOIN ch USING (scope))
+SELECT scope, {r6('spearman', 'po AS agreement', '(po - pe) / nullif(1 - pe, 0) AS kappa')}, n FROM pe""")
+def energy_validation(spark, d):
+    """Spearman, agreement and kappa, pooled and for each scope (even and odd units)."""
+    scope = F.explode(F.array(F.lit("all"), F.when(F.col("unit") % 2 == 0, "even").otherwise("odd")))
+    return rounded(I.compare_scorings(_two_labels(spark, d).withColumn("scope", scope), "rho", "rho_e", "label", "label_e", C.CLASSES, ["scope"]))
+
+
 # --- benchmark tables ----------------------------------------------------------------------------
 
 
@@ -506,9 +527,12 @@ bl AS (SELECT iter, method, 'all' AS stratum, a AS excess FROM mn UNION ALL SELE
 br AS (SELECT *, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, stratum ORDER BY excess DESC NULLS LAST) END AS rank FROM bl)"""
 
 
+def _excess_units(spark: SparkSession, d: str) -> DataFrame:
+    return B.fold_excess(_scored(spark, d), BASELINE).groupBy("method", "dataset", "unit", "cls").agg(F.avg("excess").alias("excess"))
+
+
 def _boot(spark: SparkSession, d: str) -> DataFrame:
-    u = B.fold_excess(_scored(spark, d), BASELINE).groupBy("method", "dataset", "unit", "cls").agg(F.avg("excess").alias("excess"))
-    return BS.bootstrap_ranks(u, BOOT)
+    return BS.bootstrap_ranks(_excess_units(spark, d), BOOT)
 
 
 @query(f"WITH {BOOTS} SELECT iter, method, stratum, {r6('excess')}, rank FROM br")
@@ -516,6 +540,13 @@ def bootstrap_ranks(spark, d):
     return rounded(_boot(spark, d))
 
 
+@query(f"""WITH {BOOTS}, ok AS (SELECT dataset FROM un WHERE cls = 'Specific' GROUP BY dataset HAVING count(DISTINCT unit) >= 5),
+dl AS (SELECT iter, dataset, method, 'all' AS stratum, a AS excess FROM pr UNION ALL SELECT iter, dataset, method, 'specific', s FROM pr)
+SELECT iter, dataset, method, stratum, {r6('excess')}, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, dataset, stratum ORDER BY excess DESC NULLS LAST) END AS rank FROM dl JOIN ok USING (dataset)""")
+def bootstrap_ranks_by_dataset(spark, d):
+    return rounded(BS.bootstrap_ranks_by_dataset(_excess_units(spark, d), BOOT))
+
+
 _BQ = ", ".join(f"{r6(f'quantile_cont({c}::DOUBLE, {q}) AS {n}_{p}')}" for c, n in (("ra", "rank_all"), ("rs", "rank_specific"), ("ra - rs", "shift"), ("xa", "excess")) for q, p in ((0.025, "low"), (0.5, "median"), (0.975, "high"))).replace("quantile_cont(ra - rs::DOUBLE", "quantile_cont((ra - rs)::DOUBLE")
 
 
@@ -671,6 +702,14 @@ def prediction_metrics(spark, d):
     return rounded(T.prediction_metrics(p, t, ["unit"], R.top_by(R.welch_t(X.cells_planted(spark, d)), ["unit"], "t", TOPK)))
 
 
+@query(f"""WITH {PRED}, cm AS (SELECT g, avg(x) AS m FROM cells WHERE unit = 0 GROUP BY g), tk AS (SELECT g, m FROM cm ORDER BY m DESC, g LIMIT {TOPK}), j AS (SELECT unit, pred, delta, m + pred AS pe, m + delta AS oe FROM pr JOIN tk USING (g))
+SELECT unit::BIGINT AS unit, {r6('sqrt(sum((pred - delta) ** 2)) AS l2', 'CASE WHEN stddev_pop(pred) >= 1e-12 AND stddev_pop(delta) >= 1e-12 THEN covar_pop(pred, delta) / (stddev_pop(pred) * stddev_pop(delta)) END AS pcc_delta', 'CASE WHEN stddev_pop(pe) >= 1e-12 AND stddev_pop(oe) >= 1e-12 THEN covar_pop(pe, oe) / (stddev_pop(pe) * stddev_pop(oe)) END AS r_raw')}, count(*) AS n_genes FROM j GROUP BY unit""")
+def expression_metrics(spark, d):
+    p, t = _predictions(spark, d)
+    control = R.centroids(X.cells_planted(spark, d)).where("unit = 0").select("g", "m")
+    return rounded(T.expression_metrics(p, t, control, ["unit"], TOPK))
+
+
 @query()
 def ridge_predictor(spark, d):
     """Predictions for all units; the target gene of unit u is gene u."""
