@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrain import strategy_weight
+from .retrain import prediction_metrics, ridge_predictor, strategy_weight
 from .sampling import repeats, subset
 
 
@@ -31,6 +31,30 @@ def score_units(pred: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame
     return j.groupBy(*keys, "unit").agg(F.sqrt(F.sum((F.col("pred") - F.col("delta")) ** 2)).alias("l2"), S.pearson_or_null("pred", "delta").alias("pcc"))
 
 
+def model_scores(arms: DataFrame, vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(model, ``keys``, unit): L2 and correlation of the mean and the bilinear
+    predictor of each arm on every unit.
+
+    ``arms``: keys, unit, optional weight.  ``vectors``: unit, target, expr, delta
+    (arrays).  Arms whose weights sum to 0 have no rows; an arm too small for the
+    bilinear model, or a unit without a known target, has no bilinear row.  Arms
+    are as many as the question asks for, so their keys may be broadcast; each arm
+    is fitted in a task of its own.
+    """
+    truth = vectors.select("unit", F.posexplode("delta").alias("g", "delta"))
+    weighted = "weight" in arms.columns
+    if weighted:
+        some = arms.groupBy(*keys).agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("w")).where("w > 0").select(*keys)
+        arms = arms.join(some, keys, "left_semi")
+    even = arms if weighted else arms.withColumn("weight", F.lit(1.0))
+    mean = score_units(weighted_mean_predictor(even, truth, keys), truth, keys).withColumn("model", F.lit("mean"))
+    train = arms.join(vectors, "unit").select(*keys, "unit", "target", "expr", "delta", *["weight"][:weighted])
+    test = vectors.select("unit", "target").crossJoin(F.broadcast(arms.select(*keys).distinct()))
+    rows = prediction_metrics(ridge_predictor(train, test, keys), truth, [*keys, "unit"]).withColumn("model", F.lit("bilinear"))
+    columns = ["model", *keys, "unit", "l2", "pcc"]
+    return mean.select(*columns).unionByName(rows.select(*columns))
+
+
 def quantity_arms(pool: DataFrame, fractions: list[float], draws: int, least: int = 2, salt: str = "qty") -> DataFrame:
     """Random subsets of a pool: (frac, draw, unit), of max(least, round(frac n)) units."""
     n = pool.agg(F.count("*").alias("n_pool"))

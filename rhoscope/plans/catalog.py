@@ -535,16 +535,17 @@ def _boot(spark: SparkSession, d: str) -> DataFrame:
     return BS.bootstrap_ranks(_excess_units(spark, d), BOOT)
 
 
-@query(f"WITH {BOOTS} SELECT iter, method, stratum, {r6('excess')}, rank FROM br")
+# Nine digits: at six, some excesses lie on a rounding border and the order of a sum decides.
+@query(f"WITH {BOOTS} SELECT iter, method, stratum, round(excess, 9) + 0.0 AS excess, rank FROM br")
 def bootstrap_ranks(spark, d):
-    return rounded(_boot(spark, d))
+    return rounded(_boot(spark, d), 9)
 
 
 @query(f"""WITH {BOOTS}, ok AS (SELECT dataset FROM un WHERE cls = 'Specific' GROUP BY dataset HAVING count(DISTINCT unit) >= 5),
 dl AS (SELECT iter, dataset, method, 'all' AS stratum, a AS excess FROM pr UNION ALL SELECT iter, dataset, method, 'specific', s FROM pr)
-SELECT iter, dataset, method, stratum, {r6('excess')}, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, dataset, stratum ORDER BY excess DESC NULLS LAST) END AS rank FROM dl JOIN ok USING (dataset)""")
+SELECT iter, dataset, method, stratum, round(excess, 9) + 0.0 AS excess, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, dataset, stratum ORDER BY excess DESC NULLS LAST) END AS rank FROM dl JOIN ok USING (dataset)""")
 def bootstrap_ranks_by_dataset(spark, d):
-    return rounded(BS.bootstrap_ranks_by_dataset(_excess_units(spark, d), BOOT))
+    return rounded(BS.bootstrap_ranks_by_dataset(_excess_units(spark, d), BOOT), 9)
 
 
 _BQ = ", ".join(f"{r6(f'quantile_cont({c}::DOUBLE, {q}) AS {n}_{p}')}" for c, n in (("ra", "rank_all"), ("rs", "rank_specific"), ("ra - rs", "shift"), ("xa", "excess")) for q, p in ((0.025, "low"), (0.5, "median"), (0.975, "high"))).replace("quantile_cont(ra - rs::DOUBLE", "quantile_cont((ra - rs)::DOUBLE")
@@ -710,14 +711,19 @@ def expression_metrics(spark, d):
     return rounded(T.expression_metrics(p, t, control, ["unit"], TOPK))
 
 
-@query()
-def ridge_predictor(spark, d):
-    """Predictions for all units; the target gene of unit u is gene u."""
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Units with mean expression and delta as arrays; the target gene of unit u is gene u."""
     c = X.cells_planted(spark, d)
     arr = lambda v: F.transform(F.array_sort(F.collect_list(F.struct("g", v))), lambda s: s[v])
     expr = R.centroids(c).where("unit <> 0").groupBy("unit").agg(arr("m").alias("expr"))
     both = R.deltas(c).groupBy("unit").agg(arr("delta").alias("delta")).join(expr, "unit")
-    both = both.withColumn("target", F.col("unit").cast("int")).withColumn("arm", F.lit("all"))
+    return both.withColumn("target", F.col("unit").cast("int"))
+
+
+@query()
+def ridge_predictor(spark, d):
+    """Predictions for all units."""
+    both = _vectors(spark, d).withColumn("arm", F.lit("all"))
     return rounded(T.ridge_predictor(both, both, ["arm"]))
 
 

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..operators import benchmark as B
 from ..operators import experiments as P
-
 from ..operators import reliability as R
 from ..operators import retrain as T
 from ..operators import saturation as N
 from ..operators import triage as C
 from ..sources import fixtures as X
-from .catalog import AXIS, BASELINE, EXCESS, PAIRS, PILOTS, POINTS, SCORES, _effects, _points, _reliability, _scored, _triage, _units, query, r6, rounded
+from .catalog import AXIS, BASELINE, EXCESS, PAIRS, PILOTS, POINTS, SCORES, _effects, _points, _reliability, _scored, _triage, _units, _vectors, query, r6, rounded
 
 # --- experiments ---------------------------------------------------------------------------------
 
@@ -104,6 +103,34 @@ def retraining_grid(spark, d):
     return rounded(s.groupBy("train", "test").agg(F.count("*").alias("n"), F.avg("l2").alias("mean_l2"), F.avg("pcc").alias("mean_pcc"), S.sem("l2").alias("sem_l2")))
 
 
+@query()
+def model_arm_scores(spark, d):
+    """Every training arm under both models."""
+    arms = T.arms(_triage(spark, d).select("unit", "label"), SUBSETS, 2)
+    return rounded(P.model_scores(arms, _vectors(spark, d), ["arm", "subset"]))
+
+
+@query()
+def model_grid(spark, d):
+    """Model by training pool by test pool: mean and s.e.m. of the scores."""
+    t = _triage(spark, d)
+    members = P.pool_members(t, {p: C.pool(p, F.col("rho"), F.col("label")) for p in ("all", "reliable", "specific", "shared")})
+    arms = members.select(F.col("pool").alias("train"), "unit")
+    s = P.model_scores(arms, _vectors(spark, d), ["train"]).join(members.withColumnRenamed("pool", "test"), "unit")
+    return rounded(s.groupBy("model", "train", "test").agg(F.count("*").alias("n"), F.avg("l2").alias("mean_l2"), F.avg("pcc").alias("mean_pcc"), S.sem("l2").alias("sem_l2")))
+
+
+@query()
+def model_strategies(spark, d):
+    """Filter-or-weight strategies under both models: filters leave units out,
+    weights keep them in the bilinear model's coordinates."""
+    units = _triage(spark, d).select("unit", "rho", (F.col("cos_sim") * F.col("cos_sim")).alias("phi"), "label")
+    reliable = F.col("strategy").isin("reliable", "reliable_then_specificity")
+    keep = F.when(F.col("strategy") == "specific", F.col("label") == "Specific").when(reliable, F.col("rho") >= 0.5).otherwise(True)
+    arms = P.strategy_arms(units, STRATEGIES).join(units.select("unit", "rho", "label"), "unit").where(keep).select("strategy", "unit", "weight")
+    return rounded(P.model_scores(arms, _vectors(spark, d), ["strategy"]))
+
+
 RHOS, COSINES = [0.3, 0.4, 0.5, 0.6, 0.7], [0.4, 0.5, 0.7071, 0.8, 0.9]
 
 

@@ -15,9 +15,10 @@ DATA = Path("/root/testdata/sf0.001")
 CHECKED = [
     "pseudobulk_centroids", "split_half_reliability", "triage_labels", "triage_summary", "score_fallback_join", "rank_all_vs_specific", "bootstrap_ranks",
     "stratified_split", "welch_topk", "cohen_kappa", "json_upsert", "label_keys", "report_rank_comparison", "threshold_grid",
+    "bootstrap_ranks_by_dataset", "energy_validation", "expression_metrics",
 ]
 #: Grouped Python: dense algebra, exact p values, a numeric solver.
-PYTHON = {"ridge_predictor", "wilcoxon", "saturation_fit_numeric"}
+PYTHON = {"ridge_predictor", "model_arm_scores", "model_grid", "model_strategies", "wilcoxon", "saturation_fit_numeric"}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 

@@ -12,8 +12,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rhoscope.operators import benchmark as B
+from rhoscope.operators import bootstrap as BS
 from rhoscope.operators import energy as E
 from rhoscope.operators import enrichment as G
+from rhoscope.operators import experiments as P
 from rhoscope.operators import inference as I
 from rhoscope.operators import reliability as R
 from rhoscope.operators import retrain as T
@@ -175,6 +177,53 @@ def test_bilinear_model_matches_closed_form():
     assert np.allclose(T.fit_bilinear(expr, delta, target, np.ones(14))(3), model(3))
 
 
+def test_models_of_every_arm(spark):
+    """Scores of both models against direct fits; a null target, a small arm and an arm of zero weights."""
+    rng = np.random.default_rng(2)
+    expr, delta = rng.normal(size=(6, 8)), rng.normal(size=(6, 8))
+    target = [0, 1, 2, 3, 4, None]
+    vectors = spark.createDataFrame([(u, target[u], expr[u].tolist(), delta[u].tolist()) for u in range(6)], "unit int, target int, expr array<double>, delta array<double>")
+    sets = {"five": [0, 1, 2, 3, 4], "three": [1, 2, 4], "one": [3]}
+    arms = spark.createDataFrame([(a, u) for a, us in sets.items() for u in us], "arm string, unit int")
+    got = {(r.model, r.arm, r.unit): (r.l2, r.pcc) for r in P.model_scores(arms, vectors, ["arm"]).collect()}
+    assert {k for k in got if k[0] == "bilinear"} == {("bilinear", a, u) for a in ("five", "three") for u in range(5)}
+    for (model, arm, unit), (l2, pcc) in got.items():
+        us = sets[arm]
+        pred = delta[us].mean(axis=0) if model == "mean" else T.fit_bilinear(expr[us], delta[us], us)(unit)
+        assert math.isclose(l2, np.linalg.norm(pred - delta[unit]), rel_tol=1e-6) and math.isclose(pcc, np.corrcoef(pred, delta[unit])[0, 1], rel_tol=1e-6)
+    weights = {"w": [3.0, 1.0, 0.0, 0.5, 2.0], "none": [0.0] * 5}
+    arms = spark.createDataFrame([(a, u, w) for a, ws in weights.items() for u, w in enumerate(ws)], "arm string, unit int, weight double")
+    got = {(r.model, r.arm, r.unit): r.l2 for r in P.model_scores(arms, vectors, ["arm"]).collect()}
+    assert {a for _, a, _ in got} == {"w"}
+    model = T.fit_bilinear(expr[:5], delta[:5], list(range(5)), np.array(weights["w"]))
+    assert all(math.isclose(got["bilinear", "w", u], np.linalg.norm(model(u) - delta[u]), rel_tol=1e-6) for u in range(5))
+
+
+def test_ranks_of_each_dataset(spark):
+    rows = [(m, d, f"{d}{u}", "Specific" if u < n else "Shared", v + 0.01 * u) for d, n in (("a", 5), ("b", 4)) for u in range(7) for m, v in (("m", 1.0), ("n", 2.0), ("o", 0.0))]
+    got = BS.bootstrap_ranks_by_dataset(spark.createDataFrame(rows, "method string, dataset string, unit string, cls string, excess double"), 20).collect()
+    assert len(got) == 20 * 2 * 3 and {r.dataset for r in got} == {"a"}
+    assert all(r["rank"] == {"n": 1, "m": 2, "o": 3}[r.method] for r in got)
+
+
+def test_compared_scorings(spark):
+    rows = [("g", 0.1, 0.2, "x", "x"), ("g", 0.2, 0.1, "x", "y"), ("g", 0.9, 0.8, "y", "y"), ("g", None, 0.5, "x", "x"), ("h", 0.5, 0.5, "x", "x")]
+    df = spark.createDataFrame(rows, "k string, u double, v double, a string, b string")
+    got = {r.k: r for r in I.compare_scorings(df, "u", "v", "a", "b", ["x", "y"], ["k"]).collect()}
+    assert math.isclose(got["g"].spearman, 0.5) and math.isclose(got["g"].agreement, 2 / 3) and math.isclose(got["g"].kappa, 0.4) and got["g"].n == 3
+    assert (got["h"].agreement, got["h"].kappa, got["h"].spearman) == (1.0, None, None)
+
+
+def test_metrics_on_expressed_genes(spark):
+    pred, true, m = [0.1, 0.4, 9.0, -0.3], [0.2, 0.1, -9.0, 0.0], [5.0, 4.0, 0.0, 3.0]
+    long = lambda v, c: spark.createDataFrame([("u", g, x) for g, x in enumerate(v)], f"unit string, g int, {c} double")
+    r = T.expression_metrics(long(pred, "pred"), long(true, "delta"), long(m, "m").drop("unit"), ["unit"], 3).first()
+    at = [0, 1, 3]
+    p, t, c = (np.array(v)[at] for v in (pred, true, m))
+    assert r.n_genes == 3 and math.isclose(r.l2, np.linalg.norm(p - t))
+    assert math.isclose(r.pcc_delta, np.corrcoef(p, t)[0, 1]) and math.isclose(r.r_raw, np.corrcoef(c + p, c + t)[0, 1])
+
+
 def test_additive_needs_all_components(spark):
     singles = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0)], "name string, g int, delta double")
     combos = spark.createDataFrame([("a+b",), ("a+c",), ("b + a",)], "combo string")
