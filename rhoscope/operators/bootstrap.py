@@ -27,9 +27,10 @@ def _drawn_excess(units: DataFrame, iterations: int, salt: str) -> DataFrame:
 
 
 def _ranked(excess: DataFrame, by: list[str]) -> DataFrame:
-    """One row for each stratum, with the min-tie rank inside (``by``, stratum)."""
+    """One row for each stratum, with the min-tie rank inside (``by``, stratum).
+    Excesses equal to twelve digits tie: the order of a sum must not decide a rank."""
     long = excess.select(*by, "method", F.explode(F.create_map(F.lit("all"), "all", F.lit("specific"), "specific")).alias("stratum", "excess"))
-    return long.withColumn("rank", S.rank_min(F.desc_nulls_last("excess"), "excess", [*by, "stratum"]))
+    return long.withColumn("rank", S.rank_min(F.round("excess", 12).desc_nulls_last(), "excess", [*by, "stratum"]))
 
 
 def bootstrap_ranks(units: DataFrame, iterations: int, salt: str = "boot") -> DataFrame:

@@ -524,7 +524,7 @@ wt AS (SELECT iter, pl.dataset, pl.cls, unit, count(*) AS w FROM dr JOIN pl ON d
 pr AS (SELECT iter, method, dataset, sum(w * excess) / sum(w) AS a, sum(w * excess) FILTER (cls = 'Specific') / sum(w) FILTER (cls = 'Specific') AS s FROM wt JOIN un USING (dataset, cls, unit) GROUP BY ALL),
 mn AS (SELECT iter, method, avg(a) AS a, avg(s) AS s FROM pr GROUP BY ALL),
 bl AS (SELECT iter, method, 'all' AS stratum, a AS excess FROM mn UNION ALL SELECT iter, method, 'specific', s FROM mn),
-br AS (SELECT *, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, stratum ORDER BY excess DESC NULLS LAST) END AS rank FROM bl)"""
+br AS (SELECT *, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, stratum ORDER BY round(excess, 12) DESC NULLS LAST) END AS rank FROM bl)"""
 
 
 def _excess_units(spark: SparkSession, d: str) -> DataFrame:
@@ -543,7 +543,7 @@ def bootstrap_ranks(spark, d):
 
 @query(f"""WITH {BOOTS}, ok AS (SELECT dataset FROM un WHERE cls = 'Specific' GROUP BY dataset HAVING count(DISTINCT unit) >= 5),
 dl AS (SELECT iter, dataset, method, 'all' AS stratum, a AS excess FROM pr UNION ALL SELECT iter, dataset, method, 'specific', s FROM pr)
-SELECT iter, dataset, method, stratum, round(excess, 9) + 0.0 AS excess, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, dataset, stratum ORDER BY excess DESC NULLS LAST) END AS rank FROM dl JOIN ok USING (dataset)""")
+SELECT iter, dataset, method, stratum, round(excess, 9) + 0.0 AS excess, CASE WHEN excess IS NOT NULL THEN rank() OVER (PARTITION BY iter, dataset, stratum ORDER BY round(excess, 12) DESC NULLS LAST) END AS rank FROM dl JOIN ok USING (dataset)""")
 def bootstrap_ranks_by_dataset(spark, d):
     return rounded(BS.bootstrap_ranks_by_dataset(_excess_units(spark, d), BOOT), 9)
 
