@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from .chunks import cuts
 from .common import BITMAP_ROW_BITS, append_columns, bitmap_of, cut, flag_by_bitmap, small_batches
 
-#: Words remembered per worker; longer words are not kept.
-MEMO_WORDS, MEMO_BYTES = 250_000, 64
+#: Words and pieces of words remembered per worker in each of two generations
+#: (some 100 MB when all are full); longer ones are not kept.
+MEMO_WORDS, MEMO_PIECES, MEMO_BYTES = 200_000, 100_000, 64
 BITMAP_ROWS = 1024
 #: Shared chunks that a task remembers to have sent.
 SEEN = 200_000
@@ -77,6 +78,29 @@ def check_file(path: str) -> None:
         raise ValueError(f"{path}: a tokenizer of another kind")
 
 
+class Memo:
+    """Token ids by word in two generations: a full one becomes the older one, and
+    what is asked for again moves to the newer, so that frequent words stay."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.newer: dict = {}
+        self.older: dict = {}
+
+    def keep(self, word: bytes | str, ids: bytes) -> bytes:
+        if len(word) <= MEMO_BYTES:
+            if len(self.newer) >= self.most:
+                self.newer, self.older = {}, self.newer
+            self.newer[word] = ids
+        return ids
+
+    def get(self, word: bytes | str) -> bytes | None:
+        ids = self.newer.get(word)
+        if ids is None and (ids := self.older.get(word)) is not None:
+            self.keep(word, ids)
+        return ids
+
+
 class Encoder:
     """Encodes texts word by word with a bounded memory of words.
 
@@ -93,35 +117,34 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memo(MEMO_WORDS), Memo(MEMO_PIECES)
 
     def _piece(self, text: str) -> bytes:
+        if (known := self.pieces.get(text)) is not None:
+            return known
         shown = text if text.isascii() else "".join([self.letters[b] for b in text.encode()])
         ids = [t.id for t in self.model.tokenize(shown)]
-        out = self.pieces[text] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
+        return self.pieces.keep(text, struct.pack(f"<{len(ids)}I", *ids))
 
     def _word(self, word: bytes) -> bytes:
-        if b"<|" in word or not _PLAIN.fullmatch(word):
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        pieces = self.pieces
-        return b"".join([pieces[p] if p in pieces else self._piece(p) for p in _PIECES.findall(word.decode().lower())])
+        if (known := self.words.get(word)) is not None:
+            return known
+        if word.isalpha():  # of bytes: ASCII letters only, a single piece
+            ids = self._piece(word.decode().lower())
+        elif b"<|" in word or not _PLAIN.fullmatch(word):
+            told = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(told)}I", *told)
+        else:
+            ids = b"".join([self._piece(p) for p in _PIECES.findall(word.decode().lower())])
+        return self.words.keep(word, ids)
 
     def encode(self, raw: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers."""
-        memo, out = self.memo, []
-        if len(memo) + len(self.pieces) > MEMO_WORDS:
-            memo.clear()
-            self.pieces.clear()
-        for w in raw.split():  # bytes: ASCII white space only, at which a text may always be cut
-            ids = memo.get(w)
+        words = raw.split()  # bytes: ASCII white space only, at which a text may always be cut
+        out = list(map(self.words.newer.get, words))
+        for n, ids in enumerate(out):
             if ids is None:
-                ids = self._word(w)
-                if len(w) <= MEMO_BYTES:
-                    memo[w] = ids
-            out.append(ids)
+                out[n] = self._word(words[n])
         return b"".join(out)
 
 
