@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,8 @@ from .chunks import cuts
 from .common import BITMAP_ROW_BITS, append_columns, bitmap_of, cut, flag_by_bitmap, small_batches
 
 #: Words and pieces of words remembered per worker in each of two generations
-#: (some 100 MB when all are full); longer ones are not kept.
-MEMO_WORDS, MEMO_PIECES, MEMO_BYTES = 200_000, 100_000, 64
+#: (some 50 MB when all are full); longer ones are not kept.
+MEMO_WORDS, MEMO_PIECES, MEMO_BYTES = 120_000, 60_000, 64
 BITMAP_ROWS = 1024
 #: Shared chunks that a task remembers to have sent.
 SEEN = 200_000
@@ -222,8 +222,20 @@ def _chunks(raw: bytes) -> Iterator[bytes]:
         at = end
 
 
-def _raw(text: str | None) -> bytes:
-    return text.encode() if text else b""
+#: Rows that pass between the tasks: places of chunks, shared chunks, encoded ones.
+HASHED = pa.schema({"k1": pa.int64(), "k2": pa.int64(), "seq": pa.int32(), "h1": pa.int64(), "h2": pa.int64()})
+CHUNKS = pa.schema({"h1": pa.int64(), "h2": pa.int64(), "chunk": pa.binary()})
+PIECES = pa.schema({"h1": pa.int64(), "h2": pa.int64(), "head": pa.binary(), "body": pa.binary(), "tail": pa.binary()})
+
+
+def _raws(batch: pa.RecordBatch) -> list[bytes]:
+    """Texts of the only column as UTF-8, null as empty."""
+    return [t or b"" for t in batch.column(0).cast(pa.binary()).to_pylist()]
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, tuple[str, Callable[[bytes], object]]] | None = None) -> DataFrame:
@@ -240,44 +252,43 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def finished(ids: list[bytes | None]) -> list[list]:
         return [[None if i is None else f(i) for i in ids] for _, f in derive.values()]
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for text in pdf["text"]:
-                raw = _raw(text)
+            for raw in _raws(batch):
                 k = _key(raw)
                 rows += [(*k, n, *_key(c)) for n, c in enumerate(_chunks(raw))]
-            yield pd.DataFrame(rows, columns=["k1", "k2", "seq", "h1", "h2"])
+            yield _batch(rows, HASHED)
 
     where = "k1 long, k2 long, seq int, h1 long, h2 long"
-    places = cut(docs.select("text").mapInPandas(hashed, where))
+    places = cut(docs.select("text").mapInArrow(hashed, where))
     again = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     bitmap = bitmap_of(again, F.col("h1"), BITMAP_ROWS)
     bits = {r["bm_row"]: bytes(r["bm_bits"]) for r in bitmap.collect()}  # 4 MB at most
     shared = spark.sparkContext.broadcast(bits)
 
-    def chunk_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = Shared(shared.value), set()
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text in pdf["text"]:
-                for c in _chunks(_raw(text)):
+            for raw in _raws(batch):
+                for c in _chunks(raw):
                     k = _key(c)
                     if k[0] in known and k not in seen:
                         if len(seen) > SEEN:  # forgetting costs a row sent twice
                             seen.clear()
                         seen.add(k)
                         rows.append((*k, c))
-            yield pd.DataFrame(rows, columns=["h1", "h2", "chunk"])
+            yield _batch(rows, CHUNKS)
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for pdf in batches:
-            rows = [(a, b, *piece(bytes(c), enc)) for a, b, c in pdf.itertuples(index=False)]
-            yield pd.DataFrame(rows, columns=["h1", "h2", "head", "body", "tail"])
+        for batch in batches:
+            rows = [(a, b, *piece(c, enc)) for a, b, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield _batch(rows, PIECES)
 
-    once = docs.select("text").mapInPandas(chunk_texts, "h1 long, h2 long, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
-    pieces = once.mapInPandas(encoded, "h1 long, h2 long, head binary, body binary, tail binary")
+    once = docs.select("text").mapInArrow(chunk_texts, "h1 long, h2 long, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
+    pieces = once.mapInArrow(encoded, "h1 long, h2 long, head binary, body binary, tail binary")
 
     def whole():
         """Texts without shared chunks, encoded where they are read."""
