@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, jaccard, langid, licenses, quality, shards, suffixes
+from . import bpe, chat, decontam, exact_dedup, jaccard, langid, licenses, quality, repair, shards, suffixes
 from .common import append_columns, read
 
 
@@ -186,8 +186,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
@@ -199,6 +198,95 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
+# --- 11 conversation structure repair ------------------------------------------------------------
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with the faults that the query plants by crc32 of ``conv_id:turn``."""
+    blank = F.lit(" ")
+    fill = lambda c: F.coalesce(F.col(c).cast("string"), blank)
+    k = F.crc32(F.concat(fill("conv_id"), F.lit(":"), fill("turn"))) % 20
+    text = F.when(k == 1, "").when(k == 2, F.regexp_replace(fill("text"), "[.!?]", "")).otherwise(fill("text"))
+    copies = F.when(k == 0, 0).when(k == 3, 2).otherwise(1)
+    out = turns.select("conv_id", "turn", F.when(k == 4, "user").otherwise(fill("role")).alias("role"), text.alias("text"), F.array_repeat(F.lit(1), copies).alias("copies"))
+    return out.withColumn("copies", F.explode("copies")).drop("copies")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = damaged(turns)
+    audits = repair.audit_conversations(rows, ids=turns)
+
+    def digest(said):
+        sha = hashlib.sha256()
+        for k, (role, text) in enumerate(said):
+            sha.update(f"{chr(10) if k else ''}{role}:{text}".encode())
+        yield [sha.hexdigest()]
+
+    out = repair.repaired(rows, audits, digest, "repaired_sha256 string")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+#: CRC-32 of a string ``{0}``, byte by byte with a table.
+_CRC_TABLE = """crc_steps AS (
+  SELECT i, 0 AS k, i AS v FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS crc_tab FROM crc_steps WHERE k = 8)"""
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: xor(h >> 8, crc_tab[(xor(h, c) & 255) + 1])))"
+
+
+def _least(*options: str) -> str:
+    """The cheapest of structs (cost, audit, text); those that can't be are null."""
+    return f"list_min(list_filter([{', '.join(options)}], lambda e: e IS NOT NULL))"
+
+
+def _edit(state: str, cost: str, letter: str, said: str, when: str) -> str:
+    out = f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {said}}}"
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {out} END"
+
+
+_KEPT, _NEW = "role || ':' || text || chr(10)", "'{}:' || text || chr(10)"
+_INS = {"u": "'user:' || chr(10)", "a": "'assistant:' || chr(10)"}
+_E0 = "NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR)"
+_FREE, _MORE = "NOT (f IN ('blank', 'duplicate'))", "CASE WHEN f = 'truncated' THEN 3 ELSE 0 END"
+_TO_U = [_edit(s, _MORE, "K", _KEPT, f"{_FREE} AND ini = 'u'") for s in ("s0", "s1", "s3")] + [_edit(s, f"3 + {_MORE}", "R", _NEW.format("user"), _FREE) for s in ("s0", "s1", "s3")]
+_TO_A = [_edit("s2", _MORE, "K", _KEPT, f"{_FREE} AND ini = 'a'"), _edit("s2", f"3 + {_MORE}", "R", _NEW.format("assistant"), _FREE)]
+_GONE = lambda s: _edit(s, "4", "D", "''", "true")
+_CLOSED = f"""SELECT conv_id, i, n0 AS s0, n1 AS s1, {_least('n2', _edit('n0', '3', 'I', _INS['u'], 'true'), _edit('n1', '3', 'I', _INS['u'], 'true'), _edit('n3', '3', 'I', _INS['u'], 'true'))} AS s2,
+    {_least('n3', _edit('n2', '3', 'I', _INS['a'], 'true'), _edit('n0', '6', 'II', f"{_INS['u']} || {_INS['a']}", 'true'), _edit('n1', '6', 'II', f"{_INS['u']} || {_INS['a']}", 'true'))} AS s3"""
+OP11_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS k
+  FROM conversations, crc_table),
+d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE k <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i, left(role, 1) AS ini,
+    right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS e FROM d),
+q AS (
+  SELECT *, CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN e NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f,
+    CASE WHEN i > 1 THEN lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') ELSE false END AS bad FROM o),
+t AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
+    count(*) FILTER (f = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal, count(*) AS rows FROM q GROUP BY conv_id),
+z AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS n0, {_E0} AS n1, {_E0} AS n2, {_E0} AS n3 FROM q),
+w AS (
+  {_CLOSED} FROM z
+  UNION ALL
+  {_CLOSED} FROM (
+    SELECT w.conv_id, q.i, {_least(_GONE('s0'))} AS n0, {_least(_GONE('s1'), _edit('s0', _MORE, 'K', _KEPT, f"{_FREE} AND ini = 's'"))} AS n1,
+      {_least(_GONE('s2'), *_TO_U)} AS n2, {_least(_GONE('s3'), *_TO_A)} AS n3
+    FROM w JOIN q ON q.conv_id IS NOT DISTINCT FROM w.conv_id AND q.i = w.i + 1)),
+b AS (SELECT w.conv_id, {_least('s0', 's3')} AS e FROM w JOIN t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND t.rows = w.i)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(left(e.r, length(e.r) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
@@ -210,5 +298,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_sharding": op9_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_conversation_repair": op11_conversation_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_ngram_jaccard": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_conversation_repair": OP11_SQL}
