@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, jaccard, langid, licenses, quality, repair, shards, suffixes
+from . import bpe, chat, decontam, divergence, exact_dedup, jaccard, langid, licenses, mixing, quality, repair, shards, suffixes
 from .common import append_columns, read
 
 
@@ -287,6 +287,64 @@ SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
 """
 
+# --- 12 mixing sources ---------------------------------------------------------------------------
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    small = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    out = mixing.mix(small)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+# Sources in order of limit over weight: those before the first whose limit is not above its share are fixed.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM d GROUP BY source),
+o AS (
+  SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l, sum(w) OVER (p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS r,
+    row_number() OVER p AS k FROM s WINDOW p AS (ORDER BY source_size::DOUBLE / w, source NULLS LAST)),
+f AS (SELECT l, r, k FROM o WHERE l * w <= 3 * source_size * r ORDER BY k LIMIT 1),
+t AS (SELECT o.source, o.source_size, CASE WHEN o.k < f.k THEN (3 * o.source_size)::DOUBLE ELSE (f.l * o.w)::BIGINT::DOUBLE / f.r::DOUBLE END AS target FROM o, f),
+n AS (
+  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) - 1 AS k,
+    ('0x' || left(md5('12:' || coalesce('=' || d.source, '')), 8))::BIGINT / 4294967296.0::DOUBLE AS u, coalesce(target / nullif(source_size, 0), 0) AS rate
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target,
+  size * (floor(rate) + least(floor((k + 1)::DOUBLE * (rate - floor(rate)) + u) - floor(k::DOUBLE * (rate - floor(rate)) + u), 1))::BIGINT AS taken FROM n
+"""
+
+# --- 13 source divergence ------------------------------------------------------------------------
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"))
+
+
+_P13 = "1 + (1000000000::HUGEINT * ({0} + 1)) // nullif({1} + v, 0)"
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+g AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(lang_total, 0) AS lang_total, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, {_P13.format('coalesce(n, 0)', 'total')} AS p, {_P13.format('lang_n', 'lang_total')} AS q
+  FROM g JOIN kept ON kept.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 200
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_bpe": op2_bpe,
@@ -299,5 +357,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_source_mix": op12_source_mix,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_conversation_repair": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op10_ngram_jaccard": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL, "op12_source_mix": OP12_SQL, "op13_source_divergence": OP13_SQL,
+}
