@@ -8,9 +8,13 @@ expected copies are summed up along that order, one random offset is added, and
 a document is emitted once for each integer that its part of the sum crosses.
 
 As the order is by size, the words taken differ from the target by no more than
-the source's longest document.  The offset is a hash of the seed and the source,
-and the place in the order that of (size, id, tie), so reruns agree and nothing
-depends on partitions.  Places come from global row numbers
+the source's longest document, whatever the offset.  Where a source has few
+documents that is still much, so ``draws`` offsets are drawn and the one kept
+whose words come nearest to the target (with ``draws=1`` it is the plain scheme,
+every document having exactly its expected copies on average; more draws favour
+documents that fit).  Offsets are hashes of the seed, the draw and the source,
+and the place in the order is that of (size, id, tie), so reruns agree and
+nothing depends on partitions.  Places come from global row numbers
 (:func:`shards.row_numbers`): a source that holds a third of all rows is dealt
 over as many ranges as any other rows.
 
@@ -60,13 +64,13 @@ def targets(sources: DataFrame, weight: Column, most: int = 3) -> DataFrame:
     return table.withColumn("target", F.when(above, limit.cast("double")).otherwise(share)).drop("weight")
 
 
-def offset(source: Column, seed: int) -> Column:
+def offset(source: Column, seed: int, draw: int) -> Column:
     """In [0, 1), from the first 32 bits of an MD5; null and text never meet."""
-    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")))
+    name = F.concat(F.lit(f"{seed}:{draw}:"), F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("")))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
-def mix(df: DataFrame, source: str = "source", size: str = "size", id_col: str = "doc_id", tie: Column | None = None, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: int = 12) -> DataFrame:
+def mix(df: DataFrame, source: str = "source", size: str = "size", id_col: str = "doc_id", tie: Column | None = None, weights: Sequence[int] = WEIGHTS, most: int = 3, seed: int = 12, draws: int = 16) -> DataFrame:
     """``df`` with ``source_size`` long, ``target`` double and ``copies`` int.
 
     Sources in code point order, null last, have ``weights`` in turn.  Every
@@ -84,13 +88,21 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", id_col: str =
     ranked, _ = row_numbers(cut(sizes), first, "source_size", rank)
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col(rank) % len(weights) + 1).cast("int"))
     table = targets(ranked.select(F.col(source).alias("of"), "source_size", F.col(first), F.col(rank)), weight, most).drop(rank)
-    joined = numbered.join(table, F.col(source).eqNullSafe(F.col("of")))
+    table = cut(table.withColumn("offsets", F.array(*[offset(F.col("of"), seed, k) for k in range(draws)])))
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
-    whole = F.floor(rate)
-    place = (F.col(number) - F.col(first)).cast("double")
-    crossed = lambda k: F.floor(k * (rate - whole) + offset(F.col(source), seed))
-    copies = whole + F.least(crossed(place + 1) - crossed(place), F.lit(1))
-    return joined.withColumn("copies", copies.cast("int")).drop(number, first, "of")
+    whole, place = F.floor(rate), (F.col(number) - F.col(first)).cast("double")
+
+    def copies(at: Column) -> Column:
+        crossed = lambda k: F.floor(k * (rate - whole) + at)
+        return whole + F.least(crossed(place + 1) - crossed(place), F.lit(1))
+
+    joined = numbered.join(table, F.col(source).eqNullSafe(F.col("of")))
+    taken = joined.groupBy("of").agg(F.first("target").alias("target"), F.first("offsets").alias("offsets"), F.array(*[F.sum(F.col(size) * copies(F.col("offsets")[k])) for k in range(draws)]).alias("taken"))
+    off = F.transform("taken", lambda t, k: F.struct(F.abs(t - F.col("target")).alias("by"), k.alias("k")))
+    kept = taken.select("of", F.col("offsets")[F.array_min(off)["k"]].alias("at"))
+    chosen = table.drop("offsets").join(kept.withColumnRenamed("of", "of_"), F.col("of").eqNullSafe(F.col("of_"))).drop("of_")
+    out = numbered.join(chosen, F.col(source).eqNullSafe(F.col("of")))
+    return out.withColumn("copies", copies(F.col("at")).cast("int")).drop(number, first, "of", "at")
 
 
 def emitted(mixed: DataFrame) -> DataFrame:

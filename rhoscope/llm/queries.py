@@ -307,11 +307,13 @@ o AS (
 f AS (SELECT l, r, k FROM o WHERE l * w <= 3 * source_size * r ORDER BY k LIMIT 1),
 t AS (SELECT o.source, o.source_size, CASE WHEN o.k < f.k THEN (3 * o.source_size)::DOUBLE ELSE (f.l * o.w)::BIGINT::DOUBLE / f.r::DOUBLE END AS target FROM o, f),
 n AS (
-  SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) - 1 AS k,
-    ('0x' || left(md5('12:' || coalesce('=' || d.source, '')), 8))::BIGINT / 4294967296.0::DOUBLE AS u, coalesce(target / nullif(source_size, 0), 0) AS rate
-  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
-SELECT doc_id, size, source_size, target,
-  size * (floor(rate) + least(floor((k + 1)::DOUBLE * (rate - floor(rate)) + u) - floor(k::DOUBLE * (rate - floor(rate)) + u), 1))::BIGINT AS taken FROM n
+  SELECT doc_id, size, d.source, source_size, target, (row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) - 1)::DOUBLE AS k, coalesce(target / nullif(source_size, 0), 0) AS rate
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+x AS (
+  SELECT *, floor(rate) + least(floor((k + 1) * (rate - floor(rate)) + u) - floor(k * (rate - floor(rate)) + u), 1) AS copies
+  FROM (SELECT *, ('0x' || left(md5('12:' || j || ':' || coalesce('=' || source, '')), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM n, range(16) t(j))),
+y AS (SELECT source, j, row_number() OVER (PARTITION BY source ORDER BY abs(sum(size * copies) - any_value(target)), j) AS best FROM x GROUP BY source, j)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken FROM x JOIN y ON y.j = x.j AND y.source IS NOT DISTINCT FROM x.source WHERE best = 1
 """
 
 # --- 13 source divergence ------------------------------------------------------------------------
