@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, divergence, exact_dedup, jaccard, langid, licenses, mixing, quality, repair, shards, suffixes
-from .common import append_columns, read
+from .common import append_columns, cut, read
 
 
 def tokenizer_path() -> str:
@@ -293,7 +293,7 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN t ON t.conv_id IS
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     small = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    out = mixing.mix(small)
+    out = mixing.mix(cut(small))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

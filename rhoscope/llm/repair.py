@@ -202,7 +202,7 @@ def audit_conversations(turns: DataFrame, ids: DataFrame | None = None, conv: st
     end = last_visible(F.col("text"))
     order = F.struct("turn", "role", digest(F.col("text")).alias("digest"))
     small = rows.select("conv", order.alias("tie"), (end == "").alias("blank"), (~end.isin("", ".", "!", "?")).alias("cut_off"))
-    numbered, _ = row_numbers(small, "conv", "tie", "number")
+    numbered, _ = row_numbers(cut(small), "conv", "tie", "number")  # cut: the ranges are sampled, and texts are read once
 
     # A turn is new if it is the first of its conversation with its role and text.
     new = numbered.groupBy("conv", "tie.role", "tie.digest").agg(F.min("number").alias("number"))
