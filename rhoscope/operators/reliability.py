@@ -131,18 +131,18 @@ def cohort(units: DataFrame, control: int = 0, cells: int = 100, controls: int =
 
 def residuals(d: DataFrame, axis: DataFrame) -> DataFrame:
     """Deltas without their projection on the axis: ``unit``, ``g``, ``residual``."""
-    j = d.join(F.broadcast(axis), "g")
+    j = d.join(axis, "g")
     w = Window.partitionBy("unit")
     k = F.try_divide(F.sum(F.col("delta") * F.col("avg_delta")).over(w), F.nullif(F.sum(F.col("avg_delta") * F.col("avg_delta")).over(w), F.lit(0.0)))
     return j.select("unit", "g", "delta", "avg_delta", (F.col("delta") - F.coalesce(k, F.lit(0.0)) * F.col("avg_delta")).alias("residual"))
 
 
-def welch_t(cells: DataFrame, control: int = 0) -> DataFrame:
-    """Welch t of every gene of a unit against the control: ``unit``, ``g``, ``t``."""
-    m = cells.groupBy("unit", "g").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"))
-    c = m.where(F.col("unit") == control).select("g", F.col("m").alias("m0"), F.col("v").alias("v0"), F.col("n").alias("n0"))
+def welch_t(cells: DataFrame, control: int = 0, by: list[str] = []) -> DataFrame:
+    """Welch t of every gene of a unit against the control of its ``by``: ``by``, ``unit``, ``g``, ``t``."""
+    m = cells.groupBy(*by, "unit", "g").agg(F.avg("x").alias("m"), F.var_samp("x").alias("v"), F.count("*").alias("n"))
+    c = m.where(F.col("unit") == control).select(*by, "g", F.col("m").alias("m0"), F.col("v").alias("v0"), F.col("n").alias("n0"))
     t = F.try_divide(F.col("m") - F.col("m0"), F.nullif(F.sqrt(F.col("v") / F.col("n") + F.col("v0") / F.col("n0")), F.lit(0.0)))
-    return m.where(F.col("unit") != control).join(F.broadcast(c), "g").select("unit", "g", F.coalesce(t, F.lit(0.0)).alias("t"))
+    return m.where(F.col("unit") != control).join(c, [*by, "g"]).select(*by, "unit", "g", F.coalesce(t, F.lit(0.0)).alias("t"))
 
 
 def top_by(df: DataFrame, by: list[str], value: str, k: int) -> DataFrame:

@@ -273,13 +273,17 @@ def _context(df: DataFrame) -> DataFrame:
     return df.select("*", (F.col("cell") % 2).alias("context"))
 
 
-@query(_by_context(AXIS, "vec_id % 2", range(2), f"SELECT unit::BIGINT AS unit, n_cells, {r6('rho', 'cos_sim')}, label FROM tri"))
-def context_triage(spark, d):
-    """Reliability, axis and label of every unit within its context."""
+def _context_triage(spark: SparkSession, d: str) -> DataFrame:
     c, u, by = (_context(X.cells_planted(spark, d)), _context(X.cell_units(spark, d)), ["context"])
     rho = R.reliability_long(R.split_half_r(c, u, REPS, by=by), by).select(*by, "unit", F.col("sb_from_median").alias("rho"))
     t = rho.join(R.axis_metrics(c, rho.where("rho >= 0.5"), by=by), [*by, "unit"], "left")
-    return rounded(t.select(*by, "unit", "n_cells", "rho", "cos_sim", C.label(F.col("rho"), F.col("cos_sim")).alias("label")))
+    return t.select(*by, "unit", "n_cells", "rho", "cos_sim", C.label(F.col("rho"), F.col("cos_sim")).alias("label"))
+
+
+@query(_by_context(AXIS, "vec_id % 2", range(2), f"SELECT unit::BIGINT AS unit, n_cells, {r6('rho', 'cos_sim')}, label FROM tri"))
+def context_triage(spark, d):
+    """Reliability, axis and label of every unit within its context."""
+    return rounded(_context_triage(spark, d))
 
 
 @query(_by_context(REL, "vec_id % 2", range(2), f"SELECT unit::BIGINT AS unit, mode, n::BIGINT AS n, gene_mode, {r6('median_r', 'sb_from_median AS rho')} FROM rl"))

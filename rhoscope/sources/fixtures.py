@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import table
@@ -20,6 +20,24 @@ def cells_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("cell", "unit", "g", x.alias("x"))
 
 
+#: Units of an experiment for each label of the table, the last of which is a combination.
+PARTS = 5
+
+
+def experiment_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets with ``PARTS`` units for each label: ``dataset``, ``cell``, ``unit``, ``g``, ``x``."""
+    unit = F.when(F.col("unit") == CONTROL, CONTROL).otherwise(PARTS * F.col("unit") + F.expr(f"cell div 2 % {PARTS}"))
+    return cells_planted(spark, sf_dir).select((F.col("cell") % 2).alias("dataset"), "cell", unit.cast("long").alias("unit"), "g", "x")
+
+
+def experiment_name() -> Column:
+    """What a unit perturbs: gene ``g<unit>``, a gene that the table lacks, or two genes."""
+    label, k = F.floor(F.col("unit") / PARTS), F.col("unit") % PARTS
+    name = lambda c, v: F.concat(F.lit(c), v.cast("string"))
+    other = F.when(label % 3 == 0, name("x", label)).otherwise(name("g", PARTS * (label % 9 + 1) + 1))
+    return F.when(k == 4, F.concat(name("g", PARTS * label), F.lit("+"), other)).when(k == 3, name("x", F.col("unit"))).otherwise(name("g", F.col("unit")))
+
+
 def cell_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``cell``, ``unit`` only: assignments are made on ids, not on vectors."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell"), F.col("label").alias("unit"))

@@ -104,3 +104,15 @@ def build_if_missing(spark: SparkSession, path: str, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         df = spark.read.parquet(path)
     return df
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute now what several branches of a plan read: checkpointed in the session's
+    shared folder where it has one, else kept (and computed again where lost)."""
+    sc = df.sparkSession.sparkContext
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named:
+            return df.persist()
+        sc.setCheckpointDir(named)
+    return df.checkpoint()

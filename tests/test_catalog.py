@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rhoscope.plans import catalog, reports  # noqa: F401
+from rhoscope.plans import catalog, heldout, reports  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 CHECKED = [
@@ -18,7 +18,7 @@ CHECKED = [
     "bootstrap_ranks_by_dataset", "energy_validation", "expression_metrics",
 ]
 #: Grouped Python: dense algebra, exact p values, a numeric solver.
-PYTHON = {"ridge_predictor", "model_arm_scores", "model_grid", "model_strategies", "wilcoxon", "saturation_fit_numeric"}
+PYTHON = {"ridge_predictor", "holdout_models", "model_arm_scores", "model_grid", "model_pool_scaling", "model_strategies", "wilcoxon", "saturation_fit_numeric"}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 
