@@ -5,9 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -57,38 +55,47 @@ def sign_test(df: DataFrame, by: list[str], value: str, tolerance: float = 1e-6)
     return d.withColumn("p_sign", F.least(F.lit(1.0), 2 * tail))
 
 
-def wilcoxon_p(values: np.ndarray) -> tuple[float, float]:
-    """Signed-rank statistic and two-sided p: exact for up to 50 values without
-    ties, else the normal approximation with tie correction."""
-    v = values[values != 0]
-    n = len(v)
-    if len(values) < 5 or n == 0:
-        return float("nan"), float("nan")
-    rank = pd.Series(np.abs(v)).rank().to_numpy()
-    plus, minus = rank[v > 0].sum(), rank[v < 0].sum()
-    w = min(plus, minus)
-    ties = np.unique(rank, return_counts=True)[1]
-    if n <= 50 and (ties == 1).all() and n == len(values):
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for k in range(1, n + 1):
-            ways[k:] += ways[:-k].copy()
-        return float(w), float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2.0**n))
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
-    z = (w - mean) / math.sqrt(var) if var > 0 else 0.0
-    return float(w), float(min(1.0, math.erfc(abs(z) / math.sqrt(2))))
+def erfc(x: Column) -> Column:
+    """Complementary error function of x >= 0: a series of positive terms below 2.5,
+    beyond it a continued fraction from the inside out."""
+    sq = x * x
+    term = lambda acc, i: F.struct((acc["t"] * 2 * sq / (2 * i + 1)).alias("t"), (acc["s"] + acc["t"] * 2 * sq / (2 * i + 1)).alias("s"))
+    one = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), one, term, lambda acc: acc["s"])
+    inner = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(0.0), lambda acc, i: (i / 2.0) / (x + acc))
+    root = math.sqrt(math.pi)
+    return F.when(x < 2.5, 1 - 2 / root * F.exp(-sq) * x * series).otherwise(F.exp(-sq) / (root * (x + inner)))
 
 
-def wilcoxon(df: DataFrame, by: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
-    """Signed-rank test of each group; a group is one value per dataset or split."""
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+def signed_rank_p(n: Column, w: Column) -> Column:
+    """Exact two-sided p of a smaller rank sum ``w`` among ``n`` ranks without ties: the
+    sets of ranks for each sum are counted by a fold over the ranks."""
+    none = F.transform(F.sequence(F.lit(0).cast("long"), F.floor(n * (n + 1) / 2)), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
+    more = lambda ways, k: F.transform(ways, lambda c, i: c + F.when(i >= k, F.get(ways, i - k.cast("int"))).otherwise(0.0))
+    ways = F.aggregate(F.sequence(F.lit(1).cast("long"), n), none, more)
+    upto = F.aggregate(F.slice(ways, F.lit(1), F.floor(w).cast("int") + 1), F.lit(0.0), lambda s, c: s + c)
+    return F.least(F.lit(1.0), 2 * upto / F.pow(F.lit(2.0), n))
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = wilcoxon_p(pdf[value].to_numpy(float))
-        nan = w != w
-        return pd.DataFrame([{c: pdf[c].iloc[0] for c in by} | {"n": len(pdf), "w": None if nan else w, "p_wilcoxon": None if nan else p}])
+def wilcoxon(df: DataFrame, by: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:
+    """Signed-rank test of each group: ``n``, ``w`` and two-sided ``p_wilcoxon``.
 
-    return df.where(F.abs(value) >= tolerance).groupBy(*by).applyInPandas(one, f"{schema}, n long, w double, p_wilcoxon double")
+    Exact for up to 50 values without ties or zeros, else the normal law with tie
+    correction; zeros are not ranked; missing for fewer than five values, or if all are 0.
+    """
+    d = df.where(F.abs(value) >= tolerance).withColumn("a", F.abs(value))
+    real, w = F.col("a") > 0, Window.partitionBy(*by, "a")
+    d = d.withColumn("r", F.when(real, S.rank_average(F.asc("a"), "a", [*by, real]))).withColumn("t", F.count(F.lit(1)).over(w))
+    side = lambda c: F.coalesce(F.sum(F.when(c, F.col("r"))), F.lit(0.0))
+    each = F.sum(F.when(real, F.col("t") * F.col("t") - 1)).cast("double")  # t of them have t^2 - 1: t^3 - t
+    g = d.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(real).alias("m"), F.least(side(F.col(value) > 0), side(F.col(value) < 0)).alias("w"), each.alias("ties"))
+    m, ties = F.col("m"), F.col("ties")
+    mean, var = m * (m + 1) / 4, m * (m + 1) * (2 * m + 1) / 24 - ties / 48
+    z = F.when(var > 0, F.abs(F.col("w") - mean) / F.sqrt(var)).otherwise(0.0)
+    exact = (m <= 50) & (ties == 0) & (m == F.col("n"))
+    p = F.when(exact, signed_rank_p(F.when(exact, m).otherwise(F.lit(1).cast("long")), F.col("w"))).otherwise(F.least(F.lit(1.0), erfc(z / math.sqrt(2))))
+    told = (F.col("n") >= 5) & (m > 0)
+    return g.select(*by, "n", F.when(told, F.col("w")).alias("w"), F.when(told, p).alias("p_wilcoxon"))
 
 
 def wilcoxon_statistic(df: DataFrame, by: list[str], value: str, tolerance: float = 1e-6) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -40,37 +41,50 @@ def fit_on_grid(points: DataFrame, by: list[str], steps: int = GRID) -> DataFram
     return out.withColumn("fit_r2", F.when(F.col("sst") > 1e-12, 1 - F.col("sse") / F.col("sst")).otherwise(0.0)).drop("sse", "sst")
 
 
-def _solve(n: np.ndarray, y: np.ndarray) -> float:
-    """Bounded one-parameter least squares: bracket on a grid, then golden section."""
-    f = lambda t: float(((y - n * np.exp(t) / (n * np.exp(t) + 1)) ** 2).sum())
-    ts = np.linspace(np.log(LOW), np.log(HIGH), 400)
-    k = int(np.argmin([f(t) for t in ts]))
-    a, b = ts[max(0, k - 1)], ts[min(len(ts) - 1, k + 1)]
-    g = (np.sqrt(5) - 1) / 2
-    for _ in range(80):
-        c, d = b - g * (b - a), a + g * (b - a)
-        if f(c) < f(d):
-            b = d
-        else:
-            a = c
-    return float(np.exp((a + b) / 2))
+#: Points of the grid that brackets the least squares, and halvings of the bracket.
+BRACKET, HALVINGS = 400, 60
+
+
+def _sum(points: Column, f: Callable[[Column], Column]) -> Column:
+    return F.aggregate(points, F.lit(0.0), lambda s, p: s + f(p))
+
+
+def _tau(points: Column) -> Column:
+    """tau^2 of the bounded one-parameter least squares over an array of (n, y).
+
+    The best point of a grid over log tau^2 brackets the minimum; the sign of the
+    derivative then halves the bracket a fixed number of times.
+    """
+    low, step = float(np.log(LOW)), float((np.log(HIGH) - np.log(LOW)) / (BRACKET - 1))
+    rho = lambda p, t: p["n"] * F.exp(t) / (p["n"] * F.exp(t) + 1)
+    sse = lambda t: _sum(points, lambda p: (p["y"] - rho(p, t)) * (p["y"] - rho(p, t)))
+    rises = lambda t: _sum(points, lambda p: (p["y"] - rho(p, t)) * rho(p, t) * (1 - rho(p, t))) > 0
+    at = lambda k: F.lit(low) + k * F.lit(step)
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(BRACKET - 1)), lambda k: F.struct(sse(at(k)).alias("e"), k.alias("k"))))["k"]
+    first = F.struct(at(F.greatest(best - 1, F.lit(0))).alias("a"), at(F.least(best + 1, F.lit(BRACKET - 1))).alias("b"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = (acc["a"] + acc["b"]) / 2
+        up = rises(mid)
+        return F.struct(F.when(up, mid).otherwise(acc["a"]).alias("a"), F.when(up, acc["b"]).otherwise(mid).alias("b"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), first, halve, lambda acc: F.exp((acc["a"] + acc["b"]) / 2))
 
 
 def fit(points: DataFrame, by: list[str]) -> DataFrame:
-    """tau^2, R^2, N-weighted R^2 and N* of every group, solved in numpy."""
-    schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in by)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, y = pdf["n_total"].to_numpy(float), pdf["rho"].to_numpy(float)
-        tau = _solve(n, y)
-        e = (y - n * tau / (n * tau + 1)) ** 2
-        w = n / n.sum()
-        tot, wtot = ((y - y.mean()) ** 2).sum(), (w * (y - (w * y).sum()) ** 2).sum()
-        row = {c: pdf[c].iloc[0] for c in by}
-        row |= {"tau_sq": tau, "fit_r2": 1 - e.sum() / tot if tot > 0 else 0.0, "fit_r2_weighted": 1 - (w * e).sum() / wtot if wtot > 0 else 0.0}
-        return pd.DataFrame([row | {"n_points": len(n), "max_n": n.max(), "min_n": n.min()}])
-
-    out = usable(points, by).groupBy(*by).applyInPandas(one, f"{schema}, tau_sq double, fit_r2 double, fit_r2_weighted double, n_points long, max_n double, min_n double")
+    """tau^2, R^2, N-weighted R^2 and N* of every group; a group is one unit's points,
+    a few dozen, in one array."""
+    point = F.struct(F.col("n_total").cast("double").alias("n"), F.col("rho").alias("y"))
+    g = usable(points, by).groupBy(*by).agg(F.array_sort(F.collect_list(point)).alias("p"), F.count("*").alias("n_points"), F.max("n_total").cast("double").alias("max_n"), F.min("n_total").cast("double").alias("min_n"))
+    g = g.withColumn("tau_sq", _tau(F.col("p"))).withColumn("all", _sum(F.col("p"), lambda p: p["n"]))
+    mean, wmean = _sum(F.col("p"), lambda p: p["y"]) / F.col("n_points"), _sum(F.col("p"), lambda p: p["n"] * p["y"]) / F.col("all")
+    g = g.withColumn("mean", mean).withColumn("wmean", wmean)
+    e = lambda p: (p["y"] - S.rho_at("tau_sq", p["n"])) * (p["y"] - S.rho_at("tau_sq", p["n"]))
+    off = lambda p, c: (p["y"] - F.col(c)) * (p["y"] - F.col(c))
+    share = lambda err, tot: F.when(tot > 0, 1 - err / tot).otherwise(0.0)
+    plain = share(_sum(F.col("p"), e), _sum(F.col("p"), lambda p: off(p, "mean")))
+    weighted = share(_sum(F.col("p"), lambda p: p["n"] * e(p)), _sum(F.col("p"), lambda p: p["n"] * off(p, "wmean")))
+    out = g.select(*by, "tau_sq", plain.alias("fit_r2"), weighted.alias("fit_r2_weighted"), "n_points", "max_n", "min_n")
     for q in (0.5, 0.7, 0.9):
         out = out.withColumn(f"n_star_{int(q * 100)}", S.n_for("tau_sq", q))
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -623,7 +624,14 @@ def wilcoxon_statistic(spark, d):
     return rounded(I.wilcoxon_statistic(_by_unit(spark, d), ["comparator", "metric"], "effect"))
 
 
-@query()
+# erfc(x) = 1 - 2 / sqrt(pi) exp(-x^2) sum of positive terms; rank sums are counted in a list, rank by rank.
+@query(f"""WITH RECURSIVE {UNITS_EFFECT}, k AS (SELECT *, rank() OVER (PARTITION BY comparator, metric ORDER BY abs(effect)) + (count(*) OVER (PARTITION BY comparator, metric, abs(effect)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY comparator, metric, abs(effect)) AS t FROM nz),
+c AS (SELECT comparator, metric, count(*) AS n, least(coalesce(sum(r) FILTER (effect > 0), 0), coalesce(sum(r) FILTER (effect < 0), 0)) AS w, sum(t * t - 1) AS ties FROM k GROUP BY ALL),
+ws AS (SELECT 0 AS j, list_transform(range(0, 1276), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END) AS a
+  UNION ALL SELECT j + 1, list_transform(range(0, 1276), lambda i: a[i + 1] + CASE WHEN i > j THEN a[i - j] ELSE 0 END) FROM ws WHERE j < 50),
+z AS (SELECT *, abs(w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM c)
+SELECT comparator, metric, n, CASE WHEN n >= 5 THEN w END AS w, CASE WHEN n >= 5 THEN round(least(1, CASE WHEN n <= 50 AND ties = 0 THEN 2 * list_sum(a[1:floor(w)::INT + 1]) / 2.0::DOUBLE ** n
+  ELSE 1 - exp(-x * x) * list_sum(list_transform(range(0, 150), lambda i: CASE WHEN x > 0 THEN exp((2 * i + 1) * ln(x) - lgamma(i + 1.5)) ELSE 0 END)) END), 6) + 0.0 END AS p_wilcoxon FROM z LEFT JOIN ws ON j = n""")
 def wilcoxon(spark, d):
     return rounded(I.wilcoxon(_by_unit(spark, d), ["comparator", "metric"], "effect"))
 
@@ -751,7 +759,24 @@ def saturation_fit(spark, d):
     return rounded(N.fit_on_grid(_points(spark, d), ["unit"]))
 
 
-@query()
+_RHO = "(p.n * exp({0}) / (p.n * exp({0}) + 1))"
+_AT = f"({float(np.log(N.LOW))!r}::DOUBLE + ({{0}}) * {float((np.log(N.HIGH) - np.log(N.LOW)) / (N.BRACKET - 1))!r}::DOUBLE)"
+
+
+def _over(f: str) -> str:
+    return f"list_sum(list_transform(p_, lambda p: {f}))"
+
+
+@query(f"""WITH RECURSIVE {POINTS}, pa AS (SELECT unit, list({{'n': n_total::DOUBLE, 'y': rho}} ORDER BY n_total, rho) AS p_, count(*) AS n_points, max(n_total)::DOUBLE AS max_n, min(n_total)::DOUBLE AS min_n FROM pt GROUP BY unit),
+kb AS (SELECT unit, arg_min(k, (e, k)) AS best FROM (SELECT unit, k, {_over(f"(p.y - {_RHO.format('t')}) * (p.y - {_RHO.format('t')})")} AS e FROM (SELECT *, {_AT.format('k')} AS t FROM pa, range({N.BRACKET}) r(k))) GROUP BY unit),
+hv AS (SELECT unit, 0 AS step, {_AT.format('greatest(best - 1, 0)')} AS a, {_AT.format(f'least(best + 1, {N.BRACKET - 1})')} AS b, p_ FROM kb JOIN pa USING (unit)
+  UNION ALL SELECT unit, step + 1, CASE WHEN up THEN m ELSE a END, CASE WHEN up THEN b ELSE m END, p_ FROM (
+    SELECT *, {_over(f"(p.y - {_RHO.format('m')}) * {_RHO.format('m')} * (1 - {_RHO.format('m')})")} > 0 AS up FROM (SELECT *, (a + b) / 2 AS m FROM hv WHERE step < {N.HALVINGS}))),
+ts AS (SELECT pa.*, exp((a + b) / 2) AS tau_sq, {_over('p.n').replace('p_', 'pa.p_')} AS total FROM hv JOIN pa USING (unit) WHERE step = {N.HALVINGS}),
+tm AS (SELECT *, {_over('p.y')} / n_points AS mu, {_over('p.n * p.y')} / total AS wmu FROM ts),
+er AS (SELECT *, {_over('(p.y - p.n * tau_sq / (p.n * tau_sq + 1)) ** 2')} AS e, {_over('p.n * (p.y - p.n * tau_sq / (p.n * tau_sq + 1)) ** 2')} AS we, {_over('(p.y - mu) ** 2')} AS tot, {_over('p.n * (p.y - wmu) ** 2')} AS wtot FROM tm)
+SELECT unit::BIGINT AS unit, {r6('tau_sq', 'CASE WHEN tot > 0 THEN 1 - e / tot ELSE 0 END AS fit_r2', 'CASE WHEN wtot > 0 THEN 1 - we / wtot ELSE 0 END AS fit_r2_weighted')}, n_points, max_n, min_n,
+  {', '.join(f"round({q} / (tau_sq * (1 - {q}::DOUBLE)), 6) + 0.0 AS n_star_{int(q * 100)}" for q in (0.5, 0.7, 0.9))} FROM er""")
 def saturation_fit_numeric(spark, d):
     return rounded(N.fit(_points(spark, d), ["unit"]))
 

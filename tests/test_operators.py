@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,16 +145,36 @@ def test_kappa_and_icc(spark):
     assert (r.var_between, r.var_within, r.n_units) == (4.0, 1.0, 2)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(-40, 40), min_size=5, max_size=9, unique_by=abs).filter(lambda v: 0 not in v))
-def test_wilcoxon_is_exact(values):
-    v = np.array(values, float)
-    rank = np.argsort(np.argsort(np.abs(v))) + 1
+def signed_rank(values):
+    """w and p: signs enumerated, or the normal law where there are ties or zeros."""
+    v = np.array([x for x in values if x], float)
+    rank = np.array([(sum(abs(y) < abs(x) for y in v) + (sum(abs(y) <= abs(x) for y in v) + 1)) / 2 for x in v])
     w = min(rank[v > 0].sum(), rank[v < 0].sum())
-    sums = [sum(r for r, s in zip(range(1, len(v) + 1), signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=len(v))]
-    p = min(1.0, 2 * sum(s <= w for s in sums) / len(sums))
-    got = I.wilcoxon_p(v)
-    assert got[0] == w and math.isclose(got[1], p)
+    if len(v) == len(values) and len(set(abs(v))) == len(v) and len(v) <= 12:
+        sums = [sum(r for r, s in zip(rank, signs, strict=True) if s) for signs in itertools.product((0, 1), repeat=len(v))]
+        return w, min(1.0, 2 * sum(s <= w for s in sums) / len(sums))
+    n, ties = len(v), sum(c**3 - c for c in Counter(abs(v)).values())
+    z = (w - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return w, math.erfc(abs(z) / math.sqrt(2))
+
+
+def test_wilcoxon(spark):
+    """Exact without ties, normal with ties, zeros or more than 50 values; too few have none."""
+    rng = np.random.default_rng(9)
+    groups = {f"exact{k}": (rng.permutation(20)[: 5 + k] + 1) * rng.choice([-1, 1], 5 + k) for k in range(8)}
+    groups |= {"ties": np.array([1, 1, -1, 2, 3, -3, 4]), "zeros": np.array([0, 1, 2, -3, 4, 5]), "many": (np.arange(60) + 1) * np.where(np.arange(60) % 3, 1, -1), "far": np.arange(1, 91)}
+    rows = [(g, float(x)) for g, xs in [*groups.items(), ("few", [1, 2, 3, 4]), ("none", [0, 0, 0, 0, 0])] for x in xs]
+    got = {r.g: r for r in I.wilcoxon(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", 0.0).collect()}
+    assert all((got[g].w, got[g].p_wilcoxon) == (None, None) for g in ("few", "none")) and got["few"].n == 4
+    for g, xs in groups.items():
+        w, p = signed_rank(xs)
+        assert got[g].n == len(xs) and got[g].w == w and math.isclose(got[g].p_wilcoxon, p, rel_tol=1e-9)
+
+
+def test_erfc(spark):
+    xs = [0.0, 1e-9, 0.3, 1.0, 2.4999, 2.5, 3.3, 5.0, 9.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select(I.erfc(F.col("x"))).collect()
+    assert all(math.isclose(r[0], math.erfc(x), rel_tol=1e-9) for r, x in zip(got, xs, strict=True))
 
 
 def test_sign_test(spark):
