@@ -7,6 +7,8 @@ each stage as Parquet in the shared folder and reads it again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,19 @@ from rhoscope.llm.common import cut, read
 from rhoscope.llm.queries import contaminated, quality_model, tokenizer_path
 
 
+def filtered(docs: DataFrame, step: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``keep`` leaves of ``step(docs)``, with their own
+    columns: those but for id and text have other names meanwhile, so that none of
+    them meets a column that the step makes."""
+    away = {c: c if c in ("doc_id", "text") else f"document_{k}_" for k, c in enumerate(docs.columns)}
+    out = keep(step(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in away.items()])))
+    return out.select(*[F.col(a).alias(c) for c, a in away.items()])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of being good and clean is too small go."""
-    return quality.classify(docs, quality_model(spark, sf_dir)).where("kept").select(*docs.columns)
+    model = quality_model(spark, sf_dir)
+    return filtered(docs, lambda d: quality.classify(d, model), lambda d: d.where("kept"))
 
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +44,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
-    out = decontam.scan_benchmark(docs, read(spark, sf_dir, "benchmark"))
+    items = read(spark, sf_dir, "benchmark")
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h["end_word"] - h["first_word"])
-    return out.withColumn("n_hit", n_hit).where(~contaminated()).select(*docs.columns)
+    return filtered(docs, lambda d: decontam.scan_benchmark(d, items).withColumn("n_hit", n_hit), lambda d: d.where(~contaminated()))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

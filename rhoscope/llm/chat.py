@@ -1,7 +1,8 @@
 """Chat formatting with Spark expressions only.
 
-Turns are collected per conversation as structs, sorted, adjacent turns of one
-role are merged into a block by array functions, and blocks are concatenated.
+Turns are collected per conversation as structs, sorted, and concatenated; which
+of them are adjacent turns of one role, merged into one block, and where each
+text begins, are windows over the turns.
 The inverse (:func:`read_back`) is made of expressions as well.
 
 Template of a block: ``<|role|>R<|text|>T1<|turn|>T2<|end|>`` where T1, T2 are
@@ -18,7 +19,7 @@ gives no rows; other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROLE, TEXT, TURN, END = "<|role|>", "<|text|>", "<|turn|>", "<|end|>"
@@ -46,35 +47,27 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     """One row per conversation: ``conv``, ``formatted`` and ``loss_spans``.
 
     ``loss_spans`` holds (start, length) in code points of ``formatted`` for each
-    text of ``loss_role``.  A conversation's turns meet in one row because the
-    result is one string; nothing else is gathered.
+    text of ``loss_role``.  Every turn is written out as it stands in its
+    conversation, and the lengths before it are summed up, by a window; then the
+    pieces are collected, sorted and joined, which is linear in the turns.  A
+    conversation's turns meet in one row because the result is one string;
+    nothing else is gathered.
     """
-    one = F.struct(F.col(turn).alias("t"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
-    out = turns.select(F.col(conv).alias(conv), one.alias("one")).groupBy(conv).agg(F.array_sort(F.collect_list("one")).alias("ts"))
-    out = out.withColumn("starts", F.expr("filter(sequence(0, size(ts) - 1), i -> i = 0 or ts[i].role != ts[greatest(i - 1, 0)].role)"))
-    out = out.withColumn("blocks", F.expr("transform(starts, (s, k) -> slice(ts, s + 1, (if(k + 1 < size(starts), starts[least(k + 1, size(starts) - 1)], size(ts))) - s))"))
-    # Every piece: (text to put out, whether it is under the loss mask).
-    piece = lambda t, under: F.struct(t.alias("s"), under.alias("loss"))
-    no = F.lit(False)
-
-    def block(b: Column) -> Column:
-        who = b[0]["role"]
-        head = F.array(piece(F.concat(F.lit(ROLE), escape(who), F.lit(TEXT)), no))
-        body = F.flatten(F.transform(b, lambda t, i: F.array(piece(F.when(i > 0, TURN).otherwise(""), no), piece(escape(t["text"]), who == loss_role))))
-        return F.concat(head, body, F.array(piece(F.lit(END), no)))
-
-    out = out.withColumn("pieces", F.flatten(F.transform("blocks", block)))
-    out = out.withColumn("formatted", F.array_join(F.transform("pieces", lambda p: p["s"]), ""))
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["s"])).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.char_length(p["s"]).cast("long").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return out.select(conv, "formatted", spans.alias("loss_spans"))
+    fill = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = turns.select(F.col(conv).alias(conv), F.col(turn).alias("turn_"), fill(role).alias("role_"), fill(text).alias("text_"))
+    w = Window.partitionBy(conv).orderBy(F.asc_nulls_first("turn_"), "role_", "text_")
+    first = ~F.coalesce(F.lag("role_").over(w) == F.col("role_"), F.lit(False))
+    last = ~F.coalesce(F.lead("role_").over(w) == F.col("role_"), F.lit(False))
+    head = F.when(first, F.concat(F.lit(ROLE), escape(F.col("role_")), F.lit(TEXT))).otherwise(F.lit(TURN))
+    rows = rows.select(conv, "role_", F.row_number().over(w).alias("n"), head.alias("head"), escape(F.col("text_")).alias("said"), F.when(last, F.lit(END)).otherwise(F.lit("")).alias("tail"))
+    long = lambda c: F.char_length(c).cast("long")
+    rows = rows.withColumn("all", long("head") + long("said") + long("tail"))
+    at = F.sum("all").over(Window.partitionBy(conv).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all") + long("head")
+    span = F.when(F.col("role_") == loss_role, F.struct(at.alias("start"), long("said").alias("length")))
+    rows = rows.select(conv, F.struct("n", F.concat("head", "said", "tail").alias("s"), span.alias("span")).alias("one"))
+    out = rows.groupBy(conv).agg(F.array_sort(F.collect_list("one")).alias("ts"))
+    spans = F.filter(F.transform("ts", lambda t: t["span"]), lambda s: s.isNotNull())
+    return out.select(conv, F.array_join(F.transform("ts", lambda t: t["s"]), "").alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame, text: str = "formatted") -> DataFrame:
@@ -88,7 +81,20 @@ def read_back(formatted: DataFrame, text: str = "formatted") -> DataFrame:
     return formatted.withColumn("turns", F.flatten(F.transform(blocks, one)))
 
 
+#: Characters of the slices in which a formatted string is looked up.
+SLICE = 1024
+
+
 def loss_text(formatted: str = "formatted", spans: str = "loss_spans") -> Column:
-    """The unescaped text under the loss mask, cut out of the formatted string."""
-    cut = F.transform(spans, lambda s: unescape(F.col(formatted).substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return F.array_join(cut, "")
+    """The unescaped text under the loss mask, cut out of the formatted string; the
+    string is sliced once, as counting characters from its start for each span would
+    be quadratic in very long conversations."""
+    slices = F.regexp_extract_all(F.col(formatted), F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))
+
+    def cut(parts: Column, s: Column) -> Column:
+        of = lambda at: F.floor(at / SLICE).cast("int")
+        near = F.array_join(F.slice(parts, of(s["start"]) + 1, of(s["start"] + s["length"]) - of(s["start"]) + 1), "")
+        return unescape(near.substr((s["start"] % SLICE + 1).cast("int"), s["length"].cast("int")))
+
+    # The slices are bound by a transform over an array of one, so that they are made once.
+    return F.transform(F.array(slices), lambda parts: F.array_join(F.transform(spans, lambda s: cut(parts, s)), ""))[0]

@@ -153,6 +153,12 @@ def flag_by_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, row
     )
 
 
+def hash_below(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash lies in the first ``share`` of its range; fine enough for
+    any number of rows that a table can have."""
+    return h <= F.lit(min(2**63 - 1, -(2**63) + int(min(1.0, share) * 2**64)))
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 

@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, fresh, small_batches
+from .common import append_columns, cut, fresh, small_batches
 
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: One byte pass that lower-cases A-Z and turns every separator into a space.
@@ -48,7 +48,7 @@ class Scanner:
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.number: dict[bytes, int] = {}
         self.windows: list[tuple[int, list[int]]] = []  # length, places in self.ids
-        self.ids = [str(i) for i, _ in items]
+        self.ids = [None if i is None else str(i) for i, _ in items]
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         seen: dict[tuple[int, ...], int] = {}
         for place, (_, text) in enumerate(items):
@@ -66,14 +66,14 @@ class Scanner:
             self.auto.make_automaton()
         self.empty = not seen
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Merged spans of hit words [start, end), and the ids of items found."""
         if self.empty or not words:
             return [], set()
         get = self.number.get
         key = tuple([get(w, 0) for w in words])
         spans: list[list[int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         for end, k in self.auto.iter(key):
             n, owners = self.windows[k]
             start = end + 1 - n
@@ -91,7 +91,12 @@ def char_spans(text: str | bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     """Word spans as character offsets of the original text."""
     raw = _raw(text)
     at = [m.span() for m in WORD.finditer(raw.lower())]
-    return [(len(raw[: at[a][0]].decode("utf-8", "surrogatepass")), len(raw[: at[b - 1][1]].decode("utf-8", "surrogatepass"))) for a, b in spans]
+    out, done, chars = [], 0, 0
+    for a, b in spans:  # in order and apart, so every byte is decoded once
+        start = chars + len(raw[done : at[a][0]].decode("utf-8", "surrogatepass"))
+        chars, done = start + len(raw[at[a][0] : at[b - 1][1]].decode("utf-8", "surrogatepass")), at[b - 1][1]
+        out.append((start, chars))
+    return out
 
 
 def _joined(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -115,19 +120,24 @@ def _scanner(name: str, shared: Broadcast, window: int) -> Scanner:
     return _BUILT[name]
 
 
-def scan_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, blocks: int = 1, most_bytes: int = 16_000_000) -> DataFrame:
+def scan_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, blocks: int | None = None, most_bytes: int = 16_000_000) -> DataFrame:
     """``docs`` plus ``n_words``, ``hits`` (word spans with character offsets)
-    and ``items`` (ids found, sorted as strings)."""
+    and ``items`` (ids found, sorted as strings; a null id comes last, as null).
+
+    Items of more than ``most_bytes`` are dealt to as many automata (``blocks``) as
+    hold that much each; every automaton after the first reads the documents, and
+    what is found so far, from a table that the one before wrote.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if size > blocks * most_bytes:
-        raise ValueError(f"{size} bytes of items: more than {most_bytes} for each of {blocks} automata; raise blocks or most_bytes")
+    blocks = blocks or max(1, -(-2 * size // most_bytes) if size > most_bytes else 1)  # twice as many: hashed blocks differ in size
     block = fresh(items, "block")
     dealt = items.withColumn(block, F.pmod(F.xxhash64(F.col(item_id).cast("string")), F.lit(blocks)))
     out = docs.drop("n_words", "hits", "items")
     kept = out.columns
     for k in range(blocks):
+        out = cut(out) if k else out
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in dealt.where(F.col(block) == k).select(item_id, item_text).toLocalIterator()])
 
         def scan(name: str = uuid.uuid4().hex, shared: Broadcast = shared):
@@ -144,7 +154,7 @@ def scan_benchmark(docs: DataFrame, items: DataFrame, text_col: str = "text", it
                     at = char_spans(text, spans) if spans else []
                     n_words.append(len(words))
                     hits.append([{"first_word": a, "end_word": b, "start": s, "end": e} for (a, b), (s, e) in zip(spans, at, strict=True)])
-                    items.append(sorted(found))
+                    items.append(sorted(found, key=lambda i: (i is None, i or "")))
                 return [n_words, hits, items]
 
             return rows

@@ -25,10 +25,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, small_batches
+from .common import append_columns, hash_below, small_batches
 
 SEGMENT, HIDDEN = 64, 8
 UND = "und"
@@ -149,15 +149,22 @@ def train_network(samples: list[tuple[str, bytes]], steps: int = 700, batch: int
     return net
 
 
+def sampled(h: Column, lang: Column, counts: dict[str, int], max_docs: int) -> Column:
+    """Whether a document with hash ``h`` is among about ``max_docs`` of its language."""
+    return F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), hash_below(h, max_docs / n))]), lang)
+
+
 def sample_segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = 400, per_doc: int = 12) -> list[tuple[str, bytes]]:
-    """Segments at hashed places of at most about ``max_docs`` documents a language."""
+    """Segments at hashed places of at most about ``max_docs`` documents a language,
+    at most ``per_doc`` of each: the bounds of what is learned from.  The share of a
+    language is a fraction of the hash's whole range, so it does not vanish, however
+    many documents there are."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one row a language
     if not counts:
         return []
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, max_docs / n))))])
     h = F.xxhash64(F.col(id_col).cast("string"), F.lit("langid"))
-    picked = known.where(F.pmod(h, F.lit(1_000_000)) < F.element_at(share, F.col(lang_col))).select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).alias("text"))
+    picked = known.where(sampled(h, F.col(lang_col), counts, max_docs)).select(F.col(lang_col).alias("lang"), h.alias("h"), F.col(text_col).alias("text"))
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

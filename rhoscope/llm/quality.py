@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, small_batches
+from .common import append_columns, hash_below, small_batches
 
 BUCKETS = 1 << 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -128,8 +128,7 @@ def train(labelled: DataFrame, grades: int, id_col: str = "doc_id", text_col: st
     sample = labelled.where(F.col(grade_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(grade_col).cast("int").alias("g"), F.col(text_col).alias("text"))
     n = sample.count()
     if n > max_rows:  # a threshold on the hash keeps texts from being sorted
-        share = 1.1 * max_rows / n
-        sample = sample.where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * share))
+        sample = sample.where(hash_below(F.col("h"), 1.1 * max_rows / n))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
