@@ -107,6 +107,22 @@ def hist_bin(x: str | Column, low: float, high: float, bins: int) -> Column:
     return F.when((x >= low) & (x <= high), F.least(k, F.lit(bins - 1))).cast("long")
 
 
+def edge_bin(x: str | Column, edges: list[float]) -> Column:
+    """Index of the bin [edge, next edge) of sorted edges, found by halving the array of
+    edges; the last bin is closed on the right; null outside."""
+    x, last = _col(x), len(edges) - 1
+    e = F.array(*map(F.lit, edges))
+    whole = F.struct(F.lit(0).alias("a"), F.lit(last).alias("b"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["a"] + acc["b"]) / 2).cast("int")
+        right = F.get(e, mid) <= x
+        return F.struct(F.when(right, mid).otherwise(acc["a"]).alias("a"), F.when(right, acc["b"]).otherwise(mid).alias("b"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, last.bit_length()))), whole, halve, lambda acc: acc["a"])
+    return F.when((x >= edges[0]) & (x <= edges[-1]), F.least(found, F.lit(last - 1))).cast("long")
+
+
 def labelled_bin(x: str | Column, edges: list[float]) -> Column:
     """Right-closed bins (a, b]; the first includes its lower edge, the last is open-ended."""
     x = _col(x)

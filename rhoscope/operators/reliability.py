@@ -89,15 +89,15 @@ def reliability_long(r: DataFrame, by: list[str] = []) -> DataFrame:
     return out.withColumn("ceiling_from_mean", S.ceiling("sb_from_mean")).withColumn("ceiling_from_median", S.ceiling("sb_from_median"))
 
 
-def reliability_wide(long: DataFrame, modes: tuple[str, ...] = ("all_genes", "top_expressed")) -> DataFrame:
-    """One row per unit: the largest split's values by gene mode, and n* (least
+def reliability_wide(long: DataFrame, modes: tuple[str, ...] = ("all_genes", "top_expressed"), by: list[str] = []) -> DataFrame:
+    """One row per (by, unit): the largest split's values by gene mode, and n* (least
     fixed n whose median correlation reaches 0.5)."""
     parts = []
     for m in modes:
         at = (F.col("mode") == "max") & (F.col("gene_mode") == m)
         parts += [F.max(F.when(at, F.col(c))).alias(f"{c}_{m}") for c in ("n", "median_r", "mean_r", "sb_from_median", "ceiling_from_median")]
         parts.append(n_star(m).alias(f"n_star_{m}"))
-    return long.groupBy("unit").agg(*parts)
+    return long.groupBy(*by, "unit").agg(*parts)
 
 
 def n_star(gene_mode: str):

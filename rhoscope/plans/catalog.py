@@ -14,6 +14,7 @@ from ..operators import benchmark as B
 from ..operators import bootstrap as BS
 from ..operators import energy as E
 from ..operators import enrichment as G
+from ..operators import fastnull as GF
 from ..operators import inference as I
 from ..operators import reliability as R
 from ..operators import retrain as T
@@ -137,6 +138,16 @@ def _rank_trunc(value: str, by: str = "") -> str:
     return f"CASE WHEN {value} IS NOT NULL THEN floor(rank() OVER ({part}ORDER BY {value} DESC NULLS LAST) + (count(*) OVER ({tie}) - 1) / 2.0)::BIGINT END"
 
 
+def _by_context(sql: str, part: str, contexts: range, select: str) -> str:
+    """The same SQL on the cells of each context, one after the other."""
+    one = lambda k: f"SELECT {k}::BIGINT AS context, q.* FROM (WITH {sql.replace('FROM embeddings', f'FROM (SELECT * FROM embeddings WHERE {part} = {k})')} {select}) q"
+    return " UNION ALL ".join(map(one, contexts))
+
+
+def _context(df: DataFrame) -> DataFrame:
+    return df.select("*", (F.col("cell") % 2).alias("context"))
+
+
 def _reliability(spark: SparkSession, d: str) -> DataFrame:
     return R.reliability_long(R.split_half_r(X.cells_planted(spark, d), X.cell_units(spark, d), REPS, GRID, TOPK))
 
@@ -214,6 +225,13 @@ def reliability_wide(spark, d):
     return rounded(R.reliability_wide(_reliability(spark, d)))
 
 
+@query(_by_context(REL, "vec_id % 2", range(2), f"SELECT unit::BIGINT AS unit, {_WIDE} FROM rl GROUP BY unit"))
+def context_reliability_wide(spark, d):
+    """The wide summary of every unit within its context."""
+    c, u, by = (_context(X.cells_planted(spark, d)), _context(X.cell_units(spark, d)), ["context"])
+    return rounded(R.reliability_wide(R.reliability_long(R.split_half_r(c, u, REPS, GRID, TOPK, by=by), by), by=by))
+
+
 @query(f"WITH {REL} SELECT g FROM topk")
 def topk_expressed_mask(spark, d):
     return rounded(R.top_expressed(X.cells_planted(spark, d), TOPK))
@@ -264,16 +282,6 @@ def training_pools(spark, d):
     return rounded(one.groupBy("pool").agg(F.count("unit").alias("n"), F.avg("rho").alias("mean_rho")))
 
 
-def _by_context(sql: str, part: str, contexts: range, select: str) -> str:
-    """The same SQL on the cells of each context, one after the other."""
-    one = lambda k: f"SELECT {k}::BIGINT AS context, q.* FROM (WITH {sql.replace('FROM embeddings', f'FROM (SELECT * FROM embeddings WHERE {part} = {k})')} {select}) q"
-    return " UNION ALL ".join(map(one, contexts))
-
-
-def _context(df: DataFrame) -> DataFrame:
-    return df.select("*", (F.col("cell") % 2).alias("context"))
-
-
 def _context_triage(spark: SparkSession, d: str) -> DataFrame:
     c, u, by = (_context(X.cells_planted(spark, d)), _context(X.cell_units(spark, d)), ["context"])
     rho = R.reliability_long(R.split_half_r(c, u, REPS, by=by), by).select(*by, "unit", F.col("sb_from_median").alias("rho"))
@@ -864,6 +872,12 @@ def shared_vs_residual_enrichment(spark, d):
     return rounded(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS, genes=LEAST_GENES))
 
 
+@query()
+def fast_enrichment(spark, d):
+    """The same rankings with the parametric null of large term libraries (300 draws)."""
+    return rounded(GF.fast_enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", genes=LEAST_GENES))
+
+
 @query(f"""WITH {ENRICH}, s AS (SELECT * FROM en WHERE fdr < {FDR})
 SELECT term, count(DISTINCT unit) FILTER (side = 'shared') AS n_shared, count(DISTINCT unit) FILTER (side = 'specific') AS n_specific, count(DISTINCT unit) FILTER (side = 'specific') > 0 AND count(DISTINCT unit) FILTER (side = 'shared') = 0 AS specific_only FROM s GROUP BY term""")
 def program_sets(spark, d):
@@ -888,12 +902,10 @@ def label_swap(spark, d):
     return B.relabel(mine, u.where("rho >= 0.8"), ["dataset", "unit"], "cls")
 
 
-@query("""SELECT lang, min_by(source, CASE source WHEN 'absent' THEN 1 ELSE 2 END || source) AS source FROM (SELECT DISTINCT lang, source FROM documents WHERE source IN ('absent', (SELECT min(source) FROM documents))) GROUP BY lang""")
+@query("""SELECT lang, arg_min(source, list_position(['absent', 'src0', 'src1', 'src2'], source)) AS source FROM (SELECT DISTINCT lang, source FROM documents WHERE source IN ('absent', 'src0', 'src1', 'src2')) GROUP BY lang""")
 def control_label_choice(spark, d):
     """The first candidate, of which the first is in no table, that each group has."""
-    docs = IO.table(spark, d, "documents")
-    first = docs.agg(F.min("source")).first()[0]
-    return K.control_label(docs, ["absent", first], ["lang"], "source")
+    return K.control_label(IO.table(spark, d, "documents"), ["absent", "src0", "src1", "src2"], ["lang"], "source")
 
 
 # --- reports and sources -------------------------------------------------------------------------
@@ -905,6 +917,24 @@ def hist_bins(spark, d):
     return x.where("bin is not null").groupBy("bin").agg(F.count("*").alias("n"))
 
 
+#: 61 edges that widen to the right, of prices; and 66 of equal width.
+VARIABLE, FIXED = [float(round(900 * 1.08**k)) for k in range(61)], [float(1000 * k) for k in range(66)]
+
+
+def _edges_sql(name: str, edges: list[float]) -> str:
+    e = f"[{', '.join(map(str, edges))}]"
+    return f"""SELECT '{name}' AS edges, least(len(list_filter(e, lambda x: x <= v)), {len(edges) - 1}) - 1 AS bin, count(*) AS n
+  FROM (SELECT o_totalprice::DOUBLE AS v, {e}::DOUBLE[] AS e FROM orders) WHERE v BETWEEN {edges[0]} AND {edges[-1]} GROUP BY ALL"""
+
+
+@query(f"{_edges_sql('variable', VARIABLE)} UNION ALL {_edges_sql('fixed', FIXED)}")
+def edge_bins(spark, d):
+    """Histograms over given edges, the last bin closed on the right."""
+    o = IO.table(spark, d, "orders").select(F.col("o_totalprice").cast("double").alias("v"))
+    both = F.explode(F.array(*[F.struct(F.lit(name).alias("edges"), S.edge_bin("v", e).alias("bin")) for name, e in (("variable", VARIABLE), ("fixed", FIXED))])).alias("b")
+    return o.select(both).select("b.*").where("bin is not null").groupBy("edges", "bin").agg(F.count("*").alias("n"))
+
+
 @query("""WITH c AS (SELECT label AS unit, count(*) AS n FROM embeddings GROUP BY label)
 SELECT CASE WHEN n BETWEEN 0 AND 50 THEN '0-50' WHEN n <= 100 THEN '50-100' WHEN n <= 200 THEN '100-200' ELSE '>200' END AS bin, count(*) AS n_units, sum(n)::BIGINT AS n_cells FROM c GROUP BY ALL""")
 def count_bins(spark, d):

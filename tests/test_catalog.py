@@ -15,10 +15,10 @@ DATA = Path("/root/testdata/sf0.001")
 CHECKED = [
     "pseudobulk_centroids", "split_half_reliability", "triage_labels", "triage_summary", "score_fallback_join", "rank_all_vs_specific", "bootstrap_ranks",
     "stratified_split", "welch_topk", "cohen_kappa", "json_upsert", "label_keys", "report_rank_comparison", "threshold_grid",
-    "wilcoxon", "saturation_fit_numeric", "holdout_skips", "pool_scaling", "weight_strategies", "bootstrap_ranks_by_dataset", "energy_validation", "expression_metrics",
+    "wilcoxon", "saturation_fit_numeric", "edge_bins", "control_label_choice", "context_reliability_wide", "holdout_skips", "pool_scaling", "weight_strategies", "bootstrap_ranks_by_dataset", "energy_validation", "expression_metrics",
 ]
 #: Grouped Python: dense algebra.
-PYTHON = {"ridge_predictor", "holdout_models", "model_arm_scores", "model_grid", "model_pool_scaling", "model_strategies"}
+PYTHON = {"ridge_predictor", "fast_enrichment", "holdout_models", "model_arm_scores", "model_grid", "model_pool_scaling", "model_strategies"}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 
