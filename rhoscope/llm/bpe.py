@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import cuts
-from .common import BITMAP_ROW_BITS, append_columns, bitmap_of, cut, flag_by_bitmap, small_batches
+from .common import BITMAP_ROW_BITS, append_columns, bitmap_of, cut, flag_by_bitmap, forgettable, small_batches, tidied
 
 #: Words and pieces of words remembered per worker in each of two generations
 #: (some 50 MB when all are full); longer ones are not kept.
@@ -148,11 +148,13 @@ class Encoder:
         return b"".join(out)
 
 
+@forgettable
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@forgettable
 @lru_cache(maxsize=1)
 def vocabulary(path: str) -> list[str]:
     from tokenizers import Tokenizer
@@ -261,7 +263,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield _batch(rows, HASHED)
 
     where = "k1 long, k2 long, seq int, h1 long, h2 long"
-    places = cut(docs.select("text").mapInArrow(hashed, where))
+    places = cut(docs.select("text").mapInArrow(tidied(hashed), where))
     again = places.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     bitmap = bitmap_of(again, F.col("h1"), BITMAP_ROWS)
     bits = {r["bm_row"]: bytes(r["bm_bits"]) for r in bitmap.collect()}  # 4 MB at most
@@ -287,8 +289,8 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
             rows = [(a, b, *piece(c, enc)) for a, b, c in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield _batch(rows, PIECES)
 
-    once = docs.select("text").mapInArrow(chunk_texts, "h1 long, h2 long, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
-    pieces = once.mapInArrow(encoded, "h1 long, h2 long, head binary, body binary, tail binary")
+    once = docs.select("text").mapInArrow(tidied(chunk_texts), "h1 long, h2 long, chunk binary").groupBy("h1", "h2").agg(F.first("chunk").alias("chunk"))
+    pieces = once.mapInArrow(tidied(encoded), "h1 long, h2 long, head binary, body binary, tail binary")
 
     def whole():
         """Texts without shared chunks, encoded where they are read."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -72,6 +73,51 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Caches of Python workers that :func:`tenant` empties, and the module that uses them now.
+_CACHES: list = []
+_tenant = ""
+
+
+def forgettable(cached):
+    """Register a function with ``cache_clear`` whose values may outlive a task, but
+    not the operator that made them."""
+    _CACHES.append(cached)
+    return cached
+
+
+def tenant(module: str) -> None:
+    """Called in a Python worker when a task of an operator begins: Spark reuses
+    workers, so what another operator remembered there goes."""
+    global _tenant
+    if module != _tenant:
+        for c in _CACHES:
+            c.cache_clear()
+        _tenant = module
+        tidy()
+
+
+def tidy() -> None:
+    """Give free memory of this worker back to the system: Arrow's pool and the C
+    heap keep it otherwise, and many idle workers share an executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` between :func:`tenant` and :func:`tidy`, for ``mapInArrow`` and ``mapInPandas``."""
+    module = run.__module__
+
+    def around(batches: Iterator) -> Iterator:
+        tenant(module)
+        yield from run(batches)
+        tidy()
+
+    return around
+
+
 _ARROW = {
     "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
 }
@@ -102,11 +148,13 @@ def append_columns(df: DataFrame, inputs: list[str], start: Callable[[], Callabl
     text = [isinstance(df.schema[c].dataType, T.StringType) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant(start.__module__)
         f = start()
         for batch in batches:
             values = [(c.cast(pa.binary()) if t else c).to_pylist() for c, t in zip((batch.column(i) for i in reads), text, strict=True)]
             new = [pa.array(v, type=t) for v, t in zip(f(*values), types, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keeps), *new], names=titles)
+        tidy()
 
     return df.mapInArrow(run, schema)
 

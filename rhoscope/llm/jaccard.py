@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append_columns, bitmap_of, cut, discard, flag_by_bitmap, release, small_batches, text_key, without_rows
+from .common import append_columns, bitmap_of, cut, discard, flag_by_bitmap, release, small_batches, text_key, tidied, without_rows
 from .components import connected_components
 
 SHINGLE = 5
@@ -344,7 +344,7 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame, seed: int) -> D
             ok = [difference_bound(x, y) <= (m + n) // 7 for x, y, m, n in zip(pdf["sa"], pdf["sb"], pdf["na"], pdf["nb"], strict=True)]
             yield pdf.loc[ok, ["a", "b"]]
 
-    likely = cut(sized.mapInPandas(bounded, "a long, b long"))
+    likely = cut(sized.mapInPandas(tidied(bounded), "a long, b long"))
     rids = likely.select(F.col("a").alias("rid")).union(likely.select("b")).distinct()
     wanted = cut(rids.join(stats.select("rid", "rep"), "rid"))
     flagged = flag_by_bitmap(docs, F.xxhash64("id"), bitmap_of(wanted, F.xxhash64("rep")), "wanted").where("wanted").select("id", "text")
@@ -364,7 +364,7 @@ def _verify(pairs: DataFrame, stats: DataFrame, docs: DataFrame, seed: int) -> D
             yield pdf.loc[ok, ["a", "b"]]
 
     both = likely.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-    found = cut(both.select("a", "b", "ta", "tb").mapInPandas(exact, "a long, b long"))
+    found = cut(both.select("a", "b", "ta", "tb").mapInPandas(tidied(exact), "a long, b long"))
     discard(pairs, likely, wanted)
     return found
 
@@ -428,7 +428,7 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
 
     # Only one text of each set is indexed; the bitmap may let a few copies through, which changes nothing.
     one_each = flag_by_bitmap(docs, F.xxhash64("id"), reps, "rep").where("rep").select("text")
-    entries = one_each.mapInPandas(index, "bucket int, role int, rids binary, counts binary, sigs binary")
+    entries = one_each.mapInPandas(tidied(index), "bucket int, role int, rids binary, counts binary, sigs binary")
     groups = cut(entries.groupBy("bucket").applyInPandas(_groups, "bucket int, sig long, rid long, own boolean, exact boolean, hot boolean, lead long, more boolean"))
     release(docs.sparkSession)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import random
 import time
+from functools import lru_cache
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rhoscope.llm import chat, decontam, langid, quality
+from rhoscope.llm import bpe, chat, common, decontam, langid, quality
 from rhoscope.llm.common import hash_below
 
 
@@ -68,3 +69,21 @@ def test_stages_keep_columns_named_like_theirs(spark, tmp_path, monkeypatch):
     for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.decontaminate):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows
+
+
+def test_workers_forget_other_operators():
+    """A reused worker keeps an operator's caches for its own next task only."""
+    made = []
+
+    @common.forgettable
+    @lru_cache(maxsize=1)
+    def costly():
+        made.append(1)
+        return 1
+
+    for module in ("one", "one", "two"):
+        common.tenant(module)
+        costly()
+    assert len(made) == 2
+    assert bpe.encoder in common._CACHES and bpe.vocabulary in common._CACHES
+    common._CACHES.remove(costly)
