@@ -1,97 +1,161 @@
 """Energy distance and the reliability curve built on it.
 
-Pairs are formed inside a unit and between a unit and the control only.  Their
-distances are computed once and reused by every repeat and sample size.
+Distances of a unit's cells are a matrix in blocks (:mod:`.blocks`); the sums that
+all repeats and sample sizes need are products of it with indicators of the halves,
+so neither pairs of cells nor pairs and repeats are rows.  A unit meets the controls
+of its own context where there are enough, else all controls; the distances within
+a pool of controls are computed once, however many contexts use it.
+
+Vectors of one table have equal lengths.  A unit without a pool of controls has no
+row; an empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from .sampling import halves, repeats
 
 
-def vectors(cells: DataFrame) -> DataFrame:
-    """Long cells as arrays ordered by gene: ``cell``, ``unit``, ``v``."""
+def vectors(cells: DataFrame, by: list[str] = []) -> DataFrame:
+    """Long cells as arrays ordered by gene: ``cell``, ``by``, ``unit``, ``v``."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("g", "x"))), lambda s: s["x"])
-    return cells.groupBy("cell", "unit").agg(ordered.alias("v"))
-
-
-def distance(a: str, b: str):
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
-
-
-def pair_distances(vec: DataFrame) -> DataFrame:
-    """Ordered pairs of cells of a unit: ``unit``, ``i``, ``j``, ``d``."""
-    a = vec.select("unit", F.col("cell").alias("i"), F.col("v").alias("vi"))
-    b = vec.select("unit", F.col("cell").alias("j"), F.col("v").alias("vj"))
-    return a.join(b, "unit").select("unit", "i", "j", distance("vi", "vj").alias("d"))
-
-
-def control_sums(vec: DataFrame, control: int = 0) -> DataFrame:
-    """Sum of distances between a unit's cells and the control's: ``unit``, ``s_xy``, ``n_ctrl``."""
-    c = vec.where(F.col("unit") == control).select(F.col("v").alias("vc"))
-    p = vec.where(F.col("unit") != control).crossJoin(c)  # blocks of one unit and the control: the operator itself
-    return p.select("unit", distance("v", "vc").alias("d")).groupBy("unit").agg(F.sum("d").alias("s_xy"))
-
-
-def between(vec: DataFrame, pairs: DataFrame, control: int = 0) -> DataFrame:
-    """E of each unit against the control (V-statistic, diagonal included)."""
-    size = vec.groupBy("unit").agg(F.count("*").alias("n"))
-    within = pairs.groupBy("unit").agg(F.sum("d").alias("s_xx"))
-    own = size.join(within, "unit")
-    ctrl = own.where(F.col("unit") == control).select(F.col("n").alias("n0"), F.col("s_xx").alias("s_yy"))
-    out = own.where(F.col("unit") != control).join(control_sums(vec, control), "unit").crossJoin(F.broadcast(ctrl))  # one control row
-    e = 2 * F.col("s_xy") / (F.col("n") * F.col("n0")) - F.col("s_xx") / (F.col("n") * F.col("n")) - F.col("s_yy") / (F.col("n0") * F.col("n0"))
-    return out.select("unit", "n", e.alias("e_between"))
-
-
-def control_pools(units: DataFrame, by: list[str], control: int = 0, least: int = 8) -> DataFrame:
-    """(by, cell): the controls of each ``by``; all controls where it has fewer than ``least`` of its own."""
-    ctrl = units.where(F.col("unit") == control)
-    enough = ctrl.groupBy(*by).agg(F.count("*").alias("k")).where(F.col("k") >= least).select(*by)
-    short = units.select(*by).distinct().join(enough, by, "left_anti")
-    return ctrl.join(enough, by).select(*by, "cell").unionByName(short.crossJoin(ctrl.select("cell")))  # contexts without controls x controls: the fall-back itself
-
+    return cells.groupBy("cell", *by, "unit").agg(ordered.alias("v"))
+
+
+def sizes_of(n: Column, grid: list[int], least: int) -> Column:
+    """Half sizes of a unit of ``n`` cells: those of the grid below the full split, and it."""
+    full = F.floor(n / 2).cast("int")
+    fixed = F.filter(F.array(*map(F.lit, grid)).cast("array<int>"), lambda v: (v >= least) & (v < full))
+    return F.when(full >= least, F.concat(fixed, F.array(full)))
+
+
+def drawn_halves(units: DataFrame, keys: list[str], reps: int, grid: list[int], least: int) -> DataFrame:
+    """Halves of every unit by block: ``keys``, ``block``, ``drawn`` (size, rep, cell, half)."""
+    n = units.groupBy(*keys).agg(F.count("*").alias("n"))
+    drawn = repeats(units.join(n.select(*keys, "n", F.explode(sizes_of(F.col("n"), grid, least)).alias("size")), keys), reps)
+    drawn = halves(drawn, [*keys, "size", "rep"], ["rep", "size", F.lit("e"), "cell"], "cell", "size")
+    return drawn.groupBy(*keys, B.block_number("n").alias("block")).agg(F.collect_list(F.struct("size", "rep", "cell", "half")).alias("drawn"))
+
+
+def _indicators(drawn, row: int, cells: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """(size, rep) -> which cells are in the first and in the second half, as 2 x cells."""
+    if not drawn[row].is_valid:
+        return {}
+    d = drawn[row].values
+    size, rep, half = (d.field(c).to_numpy(zero_copy_only=False) for c in ("size", "rep", "half"))
+    at = np.searchsorted(cells, d.field("cell").to_numpy(zero_copy_only=False))
+    names, which = np.unique(np.stack([size, rep], axis=1), axis=0, return_inverse=True)
+    h = np.zeros((len(names), 2, len(cells)))
+    h[which.ravel(), half - 1, at] = 1.0
+    return {(int(s), int(r)): h[k] for k, (s, r) in enumerate(names)}
+
+
+def _half_sums(batch, row: int) -> list[list]:
+    """Sums over ordered pairs of two blocks of a unit: for each (size, rep) between and
+    within the halves, and, as size 0, over all pairs."""
+    (a, x), (b, y) = B.matrix(batch.column("body"), row), B.matrix(batch.column("other"), row)
+    d = B.distances(x, y)
+    same = batch.column("block")[row] == batch.column("meets")[row]
+    ha, hb = _indicators(batch.column("drawn"), row, a), _indicators(batch.column("other_drawn"), row, b)
+    both = [k for k in ha if k in hb]
+    out = [[0], [0], [0.0], [float(d.sum()) * (1 if same else 2)], [0.0]]
+    if both:
+        p, q = np.stack([ha[k] for k in both]), np.stack([hb[k] for k in both])
+        s = np.einsum("khj,klj->khl", p @ d, q)  # halves of one block x halves of the other
+        s12, s11, s22 = (s[:, 0, 1], s[:, 0, 0], s[:, 1, 1]) if same else (s[:, 0, 1] + s[:, 1, 0], 2 * s[:, 0, 0], 2 * s[:, 1, 1])
+        new = [[k[0] for k in both], [k[1] for k in both], s12.tolist(), s11.tolist(), s22.tolist()]
+        out = [o + n for o, n in zip(out, new, strict=True)]
+    return out
+
+
+def _all_pairs(batch, row: int) -> list[list]:
+    (_, x), (_, y) = B.matrix(batch.column("body"), row), B.matrix(batch.column("other"), row)
+    return [[float(B.distances(x, y).sum())]]
+
+
+def _halves_of_pairs(body: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
+    own = body.join(drawn, [*keys, "block"], "left")
+    count = F.ceil(F.col("n") / B.CELLS)
+    right = own.select(*keys, "block", F.col("body").alias("other"), F.col("drawn").alias("other_drawn"))
+    pairs = B.beside_each(own, right, keys, "block", count)
+    sums = B.by_row(pairs.select(*keys, "block", "meets", "body", "other", "drawn", "other_drawn"), keys, "size int, rep int, s12 double, s11 double, s22 double", _half_sums)
+    return sums.groupBy(*keys, "size", "rep").agg(*[F.sum(c).alias(c) for c in ("s12", "s11", "s22")])
+
+
+def pool_of(units: DataFrame, by: list[str], control: int, least: int) -> DataFrame:
+    """``by``, ``pool``: a context's own controls (named by its key) or all (named '')."""
+    k = units.groupBy(*by).agg(F.count(F.when(F.col("unit") == control, 1)).alias("k"))
+    return k.select(*by, F.when(F.col("k") >= least, F.to_json(F.struct(*by))).otherwise("").alias("pool"))
+
+
+def pooled_controls(vec: DataFrame, pools: DataFrame | None, by: list[str], control: int) -> DataFrame:
+    """``pool``, ``cell``, ``v`` of the pools that contexts use."""
+    ctrl = vec.where(F.col("unit") == control)
+    everyone = ctrl.select(F.lit("").alias("pool"), "cell", "v")
+    if pools is None:
+        return everyone
+    asked = pools.where("pool = ''").select("pool").distinct()  # a row at most
+    own = ctrl.join(pools.where("pool != ''"), by).select("pool", "cell", "v")
+    return own.unionByName(everyone.join(F.broadcast(asked), "pool", "left_semi"))
+
+
+def half_sums_and_effect(vec: DataFrame, by: list[str] = [], reps: int = 0, grid: list[int] = [], control: int = 0, least: int = 4, least_pool: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(sums of the halves, E): ``by``, ``unit``, ``size``, ``rep``, ``s12``, ``s11``, ``s22``, where
+    size 0 is the whole unit; and ``by``, ``unit``, ``n``, ``n_ctrl``, ``e_between`` (V-statistic,
+    diagonal included).  ``vec``: ``cell``, ``by``, ``unit``, ``v``; keys are not null."""
+    keys = [*by, "unit"]
+    treated = vec.where(F.col("unit") != control)
+    body = B.blocks(treated, keys)
+    drawn = drawn_halves(treated.select("cell", *keys), keys, reps, grid, least)
+    sums = _halves_of_pairs(body, drawn, keys)
+    pools = pool_of(vec.select(*keys), by, control, least_pool) if by else None
+    pool = B.blocks(pooled_controls(vec, pools, by, control), ["pool"])
+    n0 = pool.groupBy("pool").agg(F.max("n").alias("n_ctrl"))
+    count = F.ceil(F.col("n_ctrl") / B.CELLS)
+    other = pool.select("pool", "block", F.col("body").alias("other"))
+
+    def at_pool(df: DataFrame, one: DataFrame) -> DataFrame:
+        """``df`` with the row of its pool; without contexts there is one pool, hence one row."""
+        return df.join(one, "pool") if by else df.crossJoin(F.broadcast(one.drop("pool")))
+
+    def sum_of(left: DataFrame, group: list[str], begin: str | Column, name: str) -> DataFrame:
+        met = B.beside_each(at_pool(left, n0), other, ["pool"], begin, count)
+        twice = F.when(F.col("twice"), 2.0).otherwise(1.0)
+        once = met.select(*group, (F.col("block") != F.col("meets")).alias("twice"), "body", "other")
+        return B.by_row(once, [*group, "twice"], "s double", _all_pairs).groupBy(*group).agg(F.sum(F.col("s") * (twice if name == "s_yy" else F.lit(1.0))).alias(name))
+
+    s_yy = sum_of(pool.select("pool", "block", "body"), ["pool"], "block", "s_yy")
+    placed = body.join(pools, by) if by else body.withColumn("pool", F.lit(""))
+    s_xy = sum_of(placed.select(*keys, "pool", "block", "body"), [*keys, "pool"], F.lit(0), "s_xy")
+    n_x = treated.groupBy(*keys).agg(F.count("*").alias("n"))
+    whole = sums.where("size = 0").select(*keys, F.col("s11").alias("s_xx")).join(n_x, keys)
+    e = at_pool(at_pool(whole.join(s_xy, keys), s_yy), n0)
+    n, m = F.col("n"), F.col("n_ctrl")
+    value = 2 * F.col("s_xy") / (n * m) - F.col("s_xx") / (n * n) - F.col("s_yy") / (m * m)
+    return sums, e.select(*keys, "n", "n_ctrl", value.alias("e_between"))
 
-def between_matched(vec: DataFrame, pools: DataFrame, by: list[str], control: int = 0) -> DataFrame:
-    """E of each (by, unit) against its pool of controls: ``by``, ``unit``, ``n``, ``n_ctrl``, ``e_between``.
 
-    ``vec``: cell, by, unit, v.  ``pools``: of :func:`control_pools`.
-    """
-    c = pools.join(vec.where(F.col("unit") == control).select("cell", F.col("v").alias("vc")), "cell").select(*by, "vc")
-    own = vec.where(F.col("unit") != control).select(*by, "unit", "v")
-    cross = own.join(c, by).groupBy(*by, "unit").agg(F.sum(distance("v", "vc")).alias("s_xy"))
-    inner = own.join(own.withColumnRenamed("v", "w"), [*by, "unit"]).groupBy(*by, "unit").agg(F.sum(distance("v", "w")).alias("s_xx"), F.sqrt(F.count("*")).alias("n"))
-    pool = c.join(c.withColumnRenamed("vc", "w"), by).groupBy(*by).agg(F.sum(distance("vc", "w")).alias("s_yy"), F.sqrt(F.count("*")).alias("n_ctrl"))
-    n, m = F.col("n"), F.col("n_ctrl")
-    e = 2 * F.col("s_xy") / (n * m) - F.col("s_xx") / (n * n) - F.col("s_yy") / (m * m)
-    return inner.join(cross, [*by, "unit"]).join(pool, by).select(*by, "unit", n.cast("long").alias("n"), m.cast("long").alias("n_ctrl"), e.alias("e_between"))
+def between(vec: DataFrame, by: list[str] = [], control: int = 0, least_pool: int = 8) -> DataFrame:
+    """E of each (by, unit) against its pool of controls: ``by``, ``unit``, ``n``, ``n_ctrl``, ``e_between``."""
+    return half_sums_and_effect(vec, by, control=control, least_pool=least_pool)[1]
 
 
-def reliability_curve(units: DataFrame, pairs: DataFrame, e: DataFrame, reps: int, grid: list[int], least: int = 4) -> DataFrame:
-    """rho_E of each (unit, n_half); the full split has n_half -1.
+def reliability_curve(vec: DataFrame, reps: int, grid: list[int], by: list[str] = [], control: int = 0, least: int = 4, least_pool: int = 8) -> DataFrame:
+    """rho_E of each (by, unit, n_half); the full split has n_half -1.
 
     rho_E = 1 - median over repeats of E_within / E_between, within [-1, 1]; a
     unit without an effect (E_between <= 0) gets 0.
     """
-    full = F.floor(F.col("n") / 2).cast("int")
-    grid_n = F.filter(F.array(*map(F.lit, grid)), lambda v: (v >= least) & (v < full))
-    conf = e.where(full >= least).select("unit", "e_between", F.col("n").alias("n_cells"), full.alias("full"), F.explode(F.concat(grid_n, F.array(full))).alias("size"))
-    drawn = repeats(units.join(conf.select("unit", "size"), "unit"), reps)
-    drawn = halves(drawn, ["unit", "size", "rep"], ["rep", "size", F.lit("e"), "cell"], "cell", "size")
-    left = drawn.select("unit", "size", "rep", F.col("cell").alias("i"), F.col("half").alias("hi"))
-    right = drawn.select("unit", "size", "rep", F.col("cell").alias("j"), F.col("half").alias("hj"))
-    d = pairs.join(left, ["unit", "i"]).join(right, ["unit", "j", "size", "rep"])
-    sums = d.groupBy("unit", "size", "rep").agg(
-        F.sum(F.when((F.col("hi") == 1) & (F.col("hj") == 2), F.col("d")).otherwise(0.0)).alias("s12"),
-        F.sum(F.when((F.col("hi") == 1) & (F.col("hj") == 1), F.col("d")).otherwise(0.0)).alias("s11"),
-        F.sum(F.when((F.col("hi") == 2) & (F.col("hj") == 2), F.col("d")).otherwise(0.0)).alias("s22"),
-    )
+    keys = [*by, "unit"]
+    sums, e = half_sums_and_effect(vec, by, reps, grid, control, least, least_pool)
     within = ((2 * F.col("s12") - F.col("s11") - F.col("s22")) / (F.col("size") * F.col("size"))).alias("e_within")
-    ratio = sums.select("unit", "size", "rep", within).join(conf, ["unit", "size"])
+    ratio = sums.where("size > 0").select(*keys, "size", within).join(e, keys)
     ratio = ratio.withColumn("q", F.when(F.col("e_between") > 0, F.col("e_within") / F.col("e_between")))
-    out = ratio.groupBy("unit", "size", "full", "n_cells", "e_between").agg(F.percentile("q", F.lit(0.5)).alias("med"))
+    out = ratio.groupBy(*keys, "size", F.col("n").alias("n_cells"), "e_between").agg(F.percentile("q", F.lit(0.5)).alias("med"))
     rho = F.when(F.col("e_between") <= 0, 0.0).otherwise(F.least(F.greatest(1 - F.col("med"), F.lit(-1.0)), F.lit(1.0)))
-    return out.select("unit", F.when(F.col("size") == F.col("full"), -1).otherwise(F.col("size")).alias("n_half"), (F.col("med") * F.col("e_between")).alias("e_within_med"), "e_between", rho.alias("rho_e"), "n_cells")
+    n_half = F.when(F.col("size") == F.floor(F.col("n_cells") / 2), -1).otherwise(F.col("size")).alias("n_half")
+    return out.select(*keys, n_half, (F.col("med") * F.col("e_between")).alias("e_within_med"), "e_between", rho.alias("rho_e"), "n_cells")

@@ -338,21 +338,18 @@ er AS (
     CASE WHEN e_between <= 0 THEN 0.0 ELSE least(greatest(1 - med, -1), 1) END AS rho_e, n_cells FROM el)"""
 
 
-def _energy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    vec = E.vectors(X.cells_planted(spark, d))
-    pairs = E.pair_distances(vec)
-    between = E.between(vec, pairs)
-    return between, E.reliability_curve(X.cell_units(spark, d), pairs, between, REPS, GRID)
+def _energy(spark: SparkSession, d: str) -> DataFrame:
+    return E.reliability_curve(E.vectors(X.cells_planted(spark, d)), REPS, GRID)
 
 
 @query(f"WITH {ENERGY} SELECT unit::BIGINT AS unit, n, {r6('e_between')} FROM eb")
 def energy_between(spark, d):
-    return rounded(_energy(spark, d)[0])
+    return rounded(E.between(E.vectors(X.cells_planted(spark, d))).select("unit", "n", "e_between"))
 
 
 @query(f"WITH {ENERGY} SELECT unit::BIGINT AS unit, n_half::BIGINT AS n_half, {r6('e_within_med', 'e_between', 'rho_e')}, n_cells FROM er")
 def energy_curve(spark, d):
-    return rounded(_energy(spark, d)[1])
+    return rounded(_energy(spark, d))
 
 
 @query(f"""WITH {CELLS}, vec AS (SELECT cell, cell % 7 AS context, unit, list(x ORDER BY g) AS v FROM cells GROUP BY cell, unit),
@@ -364,10 +361,37 @@ yy AS (SELECT a.context, sum(list_distance(a.v, b.v)) AS s, sqrt(count(*)) AS m
 SELECT context, unit::BIGINT AS unit, n::BIGINT AS n, m::BIGINT AS n_ctrl, {r6('2 * xy.s / (n * m) - xx.s / (n * n) - yy.s / (m * m) AS e_between')} FROM xx JOIN xy USING (context, unit) JOIN yy USING (context)""")
 def energy_matched_controls(spark, d):
     """Contexts with fewer than 8 controls of their own take all controls."""
-    context = (F.col("cell") % 7).alias("context")
-    vec = E.vectors(X.cells_planted(spark, d)).select("*", context)
-    pools = E.control_pools(X.cell_units(spark, d).select("*", context), ["context"])
-    return rounded(E.between_matched(vec, pools, ["context"]))
+    vec = E.vectors(X.cells_planted(spark, d).withColumn("context", F.col("cell") % 7), ["context"])
+    return rounded(E.between(vec, ["context"]))
+
+
+@query(f"""WITH {CELLS},
+vec AS (SELECT cell, CASE WHEN unit = 0 AND cell % 3 = 2 AND cell % 40 <> 2 THEN 0 ELSE cell % 3 END AS context, unit, list(x ORDER BY g) AS v FROM cells GROUP BY cell, unit),
+own AS (SELECT context, count(*) FILTER (unit = 0) AS k FROM vec GROUP BY context),
+pool AS (SELECT o.context, c.cell, c.v FROM own o JOIN vec c ON c.unit = 0 AND (o.k < 8 OR c.context = o.context)),
+pd AS (SELECT a.context, a.unit, a.cell AS i, b.cell AS j, list_distance(a.v, b.v) AS d FROM vec a JOIN vec b ON a.context = b.context AND a.unit = b.unit WHERE a.unit <> 0),
+xx AS (SELECT context, unit, sum(d) AS s FROM pd GROUP BY ALL),
+sz AS (SELECT context, unit, count(*) AS n FROM vec WHERE unit <> 0 GROUP BY ALL),
+xy AS (SELECT a.context, a.unit, sum(list_distance(a.v, p.v)) AS s FROM vec a JOIN pool p ON a.context = p.context WHERE a.unit <> 0 GROUP BY ALL),
+yy AS (SELECT a.context, sum(list_distance(a.v, b.v)) AS s, sqrt(count(*)) AS m FROM pool a JOIN pool b ON a.context = b.context GROUP BY ALL),
+eb AS (SELECT context, unit, n, m, 2 * xy.s / (n * m) - xx.s / (n * n) - yy.s / (m * m) AS e_between FROM sz JOIN xx USING (context, unit) JOIN xy USING (context, unit) JOIN yy USING (context)),
+ec AS (
+  SELECT context, unit, n // 2 AS size FROM eb WHERE n // 2 >= 4
+  UNION ALL SELECT context, unit, v FROM eb, (VALUES ({'), ('.join(map(str, GRID))})) t(v) WHERE v >= 4 AND v < n // 2),
+eh AS (
+  SELECT vec.cell, vec.context, vec.unit, size, rep, row_number() OVER (PARTITION BY vec.context, vec.unit, size, rep ORDER BY md5(rep || ':' || size || ':e:' || cell), cell) AS rk
+  FROM vec JOIN ec ON vec.context = ec.context AND vec.unit = ec.unit, (SELECT unnest(range(1, {REPS + 1}))::INT AS rep)),
+ew AS (
+  SELECT pd.context, pd.unit, a.size, a.rep, sum(CASE WHEN (a.rk <= a.size) = (b.rk <= b.size) THEN -d ELSE d END) / (a.size * a.size) AS e_within
+  FROM pd JOIN eh a ON pd.context = a.context AND pd.unit = a.unit AND pd.i = a.cell JOIN eh b ON pd.context = b.context AND pd.unit = b.unit AND pd.j = b.cell AND a.size = b.size AND a.rep = b.rep
+  WHERE a.rk <= 2 * a.size AND b.rk <= 2 * b.size GROUP BY pd.context, pd.unit, a.size, a.rep),
+el AS (SELECT context, unit, size, n, m, e_between, quantile_cont(CASE WHEN e_between > 0 THEN e_within / e_between END, 0.5) AS med FROM ew JOIN eb USING (context, unit) GROUP BY ALL)
+SELECT context, unit::BIGINT AS unit, CASE WHEN size = n // 2 THEN -1 ELSE size END::BIGINT AS n_half, {r6('med * e_between AS e_within_med', 'e_between', 'CASE WHEN e_between <= 0 THEN 0.0 ELSE least(greatest(1 - med, -1), 1) END AS rho_e')}, n AS n_cells FROM el""")
+def energy_context_curve(spark, d):
+    """rho_E of each unit and sample size within contexts, one of which has too few controls of its own."""
+    context = F.when((F.col("unit") == 0) & (F.col("cell") % 3 == 2) & (F.col("cell") % 40 != 2), 0).otherwise(F.col("cell") % 3)
+    vec = E.vectors(X.cells_planted(spark, d).withColumn("context", context.cast("long")), ["context"])
+    return rounded(E.reliability_curve(vec, REPS, GRID, ["context"]))
 
 
 _ENERGY_REST = ENERGY.removeprefix(CELLS).lstrip(",\n")
@@ -381,7 +405,7 @@ two AS (
 
 def _two_labels(spark: SparkSession, d: str) -> DataFrame:
     """Units with both reliabilities and the labels that follow from either."""
-    e = _energy(spark, d)[1].where("n_half = -1").select("unit", "rho_e")
+    e = _energy(spark, d).where("n_half = -1").select("unit", "rho_e")
     return _triage(spark, d).join(e, "unit", "left").withColumn("label_e", C.energy_label(F.col("rho_e"), F.col("cos_sim")))
 
 

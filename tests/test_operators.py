@@ -90,7 +90,7 @@ def test_energy_distance(cells):
     x, unit = matrix(cells), np.arange(60) % 3
     vec = E.vectors(cells)
     dist = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)).mean()
-    for r in E.between(vec, E.pair_distances(vec)).collect():
+    for r in E.between(vec).collect():
         p, c = x[unit == r.unit], x[unit == 0]
         assert math.isclose(r.e_between, 2 * dist(p, c) - dist(p, p) - dist(c, c)) and r.e_between >= 0
 
@@ -98,12 +98,37 @@ def test_energy_distance(cells):
 def test_energy_without_effect_counts_as_reliable(spark):
     rows = [(c, c % 2, 0, 1.0) for c in range(32)]
     same = spark.createDataFrame(rows, "cell long, unit int, g int, x double")
-    vec = E.vectors(same)
-    pairs = E.pair_distances(vec)
-    out = E.reliability_curve(same.select("cell", "unit"), pairs, E.between(vec, pairs), 3, [4]).collect()
+    out = E.reliability_curve(E.vectors(same), 3, [4]).collect()
     assert [(r.n_half, r.rho_e) for r in sorted(out, key=lambda r: r.n_half)] == [(-1, 0.0), (4, 0.0)]
 
 
+def test_energy_blocks_and_pools(spark):
+    """Several blocks a unit, a context that falls back to all controls, one that has its own."""
+    rng = np.random.default_rng(5)
+    rows = [(k, 0 if k % 3 else 1, 0 if k < 160 else 1, rng.normal(size=3) + (k % 3 == 0)) for k in range(700)]
+    rows = [(k, unit, c if unit or k % 20 else 1 - c, x) for k, unit, c, x in rows if unit or c == 0 or k % 70 == 1]
+    df = spark.createDataFrame([(k, unit, c, x.tolist()) for k, unit, c, x in rows], "cell long, unit int, ctx int, v array<double>")
+    sums, e = E.half_sums_and_effect(df, ["ctx"], 2, [8], least_pool=30)
+    got = {(r.ctx, r.size, r.rep): (r.s12, r.s11, r.s22) for r in sums.collect()}
+    dist = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    of = lambda unit, ctx: np.array([x for _, u, c, x in rows if u == unit and c in ctx])
+    for r in e.collect():
+        p = of(1, [r.ctx])
+        own = of(0, [r.ctx])
+        c = own if len(own) >= 30 else of(0, [0, 1])
+        assert (r.n, r.n_ctrl) == (len(p), len(c))
+        assert math.isclose(r.e_between, 2 * dist(p, c).mean() - dist(p, p).mean() - dist(c, c).mean(), rel_tol=1e-9)
+        assert math.isclose(got[r.ctx, 0, 0][1], dist(p, p).sum())
+    assert {r.n_ctrl for r in e.collect()} == {len(of(0, [0])), len(of(0, [0, 1]))}
+    drawn = E.drawn_halves(df.where("unit = 1").select("cell", "unit", "ctx"), ["ctx", "unit"], 2, [8], 4).select("ctx", F.explode("drawn").alias("d")).select("ctx", "d.*").collect()
+    where = {k: x for k, _, _, x in rows}
+    for ctx, size, rep in {(r.ctx, r.size, r.rep) for r in drawn}:
+        a, b = (np.array([where[r.cell] for r in drawn if (r.ctx, r.size, r.rep, r.half) == (ctx, size, rep, h)]) for h in (1, 2))
+        assert len(a) == len(b) == size
+        assert np.allclose(got[ctx, size, rep], [dist(a, b).sum(), dist(a, a).sum(), dist(b, b).sum()])
+    assert E.reliability_curve(df.limit(0), 2, [8], ["ctx"]).count() == 0 == E.between(df.limit(0)).count()
+
+
 def test_welch(cells):
     x, unit = matrix(cells), np.arange(60) % 3
     for r in R.welch_t(cells).collect():
