@@ -45,6 +45,20 @@ def matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(body.field("cell").to_numpy(zero_copy_only=False)), body.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(body), -1)
 
 
+def indicators(drawn: pa.Array, row: int, cells: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """(size, rep) -> which of ``cells`` are in the first and in the second half, as
+    2 x cells, from a row of (size, rep, cell, half); null: none."""
+    if not drawn[row].is_valid:
+        return {}
+    d = drawn[row].values
+    size, rep, half = (d.field(c).to_numpy(zero_copy_only=False) for c in ("size", "rep", "half"))
+    at = np.searchsorted(cells, d.field("cell").to_numpy(zero_copy_only=False))
+    names, which = np.unique(np.stack([size, rep], axis=1), axis=0, return_inverse=True)
+    h = np.zeros((len(names), 2, len(cells)))
+    h[which.ravel(), half - 1, at] = 1.0
+    return {(int(s), int(r)): h[k] for k, (s, r) in enumerate(names)}
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean, by differences: equal cells are 0 apart to the last bit."""
     return np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])

@@ -41,26 +41,13 @@ def drawn_halves(units: DataFrame, keys: list[str], reps: int, grid: list[int],
     return drawn.groupBy(*keys, B.block_number("n").alias("block")).agg(F.collect_list(F.struct("size", "rep", "cell", "half")).alias("drawn"))
 
 
-def _indicators(drawn, row: int, cells: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    """(size, rep) -> which cells are in the first and in the second half, as 2 x cells."""
-    if not drawn[row].is_valid:
-        return {}
-    d = drawn[row].values
-    size, rep, half = (d.field(c).to_numpy(zero_copy_only=False) for c in ("size", "rep", "half"))
-    at = np.searchsorted(cells, d.field("cell").to_numpy(zero_copy_only=False))
-    names, which = np.unique(np.stack([size, rep], axis=1), axis=0, return_inverse=True)
-    h = np.zeros((len(names), 2, len(cells)))
-    h[which.ravel(), half - 1, at] = 1.0
-    return {(int(s), int(r)): h[k] for k, (s, r) in enumerate(names)}
-
-
 def _half_sums(batch, row: int) -> list[list]:
     """Sums over ordered pairs of two blocks of a unit: for each (size, rep) between and
     within the halves, and, as size 0, over all pairs."""
     (a, x), (b, y) = B.matrix(batch.column("body"), row), B.matrix(batch.column("other"), row)
     d = B.distances(x, y)
     same = batch.column("block")[row] == batch.column("meets")[row]
-    ha, hb = _indicators(batch.column("drawn"), row, a), _indicators(batch.column("other_drawn"), row, b)
+    ha, hb = B.indicators(batch.column("drawn"), row, a), B.indicators(batch.column("other_drawn"), row, b)
     both = [k for k in ha if k in hb]
     out = [[0], [0], [0.0], [float(d.sum()) * (1 if same else 2)], [0.0]]
     if both:

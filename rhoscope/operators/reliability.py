@@ -1,15 +1,22 @@
 """Centroids, split-half reliability and the systematic axis.
 
-All on long cells (cell, unit, g, x).  Halves are drawn on cell ids and joined
-to the matrix once; controls are averaged once per sample size, not per unit.
+All on long cells (cell, unit, g, x).  Halves are drawn on cell ids; their means
+are matrix products over blocks of cells (:mod:`.blocks`), those of the controls
+once per sample size, not per unit.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats as S
+from . import blocks as B
 from .sampling import halves, repeats
 
 
@@ -51,29 +58,90 @@ def configurations(units: DataFrame, control: int, grid: list[int], least: int =
     return n.select(*by, "unit", F.explode(every).alias("c")).select(*by, "unit", "c.mode", "c.n")
 
 
-def split_half_r(cells: DataFrame, units: DataFrame, reps: int, grid: list[int] | None = None, topk: int | None = None, control: int = 0, by: list[str] = []) -> DataFrame:
+#: Cells of a block of half sums: 4 MB at 512 genes.
+HALF_CELLS = 1024
+_SUMS = ("k", "a", "b", "aa", "bb", "ab")
+
+
+def _half_sums(batch: pa.RecordBatch, row: int) -> list[list]:
+    """Sums over each half of every draw: indicators of halves times cells x genes."""
+    cells, x = B.matrix(batch.column("body"), row)
+    h = B.indicators(batch.column("drawn"), row, cells)
+    s = np.stack(list(h.values())) @ x
+    return [[k[0] for k in h], [k[1] for k in h], list(s[:, 0]), list(s[:, 1])]
+
+
+def half_sums(vec: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``piece``, ``size``, ``rep`` and the sums of both halves' cells, ``a`` and ``b`` (arrays of genes)."""
+    body = B.blocks(vec, [*keys, "piece"], HALF_CELLS)
+    n = vec.groupBy(*keys, "piece").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max("n").alias("n_cells"))
+    dealt = drawn.join(n, keys).groupBy(*keys, B.block_number("n_cells", HALF_CELLS).alias("block")).agg(F.collect_list(F.struct("size", "rep", "cell", "half")).alias("drawn"))
+    sums = B.by_row(body.join(dealt, [*keys, "block"]), [*keys, "piece"], "size int, rep int, a array<double>, b array<double>", _half_sums)
+    add = lambda xs: F.aggregate(F.slice(xs, 2, F.size(xs)), xs[0], lambda x, y: F.zip_with(x, y, lambda p, q: p + q))
+    out = sums.groupBy(*keys, "piece", "size", "rep").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # an array for each block of the unit
+    return out.withColumn("a", add(F.col("a"))).withColumn("b", add(F.col("b")))
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the deltas of both halves, over all genes of a piece and over the masked ones:
+    count, sums, squares and product."""
+    for batch in batches:
+        got = []
+        for row in range(batch.num_rows):
+            a, b, ca, cb, top = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("a", "b", "ca", "cb", "top"))
+            n = abs(batch.column("size")[row].as_py())
+            u, v = (a - ca) / n, (b - cb) / n
+            got.append([m for x, y in ((u, v), (u[top], v[top])) for m in (float(len(x)), x.sum(), y.sum(), x @ x, y @ y, x @ y)])
+        kept = [c for c in batch.schema.names if c not in ("a", "b", "ca", "cb", "top")]
+        new = np.array(got, dtype=float).reshape(-1, 2 * len(_SUMS)).T
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, new)], names=[*kept, *(f"{c}_{m}" for m in ("all", "top") for c in _SUMS)])
+
+
+def _pearson_of(mode: str):
+    """Correlation from summed moments; 0 where a side does not vary."""
+    k, a, b, aa, bb, ab = (F.sum(f"{c}_{mode}") for c in _SUMS)
+    va, vb, cov = aa * k - a * a, bb * k - b * b, ab * k - a * b
+    flat = (va <= 1e-14 * aa * k) | (vb <= 1e-14 * bb * k)
+    return F.when(flat | (k < 2), 0.0).otherwise(F.least(F.greatest(cov / F.sqrt(va) / F.sqrt(vb), F.lit(-1.0)), F.lit(1.0)))
+
+
+def split_half_r(cells: DataFrame, units: DataFrame, reps: int, grid: list[int] | None = None, topk: int | None = None, control: int = 0, by: list[str] = [], pieces: int = 1) -> DataFrame:
     """Correlation of two independent half-sample deltas for every
-    (by, unit, mode, n, gene_mode, rep); units and controls meet within ``by``."""
+    (by, unit, mode, n, gene_mode, rep); units and controls meet within ``by``.
+
+    Half means are products of an indicator matrix (draws x cells) with the cells, by
+    block of cells and ``pieces`` of the genes (some 512 genes in each are enough), so
+    a repeat is a row of a product, not a row for each cell and gene.  Matrices are
+    dense within ``by``, ``units`` are their cells; keys are not null.
+    """
     conf = configurations(units, control, grid or [], by=by)
-    arm = [*by, "mode", "n", "rep"]
-    treated = repeats(units.join(conf, [*by, "unit"]), reps)
-    treated = halves(treated, [*arm, "unit"], ["rep", "mode", "n", F.lit("t"), "cell"], "cell", "n")
-    pool = units.where(F.col("unit") == control).select(*by, "cell")
-    pool = repeats(pool.join(conf.select(*by, "mode", "n").distinct(), by) if by else pool.crossJoin(F.broadcast(conf.select("mode", "n").distinct())), reps)  # sizes of the grid
-    ctrl = halves(pool, arm, ["rep", "mode", "n", F.lit("c"), "cell"], "cell", "n")
-    x = cells.select("cell", "g", "x")
-    t = treated.join(x, "cell").groupBy(*arm, "unit", "half", "g").agg(F.avg("x").alias("mt"))
-    c = ctrl.join(x, "cell").groupBy(*arm, "half", "g").agg(F.avg("x").alias("mc"))
-    d = t.join(c, [*arm, "half", "g"]).withColumn("d", F.col("mt") - F.col("mc"))
-    both = d.groupBy(*arm, "unit", "g").agg(F.max(F.when(F.col("half") == 1, F.col("d"))).alias("a"), F.max(F.when(F.col("half") == 2, F.col("d"))).alias("b"))
-    keys = [*by, "unit", "mode", "n", "rep"]
-    modes = [(F.lit(True), "all_genes")]
-    if topk:  # genes of the mask are few: both gene modes come of one pass over the halves
-        both = both.join(top_expressed(cells, topk, control, by).withColumn("top", F.lit(True)), [*by, "g"], "left")
-        modes.append((F.col("top"), "top_expressed"))
-    wide = both.groupBy(*keys).agg(*[S.pearson(F.when(hit, F.col("a")), F.when(hit, F.col("b"))).alias(m) for hit, m in modes])
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("gene_mode"), F.col(m).alias("r")) for _, m in modes])).alias("e")
-    return wide.select(*keys, each).select(*keys, "e.r", "e.gene_mode")
+    keys = [*by, "unit"]
+    treated = repeats(units.join(conf, keys), reps)
+    treated = halves(treated, [*keys, "mode", "n", "rep"], ["rep", "mode", "n", F.lit("t"), "cell"], "cell", "n")
+    pool = units.where(F.col("unit") == control).select(*keys, "cell")
+    asked = conf.select(*by, "mode", "n").distinct()
+    pool = repeats(pool.join(asked, by) if by else pool.crossJoin(F.broadcast(asked)), reps)  # sizes of the grid
+    ctrl = halves(pool, [*by, "mode", "n", "rep"], ["rep", "mode", "n", F.lit("c"), "cell"], "cell", "n")
+    size = F.when(F.col("mode") == "max", -F.col("n")).otherwise(F.col("n")).cast("int").alias("size")
+    drawn = treated.select(*keys, "cell", size, "rep", "half").unionByName(ctrl.select(*keys, "cell", size, "rep", "half"))
+    piece = F.pmod(F.xxhash64("g"), F.lit(pieces)).cast("int").alias("piece")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("g", "x"))), lambda s: s["x"])
+    vec = cells.groupBy("cell", *keys, piece).agg(ordered.alias("v"))
+    sums = half_sums(vec, drawn, keys)
+    c = sums.where(F.col("unit") == control).select(*by, "piece", "size", "rep", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    both = sums.where(F.col("unit") != control).join(c, [*by, "piece", "size", "rep"])
+    genes = cells.where(F.col("unit") == control).select(*by, "g").distinct()
+    top = genes.join(top_expressed(cells, topk or 0, control, by).withColumn("top", F.lit(True)), [*by, "g"], "left")
+    mask = top.groupBy(*by, piece).agg(F.transform(F.array_sort(F.collect_list(F.struct("g", F.coalesce("top", F.lit(False)).alias("top")))), lambda s: s["top"]).alias("top"))
+    both = both.join(mask, [*by, "piece"])
+    kept = [*keys, "piece", "size", "rep"]
+    both = both.select(*kept, "a", "b", "ca", "cb", "top")
+    schema = T.StructType([*(both.schema[c] for c in kept), *(T.StructField(f"{s}_{m}", T.DoubleType()) for m in ("all", "top") for s in _SUMS)])
+    wide = both.mapInArrow(_moments, schema).groupBy(*keys, "size", "rep").agg(_pearson_of("all").alias("all_genes"), _pearson_of("top").alias("top_expressed"))
+    modes = ["all_genes", "top_expressed"] if topk else ["all_genes"]
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("gene_mode"), F.col(m).alias("r")) for m in modes])).alias("e")
+    mode = F.when(F.col("size") < 0, "max").otherwise("fixed").alias("mode")
+    return wide.select(*keys, mode, F.abs("size").alias("n"), "rep", each).select(*keys, "mode", "n", "rep", "e.r", "e.gene_mode")
 
 
 def reliability_long(r: DataFrame, by: list[str] = []) -> DataFrame:

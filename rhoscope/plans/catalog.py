@@ -28,7 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-REPS, TOPK, BOOT, PERMS, FDR = 20, 16, 1000, 1000, 0.05
+REPS, TOPK, BOOT, PERMS, FDR = 100, 16, 1000, 1000, 0.05
 #: Sizes of a half and of a pilot as in the reference; a unit takes those it has cells for.
 GRID, PILOTS = [8, 16, 32, 64, 128, 256, 512], [*range(10, 99, 2)]
 BASELINE = "m1"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections import Counter
@@ -86,6 +87,27 @@ def test_split_half_bounds(cells):
     assert all(0 <= r.sb_from_median <= 1 and r.min_r <= r.median_r <= r.max_r for r in long)
 
 
+def test_half_sums_by_blocks_and_pieces(spark):
+    """More cells than a block has and genes in pieces give the correlations of plain loops."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2600, 5)) + np.arange(2600)[:, None] % 2 * np.arange(5)
+    rows = [(k, k % 2, g, float(x[k, g])) for k in range(2600) for g in range(5)]
+    df = spark.createDataFrame(rows, "cell long, unit int, g int, x double")
+    units = df.select("cell", "unit").distinct()
+    show = lambda r: sorted((t.mode, t.n, t.gene_mode, t.rep, round(t.r, 9)) for t in r.collect())
+    one = show(R.split_half_r(df, units, 2, [4], 3))
+    assert len(one) == 2 * 2 * 2 and one == show(R.split_half_r(df, units, 2, [4], 3, pieces=7))
+    md5 = lambda *k: hashlib.md5(":".join(map(str, k)).encode()).hexdigest()
+    for mode, n, genes, rep, r in one:
+        top = slice(None) if genes == "all_genes" else np.argsort(-x[::2].mean(axis=0))[:3]
+        half = {}
+        for unit, salt in ((1, "t"), (0, "c")):
+            ids = sorted(range(unit, 2600, 2), key=lambda k: md5(rep, mode, n, salt, k))
+            half[unit] = [x[ids[:n]].mean(axis=0), x[ids[n : 2 * n]].mean(axis=0)]
+        a, b = (half[1][k] - half[0][k] for k in (0, 1))
+        assert math.isclose(r, np.corrcoef(a[top], b[top])[0, 1], abs_tol=1e-8)
+
+
 def test_energy_distance(cells):
     x, unit = matrix(cells), np.arange(60) % 3
     vec = E.vectors(cells)
