@@ -168,6 +168,19 @@ def reliability_wide(long: DataFrame, modes: tuple[str, ...] = ("all_genes", "to
     return long.groupBy(*by, "unit").agg(*parts)
 
 
+def with_failures(wide: DataFrame, units: DataFrame, control: int = 0, least: int = 4, by: list[str] = []) -> DataFrame:
+    """``wide`` with a row for every (by, unit): ``cells``, ``ctrl_cells`` and ``status``, which
+    is OK or says why a unit has no reliability (its other columns are null)."""
+    sizes = units.groupBy(*by, "unit").agg(F.count("*").alias("cells"))
+    ctrl = sizes.where(F.col("unit") == control).select(*by, F.col("cells").alias("ctrl_cells"))
+    treated = sizes.where(F.col("unit") != control)
+    every = treated.join(ctrl, by, "left") if by else treated.crossJoin(F.broadcast(ctrl.agg(F.max("ctrl_cells").alias("ctrl_cells"))))  # one row
+    short = lambda what: F.lit(f"ERROR: fewer than {2 * least} {what}")
+    status = F.when(F.col("done"), "OK").when(F.col("cells") < 2 * least, short("cells")).otherwise(short("control cells"))
+    out = every.join(wide.withColumn("done", F.lit(True)), [*by, "unit"], "left")
+    return out.withColumn("ctrl_cells", F.coalesce("ctrl_cells", F.lit(0))).withColumn("status", status).drop("done")
+
+
 def n_star(gene_mode: str):
     return F.min(F.when((F.col("mode") == "fixed") & (F.col("gene_mode") == gene_mode) & (F.col("median_r") >= 0.5), F.col("n"))).cast("double")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -61,26 +64,22 @@ def describe_source(df: DataFrame, show: int = 30) -> DataFrame:
     kinds = dict(df.dtypes)
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(kinds[c]).alias("type"), F.col(c).cast("string").alias("value")) for c in df.columns])).alias("v")).select("v.*")
     counted = long.groupBy("name", "type", "value").agg(F.count("*").alias("n"))
-    w_first = F.row_number().over(_by_value())
-    ranked = counted.withColumn("k", w_first)
-    return ranked.groupBy("name", "type").agg(
-        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-        F.count("value").alias("n_distinct"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= show, F.col("value")))), ",").alias("sample"),
+    totals = counted.groupBy("name", "type").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count("value").alias("n_distinct"),
     )
+    # A limit on the row number is applied in each task before the exchange: what meets in one task is bounded.
+    w = Window.partitionBy("name").orderBy("value")
+    first = counted.where("value is not null").select("name", "value").withColumn("k", F.row_number().over(w)).where(F.col("k") <= show)
+    shown = first.groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("sample"))
+    return totals.join(shown, "name", "left").withColumn("sample", F.coalesce("sample", F.lit("")))
 
 
-def _by_value():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("name").orderBy(F.col("value").asc_nulls_last())
-
-
-def write_csv(df: DataFrame, path: str, decimals: int | None = None) -> None:
+def write_csv(df: DataFrame, path: str, decimals: int | None = None, encoding: str = "UTF-8") -> None:
     """CSV with a header; ``decimals``: fractions are written with so many digits."""
     if decimals is not None:
         shown = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{decimals}f", F.col(c).cast("double"))).alias(c)
         df = df.select(*[shown(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
 
 
 def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -106,6 +105,17 @@ def build_if_missing(spark: SparkSession, path: str, build) -> DataFrame:
     return df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``); in
+    local mode, where that is unset, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rhoscope-")
+    return f"{base}/rhoscope-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute now what several branches of a plan read: checkpointed in the session's
     shared folder where it has one, else kept (and computed again where lost)."""

@@ -9,17 +9,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from rhoscope.plans import catalog, heldout, reports  # noqa: F401
+from rhoscope.plans import catalog, heldout, inputs, reports  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 CHECKED = [
     "pseudobulk_centroids", "split_half_reliability", "triage_labels", "triage_summary", "score_fallback_join", "rank_all_vs_specific", "bootstrap_ranks",
     "stratified_split", "welch_topk", "cohen_kappa", "json_upsert", "label_keys", "report_rank_comparison", "threshold_grid",
-    "wilcoxon", "saturation_fit_numeric", "edge_bins", "control_label_choice", "context_reliability_wide", "holdout_skips", "pool_scaling", "bootstrap_ranks_by_dataset", "energy_validation", "energy_context_curve", "energy_matched_controls", "expression_metrics",
+    "wilcoxon", "saturation_fit_numeric", "edge_bins", "control_label_choice", "context_reliability_wide", "holdout_skips", "pool_scaling", "bootstrap_ranks_by_dataset", "energy_validation", "energy_context_curve", "energy_matched_controls", "reliability_status", "describe_documents", "csv_round_trip", "json_documents", "combined_inputs", "expression_metrics",
 ]
-#: Python on Arrow batches or groups: dense algebra.
+#: Grouped Python: dense algebra.
 PYTHON = {"ridge_predictor", "fast_enrichment", "holdout_models", "model_arm_scores", "model_grid", "model_pool_scaling", "model_strategies"}
-DENSE = PYTHON | {n for n in catalog.QUERIES if n.startswith("energy")}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 
@@ -54,8 +53,8 @@ PLANNED = [n for n, q in catalog.QUERIES.items() if q.__module__ != heldout.__na
 @pytest.mark.parametrize("name", sorted(PLANNED))
 def test_plan(spark, name):
     plan = catalog.QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
-    if name not in DENSE:
-        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    if name not in PYTHON:  # matrix products over blocks (MapInArrow) are the only Python
+        assert not any(node in plan for node in ("EvalPython", "FlatMapGroups", "InPandas"))
     assert "CartesianProduct" not in plan
 
 
