@@ -16,6 +16,7 @@ from ..operators import energy as E
 from ..operators import enrichment as G
 from ..operators import fastnull as GF
 from ..operators import inference as I
+from ..operators import panels as P
 from ..operators import reliability as R
 from ..operators import retrain as T
 from ..operators import sampling as W
@@ -902,20 +903,36 @@ def fast_enrichment(spark, d):
     return rounded(GF.fast_enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", genes=LEAST_GENES))
 
 
-@query(f"""WITH {ENRICH}, s AS (SELECT * FROM en WHERE fdr < {FDR})
+#: The same with terms that hold what was planted in the cells.
+PLANTED = ENRICH.replace(SETS, SETS[:-1] + """ UNION ALL SELECT 'P', g FROM (SELECT unnest(range(0, 64)) AS g) WHERE (5 * g) % 7 >= 5 UNION ALL SELECT 'Q' || (g % 11), g FROM (SELECT unnest(range(0, 64)) AS g))""")
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    return G.enrich(_ranked(spark, d), X.planted_sets(spark), ["unit", "side"], "v", PERMS, genes=LEAST_GENES)
+
+
+@query(f"""WITH {PLANTED}, s AS (SELECT * FROM en WHERE fdr < {FDR})
 SELECT term, count(DISTINCT unit) FILTER (side = 'shared') AS n_shared, count(DISTINCT unit) FILTER (side = 'specific') AS n_specific, count(DISTINCT unit) FILTER (side = 'specific') > 0 AND count(DISTINCT unit) FILTER (side = 'shared') = 0 AS specific_only FROM s GROUP BY term""")
 def program_sets(spark, d):
-    return rounded(G.programs(G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS, genes=LEAST_GENES), "side", FDR))
+    return rounded(G.programs(_planted(spark, d), "side", FDR))
+
+
+@query(f"""WITH {PLANTED}, n AS (SELECT term, count(DISTINCT unit) FILTER (side = 'specific') AS n_units, bool_or(side = 'shared') AS shared FROM en WHERE fdr < {FDR} GROUP BY term),
+c AS (SELECT * FROM n WHERE n_units > 0 ORDER BY n_units DESC, term LIMIT 300)
+SELECT term, n_units, row_number() OVER (ORDER BY n_units DESC, term) AS place FROM c WHERE NOT shared ORDER BY n_units DESC, term LIMIT 11""")
+def specific_terms(spark, d):
+    """Of the 300 commonest terms of the residuals the first 11 that the shared axis lacks."""
+    return rounded(P.specific_terms(_planted(spark, d), "side", FDR))
 
 
-@query(f"""WITH {ENRICH}, qr AS (SELECT unit % 3 AS context, count(*) AS n_reliable FROM good GROUP BY ALL HAVING count(*) >= 2),
-qt AS (SELECT unit % 3 AS context, count(DISTINCT term) AS n_terms FROM en WHERE side = 'specific' AND fdr < 0.9 GROUP BY ALL)
+@query(f"""WITH {PLANTED}, qr AS (SELECT unit % 3 AS context, count(*) AS n_reliable FROM good GROUP BY ALL HAVING count(*) >= 2),
+qt AS (SELECT unit % 3 AS context, count(DISTINCT term) AS n_terms FROM en WHERE side = 'specific' AND fdr < {FDR} GROUP BY ALL)
 SELECT context::BIGINT AS context, n_reliable, n_terms FROM qr JOIN qt USING (context)""")
 def qualifying_contexts(spark, d):
-    """Contexts are residues of the unit; cuts as loose as 2 units and 0.9, for few units and no planted term."""
+    """Contexts are residues of the unit, two units in place of ten, as the table has nine."""
     context = (F.col("unit") % 3).alias("context")
-    found = G.enrich(_ranked(spark, d), X.gene_sets(spark), ["unit", "side"], "v", PERMS, genes=LEAST_GENES).where("side = 'specific'").select(context, "term", "fdr")
-    return rounded(G.qualifying(_rho(spark, d).where("rho >= 0.5").select(context, "unit"), found, ["context"], 2, 0.9))
+    found = _planted(spark, d).where("side = 'specific'").select(context, "term", "fdr")
+    return rounded(G.qualifying(_rho(spark, d).where("rho >= 0.5").select(context, "unit"), found, ["context"], 2, FDR))
 
 
 @query(f"""WITH {SCORES}, swap AS (SELECT dataset, unit, min(cls) AS cls FROM uc WHERE rho >= 0.8 GROUP BY ALL)

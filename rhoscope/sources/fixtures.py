@@ -69,3 +69,12 @@ def gene_sets(spark: SparkSession) -> DataFrame:
     """16 synthetic terms over the genes: ``term``, ``g``."""
     t = spark.range(16).select(F.col("id").alias("k")).crossJoin(spark.range(GENES).select(F.col("id").cast("int").alias("g")))
     return t.where((F.col("g") * (F.col("k") + 3) + F.col("k")) % 8 == 0).select(F.concat(F.lit("T"), "k").alias("term"), "g")
+
+
+def planted_sets(spark: SparkSession) -> DataFrame:
+    """:func:`gene_sets`, a term of the genes that the shared effect raises, and terms of
+    genes that one unit's own effect raises together."""
+    genes = spark.range(GENES).select(F.col("id").cast("int").alias("g"))
+    shared = genes.where((5 * F.col("g")) % 7 >= 5).select(F.lit("P").alias("term"), "g")
+    own = genes.select(F.concat(F.lit("Q"), F.col("g") % 11).alias("term"), "g")
+    return gene_sets(spark).unionByName(shared).unionByName(own)

@@ -23,9 +23,10 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | st
 
 
 def read_stems(spark: SparkSession, pattern: str, schema: StructType | str | None = None, skip: str = "(summary|metadata)") -> DataFrame:
-    """Union of all CSV files of a glob with the file's stem as ``dataset``."""
+    """Union of all CSV files of a glob with the file's stem as ``dataset``; a folder
+    ``stem.csv`` of parts, as Spark writes it, is one file."""
     df = read_csv(spark, pattern, schema)
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.csv(?:/part-[^/]+)?$", 1)
     return df.select("*", stem.alias("dataset")).where(~F.col("dataset").rlike(skip))
 
 
