@@ -2,8 +2,9 @@
 
 Templates are word sequences with mandatory key phrases.  Over the whole corpus
 the document frequency of every template word is counted.  Each file looks up
-its own highest-IDF licence words (and the anchor, the rarest word, of every
-phrase that has to be reported) in the positional index of the templates.  Every
+its own highest-IDF licence words (and the anchors, the rarest words, of every
+template's mandatory phrases, as many as have to agree) in the positional index of
+the templates: no place that holds the mandatory phrases is lost.  Every
 posting proposes an alignment (template, start); proposals are sorted once, so
 that alignments on which enough words agree are runs of equal numbers, and of
 those the mandatory key phrases are verified word by word.  Everything after the
@@ -132,9 +133,9 @@ def ranked_words(idf: dict[str, float]) -> list[str]:
     return sorted(idf, key=lambda w: (-idf[w], w))
 
 
-def anchors(templates: tuple[Template, ...], ranked: list[str]) -> list[str]:
-    """The rarest word of the templates' mandatory phrases."""
-    return sorted({min((w for at, n in t.keys for w in t.words[at : at + n]), key=ranked.index) for t in templates})
+def anchors(templates: tuple[Template, ...], ranked: list[str], each: int = 1) -> list[str]:
+    """The ``each`` rarest words of the templates' mandatory phrases."""
+    return sorted({w for t in templates for w in sorted({w for at, n in t.keys for w in t.words[at : at + n]}, key=ranked.index)[:each]})
 
 
 def scan_licenses(df: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, rare_words: int = 12, agree: int = 2) -> DataFrame:
@@ -160,8 +161,9 @@ def scan_licenses(df: DataFrame, text_col: str = "text", templates: tuple[Templa
     out = df.withColumn(words, words_of(F.col(text_col)))
     w, c = F.col(words), F.col(prop)
     mine = F.array_intersect(F.array(*map(F.lit, ranked)), w)  # the file's licence words, rarest first
-    # Always looked up, so that no reported phrase is lost.
-    must_look = F.array(*map(F.lit, anchors(tuple(t for t in templates if t.base), ranked)))
+    # Always looked up, so that whatever holds its mandatory phrases is proposed often enough.
+    base, own = (tuple(t for t in templates if t.base == b) for b in (True, False))
+    must_look = F.array(*map(F.lit, sorted({*anchors(base, ranked), *anchors(own, ranked, agree)})))
     # A file without the rarest word of any mandatory phrase has no licence.
     able = F.arrays_overlap(w, F.array(*map(F.lit, anchors(templates, ranked))))
     out = out.withColumn(look, F.when(able, F.array_union(F.slice(mine, 1, rare_words), F.array_intersect(must_look, mine))).otherwise(F.expr("cast(array() as array<string>)")))

@@ -101,6 +101,9 @@ def test_bpe_joins_agree(text, sizes):
 
 def test_license_scan(spark, corpus):
     rows = [*corpus, (50, "Licensed under the Apache License, Version 2.0. mit-license MIT"), (51, "general public general public license gnu"), (52, "Released under the MIT License. " * 3)]
+    # More licence words than the twelve that a file looks up: whole notices one after the other.
+    rows.append((53, " and ".join(" ".join(t.words) for t in licenses.TEMPLATES)))
+    rows.append((54, " ".join(w for t in licenses.TEMPLATES for w in t.words[::-1]) + " licensed under cc by 4 0 and the mozilla public license"))
     phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
     out = licenses.scan_licenses(frame(spark, rows)).select("doc_id", "n_words", "matches").collect()
     for r, (i, t) in zip(sorted(out, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0]), strict=True):
@@ -111,21 +114,16 @@ def test_license_scan(spark, corpus):
     labels = {r.doc_id: {m.label for m in r.matches} for r in out}
     assert {"apache", "apache-2.0", "mit"} <= labels[50] and labels[51] == {"gpl"} and "mit-notice" in labels[52]
     assert licenses.scan_licenses(frame(spark, []), "text").count() == 0
-    # The method's own labels: all alignments tried, agreement counted on what the file looks up.
+    # All labels against the full template scan: every alignment that holds the mandatory phrases.
     idf = licenses.licence_idf(frame(spark, rows), "text")
     lists = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) for _, t in rows]
     assert all(abs(v - math.log((1 + len(rows)) / (1 + sum(w in x for x in lists)))) < 1e-12 for w, v in idf.items())
-    ranked = licenses.ranked_words(idf)
-    must = licenses.anchors(tuple(t for t in licenses.TEMPLATES if t.base), ranked)
     for r, w in zip(sorted(out, key=lambda r: r.doc_id), [x for _, x in sorted(zip([i for i, _ in rows], lists, strict=True), key=lambda p: p[0])], strict=True):
-        mine = [x for x in ranked if x in w]
-        look = {*mine[:12], *(x for x in must if x in w)}
         want = []
         for t in licenses.TEMPLATES:
             for at in range(-len(t.words), len(w)):
                 fits = [0 <= at + p < len(w) and w[at + p] == x for p, x in enumerate(t.words)]
-                agreed = sum(f and x in look for f, x in zip(fits, t.words, strict=True))
-                if agreed >= (1 if t.base else 2) and all(fits[p] for k, n in t.keys for p in range(k, k + n)):
+                if all(fits[p] for k, n in t.keys for p in range(k, k + n)):
                     want.append((t.label, at, round(sum(fits) / len(fits), 9)))
         assert sorted(want) == sorted((m.label, m.start, round(m.fraction, 9)) for m in r.matches)
 
