@@ -1,8 +1,9 @@
 """Energy distance and the reliability curve built on it.
 
-Distances of a unit's cells are a matrix in blocks (:mod:`.blocks`); the sums that
-all repeats and sample sizes need are products of it with indicators of the halves,
-so neither pairs of cells nor pairs and repeats are rows.  A unit meets the controls
+Distances of a unit's cells are a matrix in blocks (:mod:`.blocks`), each a product of
+matrices; the sums that all repeats and sample sizes need are products of it with
+indicators of the halves, or, for draws that are few among the pairs, sums of a part of
+it, so neither pairs of cells nor pairs and repeats are rows.  A unit meets the controls
 of its own context where there are enough, else all controls; the distances within
 a pool of controls are computed once, however many contexts use it.
 
@@ -12,6 +13,8 @@ row; an empty table gives none.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,42 +37,98 @@ def sizes_of(n: Column, grid: list[int], least: int) -> Column:
 
 
 def drawn_halves(units: DataFrame, keys: list[str], reps: int, grid: list[int], least: int) -> DataFrame:
-    """Halves of every unit by block: ``keys``, ``block``, ``drawn`` (size, rep, cell, half)."""
-    n = units.groupBy(*keys).agg(F.count("*").alias("n"))
-    drawn = repeats(units.join(n.select(*keys, "n", F.explode(sizes_of(F.col("n"), grid, least)).alias("size")), keys), reps)
-    drawn = halves(drawn, [*keys, "size", "rep"], ["rep", "size", F.lit("e"), "cell"], "cell", "size")
-    return drawn.groupBy(*keys, B.block_number("n").alias("block")).agg(F.collect_list(F.struct("size", "rep", "cell", "half")).alias("drawn"))
+    """Halves of every unit: ``keys``, ``drawn`` (size, rep, cell, half), a row for each of
+    them and, where ``units`` has it, ``block``."""
+    at = [c for c in units.columns if c == "block"]
+    rows = _drawn(units, keys, reps, grid, least)
+    return rows.groupBy(*keys, "size", "rep", *at).agg(F.collect_list(F.struct("size", "rep", "cell", "half")).alias("drawn")).drop("size", "rep")
+
+
+def _drawn(units: DataFrame, keys: list[str], reps: int, grid: list[int], least: int) -> DataFrame:
+    """A row for each cell of each half: the columns of ``units``, ``size``, ``rep``, ``half``."""
+    n = units.groupBy(*keys).agg(F.count("*").alias("cells"))
+    sizes = n.select(*keys, F.explode(sizes_of(F.col("cells"), grid, least)).alias("size"))
+    drawn = repeats(B.spread(units.join(sizes, keys), ["cell", "size"]), reps)
+    return halves(drawn, [*keys, "size", "rep"], ["rep", "size", F.lit("e"), "cell"], "cell", "size")
+
+
+#: Draws with fewer than this share of two blocks' pairs are summed from their pairs alone.
+SPARSE = 1 / 64
+#: Draws whose indicators are multiplied at once.
+AT_ONCE = 128
+
+
+#: A block as it meets others: bytes, as an array costs its elements in every copy.
+_PACKED = {"cells": "int", "x": "binary", "names": "binary", "ends": "binary", "at": "binary"}
+
+
+def _pack(batch, row: int) -> list[list]:
+    """A block's matrix, and the places of its cells in the halves of all draws."""
+    cells, x = B.matrix(batch.column("body"), row)
+    h = B.places(batch.column("drawn"), row, cells)
+    sides = [at for pair in h.values() for at in pair]
+    draws = (list(h), np.cumsum([len(at) for at in sides]), np.concatenate(sides) if sides else [])
+    return [[len(cells)], [x.astype(float).tobytes()], *([np.asarray(v, dtype=np.int32).tobytes()] for v in draws)]
+
+
+def _packed(body: DataFrame, drawn: DataFrame | None, keys: list[str]) -> DataFrame:
+    """``keys``, ``block``, ``count`` and the columns of ``_PACKED``."""
+    none = F.lit(None).cast("array<struct<size:int,rep:int,first:array<bigint>,second:array<bigint>>>").alias("drawn")
+    own = body.select("*", none) if drawn is None else body.join(drawn, [*keys, "block"], "left")
+    return B.by_row(own, [*keys, "block", "count"], ", ".join(f"{c} {t}" for c, t in _PACKED.items()), _pack)
+
+
+def _other(packed: DataFrame, keys: list[str], columns: Iterable[str]) -> DataFrame:
+    """The block that is met: its columns as ``other_``."""
+    return packed.select(*keys, "block", *[F.col(c).alias(f"other_{c}") for c in columns])
+
+
+def _matrix(batch, row: int, of: str = "") -> np.ndarray:
+    return np.frombuffer(batch.column(f"{of}x")[row].as_buffer()).reshape(batch.column(f"{of}cells")[row].as_py(), -1)
+
+
+def _draws(batch, row: int, of: str = "") -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """(size, rep) -> places of the first and of the second half."""
+    names, ends, at = (np.frombuffer(batch.column(of + c)[row].as_buffer(), dtype=np.int32) for c in ("names", "ends", "at"))
+    sides = np.split(at, ends[:-1])
+    return {(s, r): (sides[2 * k], sides[2 * k + 1]) for k, (s, r) in enumerate(names.reshape(-1, 2).tolist())}
 
 
 def _half_sums(batch, row: int) -> list[list]:
     """Sums over ordered pairs of two blocks of a unit: for each (size, rep) between and
     within the halves, and, as size 0, over all pairs."""
-    (a, x), (b, y) = B.matrix(batch.column("body"), row), B.matrix(batch.column("other"), row)
-    d = B.distances(x, y)
+    d = B.distances(_matrix(batch, row), _matrix(batch, row, "other_"))
     same = batch.column("block")[row] == batch.column("meets")[row]
-    ha, hb = B.indicators(batch.column("drawn"), row, a), B.indicators(batch.column("other_drawn"), row, b)
+    ha, hb = _draws(batch, row), _draws(batch, row, "other_")
+    cells = lambda h: len(h[0]) + len(h[1])
     both = [k for k in ha if k in hb]
+    few = [k for k in both if cells(ha[k]) * cells(hb[k]) < SPARSE * d.size]
+    many = [k for k in both if cells(ha[k]) * cells(hb[k]) >= SPARSE * d.size]
     out = [[0], [0], [0.0], [float(d.sum()) * (1 if same else 2)], [0.0]]
-    if both:
-        p, q = np.stack([ha[k] for k in both]), np.stack([hb[k] for k in both])
-        s = np.einsum("khj,klj->khl", p @ d, q)  # halves of one block x halves of the other
+
+    def add(keys: list[tuple[int, int]], s: np.ndarray) -> None:
+        """``s``: halves of one block x halves of the other, for each key."""
         s12, s11, s22 = (s[:, 0, 1], s[:, 0, 0], s[:, 1, 1]) if same else (s[:, 0, 1] + s[:, 1, 0], 2 * s[:, 0, 0], 2 * s[:, 1, 1])
-        new = [[k[0] for k in both], [k[1] for k in both], s12.tolist(), s11.tolist(), s22.tolist()]
-        out = [o + n for o, n in zip(out, new, strict=True)]
+        for o, new in zip(out, ([k[0] for k in keys], [k[1] for k in keys], s12.tolist(), s11.tolist(), s22.tolist()), strict=True):
+            o.extend(new)
+
+    for at in range(0, len(many), AT_ONCE):
+        keys = many[at : at + AT_ONCE]
+        p, q = B.indicators([ha[k] for k in keys], d.shape[0]), B.indicators([hb[k] for k in keys], d.shape[1])
+        add(keys, np.einsum("khj,klj->khl", (p @ d).reshape(len(keys), 2, -1), q.reshape(len(keys), 2, -1)))
+    if few:
+        add(few, np.array([[[d[np.ix_(i, j)].sum() for j in hb[k]] for i in ha[k]] for k in few]))
     return out
 
 
 def _all_pairs(batch, row: int) -> list[list]:
-    (_, x), (_, y) = B.matrix(batch.column("body"), row), B.matrix(batch.column("other"), row)
-    return [[float(B.distances(x, y).sum())]]
+    return [[float(B.distances(_matrix(batch, row), _matrix(batch, row, "other_")).sum())]]
 
 
-def _halves_of_pairs(body: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
-    own = body.join(drawn, [*keys, "block"], "left")
-    count = F.ceil(F.col("n") / B.CELLS)
-    right = own.select(*keys, "block", F.col("body").alias("other"), F.col("drawn").alias("other_drawn"))
-    pairs = B.beside_each(own, right, keys, "block", count)
-    sums = B.by_row(pairs.select(*keys, "block", "meets", "body", "other", "drawn", "other_drawn"), keys, "size int, rep int, s12 double, s11 double, s22 double", _half_sums)
+def _halves_of_pairs(own: DataFrame, keys: list[str]) -> DataFrame:
+    pairs = B.beside_each(own, _other(own, keys, _PACKED), keys, "block", F.col("count"))
+    columns = [c for of in ("", "other_") for c in (of + p for p in _PACKED)]
+    sums = B.by_row(pairs.select(*keys, "block", "meets", *columns), keys, "size int, rep int, s12 double, s11 double, s22 double", _half_sums)
     return sums.groupBy(*keys, "size", "rep").agg(*[F.sum(c).alias(c) for c in ("s12", "s11", "s22")])
 
 
@@ -96,30 +155,32 @@ def half_sums_and_effect(vec: DataFrame, by: list[str] = [], reps: int = 0, grid
     diagonal included).  ``vec``: ``cell``, ``by``, ``unit``, ``v``; keys are not null."""
     keys = [*by, "unit"]
     treated = vec.where(F.col("unit") != control)
-    body = B.blocks(treated, keys)
-    drawn = drawn_halves(treated.select("cell", *keys), keys, reps, grid, least)
-    sums = _halves_of_pairs(body, drawn, keys)
+    sizes = B.counted(treated, keys)
+    dealt = treated.select("cell", *keys).join(sizes.select(*keys, "count"), keys).select("cell", *keys, B.block_number("count").alias("block"))
+    drawn = B.by_block(B.gathered(_drawn(dealt, keys, reps, grid, least), [*keys, "size", "rep"]), keys)
+    body = _packed(B.blocks(treated, keys, sizes), drawn, keys)
+    sums = _halves_of_pairs(body, keys)
     pools = pool_of(vec.select(*keys), by, control, least_pool) if by else None
-    pool = B.blocks(pooled_controls(vec, pools, by, control), ["pool"])
-    n0 = pool.groupBy("pool").agg(F.max("n").alias("n_ctrl"))
-    count = F.ceil(F.col("n_ctrl") / B.CELLS)
-    other = pool.select("pool", "block", F.col("body").alias("other"))
+    controls = pooled_controls(vec, pools, by, control)
+    n0 = B.counted(controls, ["pool"])
+    pool = _packed(B.blocks(controls, ["pool"], n0), None, ["pool"])
+    n0 = n0.select("pool", F.col("n").alias("n_ctrl"), F.col("count").alias("blocks_ctrl"))
+    other = _other(pool, ["pool"], ["cells", "x"])
 
     def at_pool(df: DataFrame, one: DataFrame) -> DataFrame:
         """``df`` with the row of its pool; without contexts there is one pool, hence one row."""
         return df.join(one, "pool") if by else df.crossJoin(F.broadcast(one.drop("pool")))
 
     def sum_of(left: DataFrame, group: list[str], begin: str | Column, name: str) -> DataFrame:
-        met = B.beside_each(at_pool(left, n0), other, ["pool"], begin, count)
+        met = B.beside_each(at_pool(left, n0), other, ["pool"], begin, F.col("blocks_ctrl"))
         twice = F.when(F.col("twice"), 2.0).otherwise(1.0)
-        once = met.select(*group, (F.col("block") != F.col("meets")).alias("twice"), "body", "other")
+        once = met.select(*group, (F.col("block") != F.col("meets")).alias("twice"), "cells", "x", "other_cells", "other_x")
         return B.by_row(once, [*group, "twice"], "s double", _all_pairs).groupBy(*group).agg(F.sum(F.col("s") * (twice if name == "s_yy" else F.lit(1.0))).alias(name))
 
-    s_yy = sum_of(pool.select("pool", "block", "body"), ["pool"], "block", "s_yy")
+    s_yy = sum_of(pool.select("pool", "block", "cells", "x"), ["pool"], "block", "s_yy")
     placed = body.join(pools, by) if by else body.withColumn("pool", F.lit(""))
-    s_xy = sum_of(placed.select(*keys, "pool", "block", "body"), [*keys, "pool"], F.lit(0), "s_xy")
-    n_x = treated.groupBy(*keys).agg(F.count("*").alias("n"))
-    whole = sums.where("size = 0").select(*keys, F.col("s11").alias("s_xx")).join(n_x, keys)
+    s_xy = sum_of(placed.select(*keys, "pool", "block", "cells", "x"), [*keys, "pool"], F.lit(0), "s_xy")
+    whole = sums.where("size = 0").select(*keys, F.col("s11").alias("s_xx")).join(sizes.select(*keys, "n"), keys)
     e = at_pool(at_pool(whole.join(s_xy, keys), s_yy), n0)
     n, m = F.col("n"), F.col("n_ctrl")
     value = 2 * F.col("s_xy") / (n * m) - F.col("s_xx") / (n * n) - F.col("s_yy") / (m * m)

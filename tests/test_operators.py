@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -323,3 +324,48 @@ def test_symbols_keep_the_first(spark):
     genes = spark.createDataFrame([(0, "e1"), (1, "e2"), (2, "e3")], "g int, gene_id string")
     names = spark.createDataFrame([("e1", "S"), ("e2", "S")], "gene_id string, symbol string")
     assert [(r.g, r.symbol) for r in G.symbols(genes, names).collect()] == [(0, "S")]
+
+
+@pytest.mark.parametrize("most", [32, 2048])
+def test_energy_of_units_in_many_blocks(spark, monkeypatch, most):
+    """Curves do not depend on how cells are dealt to blocks; draws of few cells are summed from their pairs."""
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(E.B, "CELLS", most)
+    x = rng.normal(size=(900, 4)) + (np.arange(900) % 3 == 1)[:, None]
+    x[1::90] = x[1]  # equal cells
+    df = spark.createDataFrame([(k, k % 3, x[k].tolist()) for k in range(900)], "cell long, unit int, v array<double>")
+    dist = lambda a, b: np.sqrt(((x[a][:, None] - x[b][None]) ** 2).sum(axis=2))
+    md5 = lambda *k: hashlib.md5(":".join(map(str, k)).encode()).hexdigest()
+    got = {(r.unit, r.n_half): r for r in E.reliability_curve(df, 3, [4, 64]).collect()}
+    assert set(got) == {(u, n) for u in (1, 2) for n in (4, 64, -1)}
+    for (unit, n), r in got.items():
+        ids, ctrl, size = np.arange(unit, 900, 3), np.arange(0, 900, 3), 150 if n < 0 else n
+        e = 2 * dist(ids, ctrl).mean() - dist(ids, ids).mean() - dist(ctrl, ctrl).mean()
+        within = []
+        for rep in (1, 2, 3):
+            order = sorted(ids, key=lambda k: md5(rep, size, "e", k))
+            a, b = order[:size], order[size : 2 * size]
+            within.append(2 * dist(a, b).mean() - dist(a, a).mean() - dist(b, b).mean())
+        assert math.isclose(r.e_between, e, rel_tol=1e-9) and math.isclose(r.e_within_med, np.median(within), rel_tol=1e-9)
+
+
+def test_distances_of_near_cells():
+    """A product of matrices loses what differences keep: equal cells are 0 apart, near ones right."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 8)) + 1000
+    y = np.concatenate([x[:20], x[20:40] + 1e-7 * rng.normal(size=(20, 8)), rng.normal(size=(30, 8))])
+    d, want = E.B.distances(x, y), np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    assert np.allclose(d, want, rtol=1e-9, atol=0) and (d[range(20), range(20)] == 0).all()
+
+
+def test_draws_are_ranked_in_many_tasks(spark):
+    """Cells become rows of draws in a fixed number of tasks, not in one for each unit."""
+    rows = [(k, k % 2, g, float(k * g % 7)) for k in range(64) for g in range(3)]
+    df = spark.createDataFrame(rows, "cell long, unit int, g int, x double")
+    units = df.select("cell", "unit").distinct()
+    for drawn in (R.split_half_r(df, units, 3, [4], 2), E.drawn_halves(units.where("unit = 1"), ["unit"], 3, [4], 4)):
+        plan = drawn._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+        # every ranking is dealt by draw (rep), not by the unit alone
+        dealt = [plan[m.end() :].split("Exchange hashpartitioning(", 1)[1].split(")")[0] for m in re.finditer(r"Window \[row_number\(\)[^\n]*rep", plan)]
+        assert dealt and all("rep#" in d for d in dealt)
