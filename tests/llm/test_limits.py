@@ -87,3 +87,14 @@ def test_workers_forget_other_operators():
     assert len(made) == 2
     assert bpe.encoder in common._CACHES and bpe.vocabulary in common._CACHES
     common._CACHES.remove(costly)
+
+
+def test_index_entries_of_four_bytes():
+    """What a bucket receives of a subset is four bytes of its hash."""
+    import numpy as np
+
+    from rhoscope.llm import jaccard
+
+    h = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 400).astype(np.uint64))
+    rows = list(jaccard._packed([(7, h)], 0, 2, frozenset()))
+    assert rows and all(len(sigs) == 4 * np.frombuffer(counts, "<u4").sum() for _, _, _, counts, sigs in rows)
