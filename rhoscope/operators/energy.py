@@ -1,11 +1,12 @@
 """Energy distance and the reliability curve built on it.
 
-Distances of a unit's cells are a matrix in blocks (:mod:`.blocks`), each a product of
-matrices; the sums that all repeats and sample sizes need are products of it with
-indicators of the halves, or, for draws that are few among the pairs, sums of a part of
-it, so neither pairs of cells nor pairs and repeats are rows.  A unit meets the controls
-of its own context where there are enough, else all controls; the distances within
-a pool of controls are computed once, however many contexts use it.
+Halves are drawn on cell ids (:mod:`.draws`).  Distances of a unit's cells are a matrix
+in blocks (:mod:`.blocks`), each a product of matrices; the sums that all repeats and
+sample sizes need are products of it with indicators of the halves, or, for draws that
+are few among the pairs, sums of a part of it, so neither pairs of cells nor pairs and
+repeats are rows.  A unit meets the controls of its own context where there are enough,
+else all controls; the distances within a pool of controls are computed once, however
+many contexts use it.
 
 Vectors of one table have equal lengths.  A unit without a pool of controls has no
 row; an empty table gives none.
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from . import draws as D
 from .sampling import halves, repeats
 
 
@@ -37,19 +39,14 @@ def sizes_of(n: Column, grid: list[int], least: int) -> Column:
 
 
 def drawn_halves(units: DataFrame, keys: list[str], reps: int, grid: list[int], least: int) -> DataFrame:
-    """Halves of every unit: ``keys``, ``drawn`` (size, rep, cell, half), a row for each of
+    """Halves of every unit as rows: ``keys``, ``drawn`` (size, rep, cell, half), a row for each of
     them and, where ``units`` has it, ``block``."""
     at = [c for c in units.columns if c == "block"]
-    rows = _drawn(units, keys, reps, grid, least)
-    return rows.groupBy(*keys, "size", "rep", *at).agg(F.collect_list(F.struct("size", "rep", "cell", "half")).alias("drawn")).drop("size", "rep")
-
-
-def _drawn(units: DataFrame, keys: list[str], reps: int, grid: list[int], least: int) -> DataFrame:
-    """A row for each cell of each half: the columns of ``units``, ``size``, ``rep``, ``half``."""
     n = units.groupBy(*keys).agg(F.count("*").alias("cells"))
     sizes = n.select(*keys, F.explode(sizes_of(F.col("cells"), grid, least)).alias("size"))
     drawn = repeats(B.spread(units.join(sizes, keys), ["cell", "size"]), reps)
-    return halves(drawn, [*keys, "size", "rep"], ["rep", "size", F.lit("e"), "cell"], "cell", "size")
+    rows = halves(drawn, [*keys, "size", "rep"], ["rep", "size", F.lit("e"), "cell"], "cell", "size")
+    return rows.groupBy(*keys, "size", "rep", *at).agg(F.collect_list(F.struct("size", "rep", "cell", "half")).alias("drawn")).drop("size", "rep")
 
 
 #: Draws with fewer than this share of two blocks' pairs are summed from their pairs alone.
@@ -65,7 +62,7 @@ _PACKED = {"cells": "int", "x": "binary", "names": "binary", "ends": "binary", "
 def _pack(batch, row: int) -> list[list]:
     """A block's matrix, and the places of its cells in the halves of all draws."""
     cells, x = B.matrix(batch.column("body"), row)
-    h = B.places(batch.column("drawn"), row, cells)
+    h = D.places(batch.column("drawn"), row, cells)
     sides = [at for pair in h.values() for at in pair]
     draws = (list(h), np.cumsum([len(at) for at in sides]), np.concatenate(sides) if sides else [])
     return [[len(cells)], [x.astype(float).tobytes()], *([np.asarray(v, dtype=np.int32).tobytes()] for v in draws)]
@@ -73,8 +70,10 @@ def _pack(batch, row: int) -> list[list]:
 
 def _packed(body: DataFrame, drawn: DataFrame | None, keys: list[str]) -> DataFrame:
     """``keys``, ``block``, ``count`` and the columns of ``_PACKED``."""
-    none = F.lit(None).cast("array<struct<size:int,rep:int,first:array<bigint>,second:array<bigint>>>").alias("drawn")
-    own = body.select("*", none) if drawn is None else body.join(drawn, [*keys, "block"], "left")
+    if drawn is None:
+        own = body.select("*", F.lit(None).cast(D.DRAWN).alias("drawn"))
+    else:
+        own = B.spread(body.join(drawn, [*keys, "block"], "left"), [*keys, "block"])
     return B.by_row(own, [*keys, "block", "count"], ", ".join(f"{c} {t}" for c, t in _PACKED.items()), _pack)
 
 
@@ -156,10 +155,13 @@ def half_sums_and_effect(vec: DataFrame, by: list[str] = [], reps: int = 0, grid
     keys = [*by, "unit"]
     treated = vec.where(F.col("unit") != control)
     sizes = B.counted(treated, keys)
-    dealt = treated.select("cell", *keys).join(sizes.select(*keys, "count"), keys).select("cell", *keys, B.block_number("count").alias("block"))
-    drawn = B.by_block(B.gathered(_drawn(dealt, keys, reps, grid, least), [*keys, "size", "rep"]), keys)
-    body = _packed(B.blocks(treated, keys, sizes), drawn, keys)
-    sums = _halves_of_pairs(body, keys)
+    drawn = None
+    if reps:
+        asked = sizes.select(*keys, F.explode(sizes_of(F.col("n"), grid, least)).alias("size"))
+        asked = asked.select(*keys, "size", F.col("size").alias("n"), F.concat_ws(":", "size", F.lit("e")).alias("salt"))
+        drawn = D.by_block(D.cuts(treated.select("cell", *keys), asked, keys, reps), keys, sizes)
+    body = B.blocks(treated, keys, sizes)
+    sums = _halves_of_pairs(_packed(body, drawn, keys), keys)
     pools = pool_of(vec.select(*keys), by, control, least_pool) if by else None
     controls = pooled_controls(vec, pools, by, control)
     n0 = B.counted(controls, ["pool"])
@@ -178,7 +180,8 @@ def half_sums_and_effect(vec: DataFrame, by: list[str] = [], reps: int = 0, grid
         return B.by_row(once, [*group, "twice"], "s double", _all_pairs).groupBy(*group).agg(F.sum(F.col("s") * (twice if name == "s_yy" else F.lit(1.0))).alias(name))
 
     s_yy = sum_of(pool.select("pool", "block", "cells", "x"), ["pool"], "block", "s_yy")
-    placed = body.join(pools, by) if by else body.withColumn("pool", F.lit(""))
+    plain = _packed(body, None, keys)
+    placed = plain.join(pools, by) if by else plain.withColumn("pool", F.lit(""))
     s_xy = sum_of(placed.select(*keys, "pool", "block", "cells", "x"), [*keys, "pool"], F.lit(0), "s_xy")
     whole = sums.where("size = 0").select(*keys, F.col("s11").alias("s_xx")).join(sizes.select(*keys, "n"), keys)
     e = at_pool(at_pool(whole.join(s_xy, keys), s_yy), n0)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from rhoscope.operators import benchmark as B
 from rhoscope.operators import bootstrap as BS
+from rhoscope.operators import draws as D
 from rhoscope.operators import energy as E
 from rhoscope.operators import enrichment as G
 from rhoscope.operators import experiments as P
@@ -369,3 +370,34 @@ def test_draws_are_ranked_in_many_tasks(spark):
         # every ranking is dealt by draw (rep), not by the unit alone
         dealt = [plan[m.end() :].split("Exchange hashpartitioning(", 1)[1].split(")")[0] for m in re.finditer(r"Window \[row_number\(\)[^\n]*rep", plan)]
         assert dealt and all("rep#" in d for d in dealt)
+
+
+def test_digests_and_cuts(spark):
+    """Digests are MD5's; a draw's two ends name the halves that a ranking of all cells gives, though
+    its cells lie in several rows of ids and no row stands for a cell and a draw."""
+    cells = D.names(np.array([0, 7, 12, 99, 12345, 10**15, -5]))
+    starts = ["1:max:5:t:", "100:fixed:512:c:", "7:" + "x" * 50 + ":"]
+    made = D.digests(starts, cells)
+    hexes = [[hashlib.md5(s.encode() + c).hexdigest() for c in cells.tolist()] for s in starts]
+    assert [["".join(f"{v:016x}" for v in made[:, i, j].tolist()) for j in range(len(cells))] for i in range(3)] == hexes
+    units = spark.range(3000).select(F.col("id").alias("cell"), (F.col("id") % 7 > 0).cast("int").alias("unit"))
+    asked = spark.createDataFrame([(1, 8, 8, "s:8"), (1, -9, 1285, "s:-9"), (0, 214, 214, "s:214")], "unit int, size int, n int, salt string")
+    rank = spark.createDataFrame([(u, s, n, k, r) for u, s, n, k in asked.collect() for r in (1, 2)], "unit int, size int, n long, salt string, rep int").join(units, "unit")
+    want = W.halves(rank, ["unit", "size", "rep"], ["rep", "salt", "cell"], "cell", "n").withColumn("d", F.md5(F.concat_ws(":", "rep", "salt", "cell")))
+    want = {(r.unit, r["size"], r.rep): (r.a, r.b) for r in want.groupBy("unit", "size", "rep").agg(F.max(F.when(F.col("half") == 1, F.col("d"))).alias("a"), F.max(F.when(F.col("half") == 2, F.col("d"))).alias("b")).collect()}
+    some, D.IDS = D.IDS, 700
+    try:
+        cut = D.cuts(units, asked, ["unit"], 2)
+        got = {(r.unit, r["size"], r.rep): (bytes(r.half).hex(), bytes(r.whole).hex()) for r in cut.collect()}
+    finally:
+        D.IDS = some
+    assert got == want and len(got) == 6
+
+
+def test_draws_are_not_rows(spark):
+    """Only the digests near the two ends of a draw are ranked: no plan hashes a row for each cell,
+    repeat and size."""
+    rows = [(k, k % 2, g, float(k * g % 7)) for k in range(64) for g in range(3)]
+    df = spark.createDataFrame(rows, "cell long, unit int, g int, x double")
+    plan = R.split_half_r(df, df.select("cell", "unit").distinct(), 3, [4], 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" in plan and "md5(" not in plan
