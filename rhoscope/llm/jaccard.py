@@ -16,7 +16,7 @@ are indexed in such bands alone), which covers two differences each.
 Index entries travel packed, as sorted arrays in a binary per bucket of hash
 values: four bytes of the hash after those that name the bucket.  Of the 2 million
 entries of a bucket about one in 2,000 meets another by chance; such pairs are
-verified like all others.  Equal sets are one record.  Inside a group of equal subsets first only
+verified like all others.  A record's number of entries in a bucket takes a byte.  Equal sets are one record.  Inside a group of equal subsets first only
 pairs with one leader are verified and connected; what is left in different
 components is compared under the allocation, inside tasks, by an exact lower
 bound of the difference (parity sketches): first every record with its nearest
@@ -224,6 +224,19 @@ def _packed(sets: list[tuple[int, np.ndarray]], seed: int, bits: int, weak: froz
         start = end
 
 
+def _narrow(row: tuple) -> tuple:
+    """A row of :func:`_packed` as it travels: a record's count is a byte, and a record with
+    more than 255 entries in the bucket stands several times."""
+    bucket, role, rids, counts, sigs = row
+    if role in (LOOSE, NOTE):
+        return row
+    ids, n = np.frombuffer(rids, "<i8"), np.frombuffer(counts, "<u4").astype(np.int64)
+    parts = -(-n // 255)
+    each = np.full(int(parts.sum()), 255, np.uint8)
+    each[np.cumsum(parts) - 1] = n - 255 * (parts - 1)
+    return bucket, role, np.repeat(ids, parts).tobytes(), each.tobytes(), sigs
+
+
 def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: the followers of each group of equal subsets (two records at
     least, one in its own band) with their leader, the smallest record in its own
@@ -241,7 +254,7 @@ def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
             noted.append(s)
             continue
         sig.append(s)
-        rid.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<u4")))
+        rid.append(np.repeat(np.frombuffer(ids, "<i8"), np.frombuffer(counts, np.uint8)))
         role.append(np.full(len(s), r, np.int8))
     if not sig:
         return _members(*(np.empty(0, np.int64),) * 4, np.empty(0, bool))
@@ -413,9 +426,9 @@ def _components(df: DataFrame, id_col: str, text_col: str, entries_per_bucket: i
                 if len(h) and sets.setdefault(set_id(h, seed), h) is h:
                     size += len(h)
             if size > 1_500_000:  # elements: some 12 MB of hashes for one row of each bucket
-                yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak, hot_from)), columns=columns)
+                yield pd.DataFrame(list(map(_narrow, _packed(list(sets.items()), seed, bits, weak, hot_from))), columns=columns)
                 sets, size = {}, 0
-        yield pd.DataFrame(list(_packed(list(sets.items()), seed, bits, weak, hot_from)), columns=columns)
+        yield pd.DataFrame(list(map(_narrow, _packed(list(sets.items()), seed, bits, weak, hot_from))), columns=columns)
 
     # Only one text of each set is indexed; the bitmap may let a few copies through, which changes nothing.
     one_each = flag_by_bitmap(docs, F.xxhash64("id"), reps, "rep").where("rep").select("text")

@@ -98,3 +98,18 @@ def test_index_entries_of_four_bytes():
     h = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 400).astype(np.uint64))
     rows = list(jaccard._packed([(7, h)], 0, 2, frozenset()))
     assert rows and all(len(sigs) == 4 * np.frombuffer(counts, "<u4").sum() for _, _, _, counts, sigs in rows)
+
+
+def test_index_counts_of_a_byte():
+    """A record's number of entries in a bucket travels as a byte, also where it has more than 255."""
+    import numpy as np
+
+    from rhoscope.llm import jaccard
+
+    h = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 3000).astype(np.uint64))
+    for row in jaccard._packed([(7, h), (9, h[:40])], 0, 1, frozenset()):
+        _, _, rids, counts, sigs = row
+        _, _, narrow_rids, each, same = jaccard._narrow(row)
+        want = np.repeat(np.frombuffer(rids, "<i8"), np.frombuffer(counts, "<u4"))
+        assert same == sigs and len(each) == len(narrow_rids) // 8
+        assert np.array_equal(np.repeat(np.frombuffer(narrow_rids, "<i8"), np.frombuffer(each, np.uint8)), want)
