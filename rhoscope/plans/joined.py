@@ -105,8 +105,7 @@ SELECT flag, count(*) AS n, {r6('min(density) AS low', 'quantile_cont(density, 0
 def density_of_lines(spark, d):
     """Density of quantity and logarithm of price at every line, within each return flag, described."""
     p = IO.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_quantity").cast("double").alias("x"), F.log10(F.col("l_extendedprice").cast("double")).alias("y"))
-    q = D.density_2d(p, "x", "y", ["flag"])
-    return rounded(q.groupBy("flag").agg(F.count("*").alias("n"), F.min("density").alias("low"), F.percentile("density", F.lit(0.5)).alias("median"), F.max("density").alias("high"), F.avg("density").alias("mean")))
+    return rounded(D.summary(D.density_2d(p, "x", "y", ["flag"]), ["flag"], "density"))
 
 
 # --- files ---------------------------------------------------------------------------------------
